@@ -255,19 +255,18 @@ def pair_marks(
 
 def _key_bucket(per_key: DataFrame, key: str) -> Column:
     """Order-preserving coarse bucket of a key, at most a few thousand values."""
-    low = per_key.agg(F.min(key)).scalar()
-    high = per_key.agg(F.max(key)).scalar()
+    ends = per_key.agg(F.min(key).alias("low"), F.max(key).alias("high"))
     k = F.col(key)
     if isinstance(per_key.schema[key].dataType, T.StringType):
         # every key shares the common prefix of the smallest and the largest key
-        shared = F.size(
-            F.filter(
-                F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))),
-                lambda i: F.left(low, i) == F.left(high, i),
-            )
+        common = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))),
+            lambda i: F.left(F.col("low"), i) == F.left(F.col("high"), i),
         )
+        shared = ends.select(F.coalesce(F.size(common), F.lit(0))).scalar()
         return k.substr(shared + 1, F.lit(2))
-    width = F.greatest((high - low).cast("double"), F.lit(1.0))
+    width = F.greatest((F.col("high") - F.col("low")).cast("double"), F.lit(1.0))
+    low, width = ends.select("low").scalar(), ends.select(width).scalar()
     return F.floor((k - low).cast("double") / width * 1024)
 
 

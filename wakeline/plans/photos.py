@@ -46,12 +46,12 @@ def photo_table(
     return recode(timed, "id_name", NAME_RULES).withColumn("survey_area", F.lit(area_name))
 
 
-def sighting_windows(survey: DataFrame) -> DataFrame:
-    """First and last time of every numbered sighting, one row per date it touches."""
+def sighting_windows(survey: DataFrame, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """First and last time of every numbered sighting, one row per date (or ``by``) it touches."""
     marks = survey.where(F.col("sighting_number").isNotNull())
     span = marks.groupBy("sighting_number").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    dates = marks.select("sighting_number", "date").distinct()
-    return dates.join(span, "sighting_number")
+    touched = marks.select("sighting_number", *by).distinct()
+    return touched.join(span, "sighting_number")
 
 
 def photo_groups(

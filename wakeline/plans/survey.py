@@ -108,13 +108,22 @@ def _numbered_pairs(marks: DataFrame, per_pair: DataFrame, out: str) -> DataFram
     return joined.withColumn(out, F.col("pair") + F.col("__before")).drop("__device", "__before")
 
 
+def effort_marks(survey: DataFrame) -> DataFrame:
+    """The few rows that switch effort on or off."""
+    return survey.where(contains(F.col("effort"), "Effort") & F.col("ts").isNotNull())
+
+
+def encounter_marks(survey: DataFrame) -> DataFrame:
+    """The few rows that start or end an encounter."""
+    return survey.where(contains(F.col("event_type"), "Encounter"))
+
+
 def effort_periods(survey: DataFrame) -> DataFrame:
-    """One row per ON/OFF pair, numbered over devices; an odd last mark is ``unpaired``."""
-    marks = (
-        survey.where(contains(F.col("effort"), "Effort") & F.col("ts").isNotNull())
-        .select("device_id", "ts", "date")
-        .distinct()
-    )
+    """One row per ON/OFF pair, numbered over devices; an odd last mark is ``unpaired``.
+
+    Takes the survey table or its ``effort_marks``.
+    """
+    marks = effort_marks(survey).select("device_id", "ts", "date").distinct()
     pairs = (
         pair_marks(marks, ["device_id"], "ts")
         .groupBy("device_id", "pair")
@@ -153,9 +162,11 @@ def on_effort(
 
 
 def encounters(survey: DataFrame) -> DataFrame:
-    """START/END rows numbered in pairs, with the species logged at END carried back."""
-    marks = survey.where(contains(F.col("event_type"), "Encounter"))
-    marks = pair_marks(marks, ["device_id"], "ts", ("event_type",))
+    """START/END rows numbered in pairs, with the species logged at END carried back.
+
+    Takes the survey table or its ``encounter_marks``.
+    """
+    marks = pair_marks(encounter_marks(survey), ["device_id"], "ts", ("event_type",))
     pairs = marks.select("device_id", "pair").distinct()
     marks = _numbered_pairs(marks, pairs, "sighting_number").drop("pair")
     return nocb(marks, ["species"], ["device_id"], "ts", ("event_type",))
