@@ -81,11 +81,14 @@ def log_entries(t: Tables) -> DataFrame:
     )
 
 
+def area_of_status(status: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in AREA_OF_STATUS.items() for x in kv])[status]
+
+
 def captures(t: Tables) -> DataFrame:
     date = F.col("o_orderdate").cast("date")
-    area = F.create_map(*[F.lit(x) for kv in AREA_OF_STATUS.items() for x in kv])
     return t.orders.select(
-        area[F.col("o_orderstatus")].alias("survey_area"),
+        area_of_status(F.col("o_orderstatus")).alias("survey_area"),
         trip_code(date).alias("trip"),
         date.alias("date"),
         F.year(date).alias("year"),
