@@ -69,8 +69,11 @@ def describe_paths(files: DataFrame) -> DataFrame:
 
 
 def write_survey(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Survey table partitioned by area and trip, so a trip reads only its own folder."""
-    writer = df.write.mode("overwrite").partitionBy("survey_area", "trip").format(fmt)
+    """Survey table partitioned by area and trip, so a trip reads only its own folder.
+
+    Rebalancing gathers a trip into few files and still splits an oversized one.
+    """
+    writer = df.hint("rebalance", "survey_area", "trip").write.mode("overwrite").partitionBy("survey_area", "trip").format(fmt)
     (writer.option("header", True).option("nullValue", "") if fmt == "csv" else writer).save(path)
 
 
