@@ -266,8 +266,8 @@ def _key_bucket(per_key: DataFrame, key: str) -> Column:
         shared = ends.select(F.coalesce(F.size(common), F.lit(0))).scalar()
         return k.substr(shared + 1, F.lit(2))
     width = F.greatest((F.col("high") - F.col("low")).cast("double"), F.lit(1.0))
-    low, width = ends.select("low").scalar(), ends.select(width).scalar()
-    return F.floor((k - low).cast("double") / width * 1024)
+    scale = ends.select(F.struct("low", width.alias("width"))).scalar()
+    return F.floor((k - scale["low"]).cast("double") / scale["width"] * 1024)
 
 
 def before_key(

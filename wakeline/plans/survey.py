@@ -98,13 +98,16 @@ def survey_table(
     return blank_to_null(table)
 
 
-def _numbered_pairs(marks: DataFrame, per_pair: DataFrame, out: str) -> DataFrame:
-    """Number pairs over all devices in device order."""
-    pairs = per_pair.groupBy("device_id").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = before_key(pairs, "device_id", sums={"__before": "__n"}).withColumnRenamed(
-        "device_id", "__device"
-    )
-    joined = marks.join(offsets, F.col("device_id").eqNullSafe(F.col("__device")), "left")
+def _numbered_pairs(paired: DataFrame, marks: DataFrame, out: str) -> DataFrame:
+    """Number pairs over all devices in device order.
+
+    A device with n marks has ceil(n / 2) pairs, so the offsets need mark counts only.
+    """
+    pairs = F.floor((F.count(F.lit(1)) + 1) / 2).alias("__n")
+    per_device = marks.groupBy("device_id").agg(pairs)
+    offsets = before_key(per_device, "device_id", sums={"__before": "__n"})
+    offsets = offsets.withColumnRenamed("device_id", "__device")
+    joined = paired.join(offsets, F.col("device_id").eqNullSafe(F.col("__device")), "left")
     return joined.withColumn(out, F.col("pair") + F.col("__before")).drop("__device", "__before")
 
 
@@ -135,7 +138,7 @@ def effort_periods(survey: DataFrame) -> DataFrame:
             (F.count(F.lit(1)) == 1).alias("unpaired"),
         )
     )
-    return _numbered_pairs(pairs, pairs, "event").select(
+    return _numbered_pairs(pairs, marks, "event").select(
         "event", "device_id", "start", "end", "start_date", "end_date", "unpaired"
     )
 
@@ -166,10 +169,10 @@ def encounters(survey: DataFrame) -> DataFrame:
 
     Takes the survey table or its ``encounter_marks``.
     """
-    marks = pair_marks(encounter_marks(survey), ["device_id"], "ts", ("event_type",))
-    pairs = marks.select("device_id", "pair").distinct()
-    marks = _numbered_pairs(marks, pairs, "sighting_number").drop("pair")
-    return nocb(marks, ["species"], ["device_id"], "ts", ("event_type",))
+    marks = blank_to_null(encounter_marks(survey))
+    paired = pair_marks(marks, ["device_id"], "ts", ("event_type",))
+    numbered = _numbered_pairs(paired, marks, "sighting_number").drop("pair")
+    return nocb(numbered, ["species"], ["device_id"], "ts", ("event_type",))
 
 
 def encounter_state(
