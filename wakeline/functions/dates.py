@@ -23,20 +23,28 @@ SEASON_OVERRIDES = ((2015, 12, "SPRING"), (2019, 12, "SPRING"))
 CALF_YEAR_START_MONTH = 9
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 of a wall-clock time, independent of the session zone."""
-    day = F.unix_date(ts.cast("date")).cast("bigint")
-    minute_of_day = F.hour(ts) * 60 + F.minute(ts)
-    second_micros = (F.extract(F.lit("SECOND"), ts) * MICROS_PER_SECOND).cast("bigint")
-    return (day * DAY_SECONDS + minute_of_day * 60) * MICROS_PER_SECOND + second_micros
+def _micros_sql(ts: str) -> str:
+    minutes = f"hour({ts}) * 60 + minute({ts})"
+    seconds = f"unix_date(cast({ts} AS date)) * {DAY_SECONDS}L + ({minutes}) * 60"
+    fraction = f"cast(extract(SECOND FROM {ts}) * {MICROS_PER_SECOND} AS bigint)"
+    return f"(({seconds}) * {MICROS_PER_SECOND}L + {fraction})"
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    return (micros(end) - micros(start)) / F.lit(float(MICROS_PER_SECOND))
+def micros(ts: str) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock time, independent of the session zone.
 
+    ``ts`` is a column name or SQL expression; here and below one parsed expression
+    replaces dozens of calls into the JVM per use.
+    """
+    return F.expr(_micros_sql(ts))
 
-def minutes_between(start: Column, end: Column) -> Column:
-    return (micros(end) - micros(start)) / F.lit(60.0 * MICROS_PER_SECOND)
+
+def seconds_between(start: str, end: str) -> Column:
+    return F.expr(f"({_micros_sql(end)} - {_micros_sql(start)}) / {MICROS_PER_SECOND}D")
+
+
+def minutes_between(start: str, end: str) -> Column:
+    return F.expr(f"({_micros_sql(end)} - {_micros_sql(start)}) / {60 * MICROS_PER_SECOND}D")
 
 
 def parse_ts(text: Column, fmt: str) -> Column:
@@ -48,27 +56,27 @@ def trip_code(date: Column) -> Column:
     return F.date_format(date, "yyyy_MM")
 
 
-def trip_month(trip: Column) -> Column:
-    """Month number from a ``yyyy_MM`` trip code."""
-    return F.substring(trip, 6, 2).try_cast("int")
+def trip_month(trip: str) -> str:
+    """SQL text of the month number in a ``yyyy_MM`` trip code."""
+    return f"try_cast(substring({trip}, 6, 2) AS int)"
 
 
 def season(
-    month: Column,
-    year: Column | None = None,
-    overrides: Iterable[tuple[int, int, str]] = (),
+    month: str, year: str | None = None, overrides: Iterable[tuple[int, int, str]] = ()
 ) -> Column:
-    """Southern-hemisphere season of a month, with (year, month, season) overrides first."""
-    result = None
-    for o_year, o_month, name in overrides:
-        hit = (month == o_month) & (year == o_year)
-        result = F.when(hit, name) if result is None else result.when(hit, name)
-    summer = (month <= 2) | (month == 12)
-    result = F.when(summer, "SUMMER") if result is None else result.when(summer, "SUMMER")
-    return (
-        result.when(month.between(3, 5), "AUTUMN")
-        .when(month.between(6, 8), "WINTER")
-        .when(month.between(9, 11), "SPRING")
+    """Southern-hemisphere season of a month, with (year, month, season) overrides first.
+
+    ``month`` and ``year`` are column names or SQL expressions.
+    """
+    special = "".join(
+        f"WHEN {month} = {m} AND {year} = {y} THEN '{name}' " for y, m, name in overrides
+    )
+    return F.expr(
+        f"""CASE {special}
+          WHEN {month} <= 2 OR {month} = 12 THEN 'SUMMER'
+          WHEN {month} BETWEEN 3 AND 5 THEN 'AUTUMN'
+          WHEN {month} BETWEEN 6 AND 8 THEN 'WINTER'
+          WHEN {month} BETWEEN 9 AND 11 THEN 'SPRING' END"""
     )
 
 

@@ -73,10 +73,10 @@ def asof_join(
             "__a", F.coalesce(F.last("__r", ignorenulls=True).over(w), F.col("__after"))
         )
 
-    t = micros(F.col(on))
+    t = micros(on)
     if direction == "nearest":
-        gap_b = t - micros(F.col("__b")[on])
-        gap_a = micros(F.col("__a")[on]) - t
+        gap_b = t - micros(f"__b.{on}")
+        gap_a = micros(f"__a.{on}") - t
         match = F.when(F.col("__a").isNull() | (gap_b <= gap_a), F.col("__b")).otherwise(
             F.col("__a")
         )
@@ -85,7 +85,7 @@ def asof_join(
     rows = rows.where(F.col("__right") == 0).withColumn("matched", match)
     keep = F.col(on).isNotNull()
     if tolerance_seconds is not None:
-        gap = F.abs(micros(F.col("matched")[on]) - t)
+        gap = F.abs(micros(f"matched.{on}") - t)
         keep = keep & (gap <= tolerance_seconds * MICROS_PER_SECOND)
     return rows.withColumn("matched", F.when(keep, F.col("matched"))).select(
         *left.columns, "matched"
@@ -111,7 +111,7 @@ def interval_assign(
     ``how='left'`` points without an interval are kept.
     """
     width = bin_seconds * MICROS_PER_SECOND
-    bin_of = lambda c: F.floor(micros(F.col(c)) / width)
+    bin_of = lambda c: F.floor(micros(c) / width)
     spread = F.pmod(F.xxhash64(*points.columns), F.lit(salts))
     left = points.withColumns({"__bin": bin_of(ts), "__salt": spread})
     right = (

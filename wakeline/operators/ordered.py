@@ -28,7 +28,7 @@ _CELL, _BACK = "__cell", "__cell_back"
 
 
 def _cell(by: Sequence[str], ts: str, span_seconds: int) -> Column:
-    span = F.floor(micros(F.col(ts)) / (span_seconds * MICROS_PER_SECOND))
+    span = F.floor(micros(ts) / (span_seconds * MICROS_PER_SECOND))
     return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(by)], span.alias("span"))
 
 
@@ -213,7 +213,7 @@ def thin_bins(
     summary = summary.select(_CELL, F.min("__m").over(Window.partitionBy(*keys)).alias("__first"))
     width = seconds * MICROS_PER_SECOND
     binned = _with_inherited(cells, summary).withColumn(
-        "__bin", F.floor((micros(F.col(ts)) - micros(F.col("__first"))) / width)
+        "__bin", F.floor((micros(ts) - micros("__first")) / width)
     )
     return dedupe_first(binned, [*by, "__bin"], [ts, *ties]).drop(_CELL, "__first", "__bin")
 

@@ -133,10 +133,13 @@ def season_flags(
     """
     if scheme not in ("calendar", "calfyear"):
         raise ValueError(f"unknown scheme {scheme!r}")
-    year = F.col("year" if scheme == "calendar" else "calfyear")
-    rows = captures.select(
-        year.alias("year"), "pod", "id_name", season(trip_month(F.col("trip")), year, overrides).alias("season")
-    ).where(F.col("year") > after_year)
+    year = "year" if scheme == "calendar" else "calfyear"
+    rows = captures.where(F.col(year) > after_year).select(
+        F.col(year).alias("year"),
+        "pod",
+        "id_name",
+        season(trip_month("trip"), year, overrides).alias("season"),
+    )
     flags = [
         F.max((F.col("season") == s).cast("int")).alias(s.lower())
         for s in ("WINTER", "SPRING", "AUTUMN", "SUMMER")
@@ -297,7 +300,7 @@ def adult_census(
     rows = rows.select("id_name", "calfyear").distinct()
     rows = rows.where(~excluded(F.col("id_name"), F.col("calfyear"), exclude))
     details = life.where(F.col("pod") != OUTSIDE_PODS).withColumnRenamed("name", "id_name")
-    rows = rows.join(details, "id_name").withColumn("ageclass", age_class_of(F.col("calfyear")))
+    rows = rows.join(details, "id_name").withColumn("ageclass", age_class_of("calfyear"))
     rows = rows.where(F.col("ageclass").isin("A", "U"))
     return rows.groupBy("pod", "calfyear").agg(F.countDistinct("id_name").alias("n"))
 
@@ -344,7 +347,7 @@ def gap_filled_by_sex(presence: DataFrame) -> DataFrame:
     """Known alive adults and unknowns by sex group (F against everything else)."""
     sex = F.when(F.col("sex") == "F", "F").when(F.col("sex") != "F", "M_U")
     rows = presence.withColumns(
-        {"ageclass": age_class_of(F.col("calfyear")), "sex_assume": sex}
+        {"ageclass": age_class_of("calfyear"), "sex_assume": sex}
     ).where(F.col("ageclass").isin("A", "U"))
     return rows.groupBy("pod", "sex_assume", "calfyear", "ageclass").agg(
         F.count(F.lit(1)).alias("n")

@@ -33,7 +33,7 @@ def gpx_fixes(
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("time"))
     dist = nautical_miles(F.col("longitude"), F.col("latitude"), F.col("__lon"), F.col("__lat"))
     rows = rows.withColumns(
-        {"ts": local, "dist_nm": dist, "__s": seconds_between(F.col("time"), F.col("__t"))}
+        {"ts": local, "dist_nm": dist, "__s": seconds_between("time", "__t")}
     )
     rows = rows.withColumns(
         {"date": F.col("ts").cast("date"), "speed_kts": speed_kts(F.col("dist_nm"), F.col("__s"))}

@@ -91,31 +91,30 @@ def life_history(
     )
 
 
-def age_class_of(year: Column) -> Column:
-    """Age class in ``year`` from birth_year, first_year, first_calf and death_year."""
-    birth, first = F.col("birth_year"), F.col("first_year")
-    age = year - birth
-    known = F.when(birth.isNull(), year - first)
-    adult = (age >= ADULT_AGE) | (known >= ADULT_YEARS_KNOWN) | (year >= F.col("first_calf"))
-    return (
-        F.when((year < first) | (year < birth), NOT_YET)
-        .when(year > F.col("death_year"), DEAD)
-        .when(adult, "A")
-        .when((age >= SUBADULT_AGE) & (age < ADULT_AGE), "S-A")
-        .when((age > 0) & (age < SUBADULT_AGE), "J")
-        .when(age == 0, "C")
-        .otherwise("U")
+def age_class_of(year: int | str) -> Column:
+    """Age class in ``year`` (a number or column name) from birth_year, first_year,
+    first_calf and death_year."""
+    return F.expr(
+        f"""CASE
+          WHEN {year} < first_year OR {year} < birth_year THEN '{NOT_YET}'
+          WHEN {year} > death_year THEN '{DEAD}'
+          WHEN {year} - birth_year >= {ADULT_AGE} OR {year} >= first_calf
+            OR (birth_year IS NULL AND {year} - first_year >= {ADULT_YEARS_KNOWN}) THEN 'A'
+          WHEN {year} - birth_year >= {SUBADULT_AGE} THEN 'S-A'
+          WHEN {year} - birth_year > 0 THEN 'J'
+          WHEN {year} - birth_year = 0 THEN 'C'
+          ELSE 'U' END"""
     )
 
 
 def age_class(life: DataFrame, first: int | Column, last: int | Column) -> DataFrame:
     """Every individual in every year with its age class, in long form."""
-    return expand_years(life, first, last).withColumn("ageclass", age_class_of(F.col("year")))
+    return expand_years(life, first, last).withColumn("ageclass", age_class_of("year"))
 
 
 def age_class_at(life: DataFrame, year: int) -> DataFrame:
     """Individuals with their class in one year; no expansion."""
-    return life.withColumns({"year": F.lit(year), "ageclass": age_class_of(F.lit(year))})
+    return life.withColumns({"year": F.lit(year), "ageclass": age_class_of(year)})
 
 
 def alive_at(life: DataFrame, year: int, pod: str | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ def effort_table(
     return effort.join(seen, ["survey_area", "trip"], "left").select(
         title_case(F.col("survey_area")).alias("survey_area"),
         "trip",
-        title_case(season(trip_month(F.col("trip")))).alias("season"),
+        title_case(season(trip_month("trip"))).alias("season"),
         "date_range",
         "effort_days",
         "sighting_days",
@@ -204,7 +204,7 @@ def regional_demography(captures: DataFrame, life: DataFrame, year: int) -> Data
     area = F.when(F.col("region") != "southern", F.col("survey_area"))
     seen = seen.select("region", area.alias("survey_area"), "id_name").distinct()
     details = life.select(
-        F.col("name").alias("id_name"), "pod", "sex", age_class_of(F.lit(year)).alias("ageclass")
+        F.col("name").alias("id_name"), "pod", "sex", age_class_of(year).alias("ageclass")
     )
     return _two_rollups(seen.join(details, "id_name", "left"), ["region", "survey_area", "pod"])
 
@@ -230,7 +230,7 @@ def permit_tables(captures: DataFrame, life: DataFrame, year: int) -> DataFrame:
     ``life`` needs survey_area. The class is next year's for animals born after the
     permit year, else this year's; everything but A and U reads J.
     """
-    now, then = age_class_of(F.lit(year)), age_class_of(F.lit(year + 1))
+    now, then = age_class_of(year), age_class_of(year + 1)
     known = life.withColumns({"__now": now, "__then": then}).where(
         (F.col("__then") != NOT_YET) & (F.col("__now") != DEAD)
     )

@@ -255,7 +255,7 @@ def encounter_hours(enc: DataFrame, species: str = "Bottlenose") -> DataFrame:
     distance = F.when(F.col("encounter_type") == "Follow", FAR).otherwise(NEAR)
     hours = (
         sightings.groupBy(distance.alias("distance"), "permit")
-        .agg(F.sum(minutes_between(F.col("__start"), F.col("__end"))).alias("__minutes"))
+        .agg(F.sum(minutes_between("__start", "__end")).alias("__minutes"))
         .withColumn("__hours", F.bround(F.coalesce("__minutes", F.lit(0.0)) / 60, 1))
     )
     cells = [

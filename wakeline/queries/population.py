@@ -700,6 +700,6 @@ def _(t):
     from wakeline.functions.dates import season, trip_month
 
     special = ((1996, 12, "SPRING"), (1999, 12, "SPRING"))
-    name = season(trip_month(F.col("trip")), F.col("year"), special)
+    name = season(trip_month("trip"), "year", special)
     return b.captures(t).groupBy("trip", name.alias("season")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -196,7 +196,7 @@ def _(t):
 )
 def _(t):
     history = _history(t)
-    classes = {n: life.age_class_of(F.lit(y)) for n, y in (("now", 1998), ("next", 1999))}
+    classes = {n: life.age_class_of(y) for n, y in (("now", 1998), ("next", 1999))}
     return history.withColumns(classes).select("name", *classes)
 
 
@@ -796,7 +796,7 @@ def _(t):
 )
 def _(t):
     ends = t.events.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
-    return ends.select("user_id", F.round(dates.minutes_between(F.col("a"), F.col("z")), 6).alias("minutes"))
+    return ends.select("user_id", F.round(dates.minutes_between("a", "z"), 6).alias("minutes"))
 
 
 @query("calf_year", "SELECT o_orderkey, year(o_orderdate) + CASE WHEN month(o_orderdate) >= 9 THEN 1 ELSE 0 END AS calfyear FROM orders")
