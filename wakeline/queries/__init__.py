@@ -27,4 +27,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from wakeline.queries import population, survey, verbs  # noqa: F401
+    from wakeline.queries import live, population, survey, verbs  # noqa: F401

@@ -1,42 +1,52 @@
 """Live forms of track thinning, photo grouping and first sightings.
 
 Each returns a streaming DataFrame; starting the query, its trigger, sink and
-checkpoint stay with the caller.
+checkpoint stay with the caller. Watermarks need instants, so clock times are read
+in the session time zone, which should be UTC, and given back as clock times.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 
+def _instants(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
+
+
 def stream_thin(fixes: DataFrame, seconds: int = 10, late: str = "10 minutes") -> DataFrame:
     """First fix per device and time bin. Bins are aligned to the epoch, unlike the batch
     operator's, because a stream does not know a device's first fix in advance."""
     point = F.struct("ts", "latitude", "longitude")
     return (
-        fixes.withWatermark("ts", late)
+        _instants(fixes, "ts")
+        .withWatermark("ts", late)
         .groupBy("device_id", F.window("ts", f"{seconds} seconds"))
         .agg(F.min(point).alias("p"))
-        .select("device_id", "p.ts", "p.latitude", "p.longitude")
+        .select("device_id", F.col("p.ts").cast("timestamp_ntz").alias("ts"), "p.latitude", "p.longitude")
     )
 
 
 def stream_photo_groups(
-    photos: DataFrame, windows: DataFrame, longest: str = "12 hours", late: str = "1 hour"
+    photos: DataFrame,
+    windows: DataFrame,
+    by: Sequence[str] = ("date",),
+    longest: str = "12 hours",
+    late: str = "1 hour",
 ) -> DataFrame:
-    """Photos joined to the sighting windows (lo, hi, date, group) that contain them.
+    """Photos joined to the sighting windows (``by``, lo, hi, sighting_number) holding them.
 
     ``longest`` bounds a sighting's length so that both sides' state can be dropped.
     """
-    shots = photos.withWatermark("ts", late)
-    spans = windows.withWatermark("lo", late).withColumnRenamed("date", "__date")
-    inside = (
-        (F.col("date") == F.col("__date"))
-        & (F.col("ts") >= F.col("lo"))
-        & (F.col("ts") <= F.col("hi"))
-        & (F.col("ts") <= F.col("lo") + F.expr(f"INTERVAL {longest}"))
-    )
-    return shots.join(spans, inside, "inner").drop("__date")
+    shots = _instants(photos, "ts").withWatermark("ts", late)
+    spans = _instants(windows, "lo", "hi").withWatermark("lo", late).withColumnsRenamed({k: f"__{k}" for k in by})
+    inside = F.expr(f"ts >= lo AND ts <= hi AND ts <= lo + INTERVAL {longest}")
+    for k in by:
+        inside = inside & (F.col(k) == F.col(f"__{k}"))
+    joined = shots.join(spans, inside, "inner").drop(*[f"__{k}" for k in by])
+    return joined.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "lo", "hi")})
 
 
 def stream_first_seen(captures: DataFrame) -> DataFrame:
