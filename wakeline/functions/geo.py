@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Ellipsoid axes (m), flattening, metres in a nautical mile.
 SEMI_MAJOR_M = 6378137.0
@@ -15,93 +13,74 @@ METRES_PER_NM = 1852.0
 # Latitude band of each complex (south, north).
 AREA_BANDS = {"Dusky": (-45.82, -45.48), "Doubtful": (-45.5, -45.15)}
 
-# Neighbouring fixes converge within three rounds; eight leaves ample margin.
-VINCENTY_ROUNDS = 8
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once for ``body`` so that it is not recomputed at every use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _sphere(lam: Column, u1: Column, u2: Column) -> Column:
-    """Angular separation terms for one longitude difference on the auxiliary sphere."""
-    cross = F.cos(u2) * F.sin(lam)
-    along = F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(lam)
-    base = F.struct(
-        F.sqrt(cross * cross + along * along).alias("sin"),
-        (F.sin(u1) * F.sin(u2) + F.cos(u1) * F.cos(u2) * F.cos(lam)).alias("cos"),
-    )
-
-    def azimuth(s: Column) -> Column:
-        sin_a = F.try_divide(F.cos(u1) * F.cos(u2) * F.sin(lam), s["sin"])
-        return _let(
-            F.struct(
-                s["sin"].alias("sin"),
-                s["cos"].alias("cos"),
-                F.atan2(s["sin"], s["cos"]).alias("arc"),
-                sin_a.alias("sin_a"),
-                (1 - sin_a * sin_a).alias("cos2_a"),
-            ),
-            lambda t: F.struct(
-                *[t[n].alias(n) for n in ("sin", "cos", "arc", "sin_a", "cos2_a")],
-                # on the equator cos²α is 0 and the mid-point term drops out
-                F.coalesce(
-                    t["cos"] - F.try_divide(2 * F.sin(u1) * F.sin(u2), t["cos2_a"]), F.lit(0.0)
-                ).alias("mid"),
-            ),
-        )
-
-    return _let(base, azimuth)
-
-
-def vincenty_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Metres between two positions on the ellipsoid (Vincenty's inverse formula).
-
-    NULL in, NULL out; coincident positions give 0.
+# Each round shrinks the error by the flattening, so six reach double precision.
+VINCENTY_ROUNDS = 6
+
+
+def _vincenty_steps(lon1: str, lat1: str, lon2: str, lat2: str) -> dict[str, str]:
+    """Named steps of Vincenty's inverse formula, each using the ones before it."""
+    a, b, f = f"{SEMI_MAJOR_M!r}D", f"{SEMI_MINOR_M!r}D", f"{FLATTENING!r}D"
+    steps = {
+        "dl": f"radians({lon2} - {lon1})",
+        "u1": f"atan((1 - {f}) * tan(radians({lat1})))",
+        "u2": f"atan((1 - {f}) * tan(radians({lat2})))",
+        "s1": "sin(@u1)", "c1": "cos(@u1)", "s2": "sin(@u2)", "c2": "cos(@u2)",
+        "lam0": "@dl",
+    }
+    for i in range(VINCENTY_ROUNDS + 1):
+        sphere = {
+            "p#": "@c2 * sin(@lam#)",
+            "q#": "@c1 * @s2 - @s1 * @c2 * cos(@lam#)",
+            "ss#": "sqrt(@p# * @p# + @q# * @q#)",
+            "cs#": "@s1 * @s2 + @c1 * @c2 * cos(@lam#)",
+            "arc#": "atan2(@ss#, @cs#)",
+            "sa#": "try_divide(@c1 * @c2 * sin(@lam#), @ss#)",
+            "ca#": "1 - @sa# * @sa#",
+            # along the equator the mid-point term drops out
+            "mid#": "coalesce(@cs# - try_divide(2 * @s1 * @s2, @ca#), 0D)",
+        }
+        if i < VINCENTY_ROUNDS:
+            sphere["k#"] = f"{f} / 16 * @ca# * (4 + {f} * (4 - 3 * @ca#))"
+            sphere[f"lam{i + 1}"] = (
+                f"@dl + (1 - @k#) * {f} * @sa# * (@arc# + @k# * @ss# * "
+                "(@mid# + @k# * @cs# * (2 * @mid# * @mid# - 1)))"
+            )
+        steps.update({n.replace("#", str(i)): e.replace("#", str(i)) for n, e in sphere.items()})
+    last = str(VINCENTY_ROUNDS)
+    closing = {
+        "usq": f"@ca# * (({a} * {a} - {b} * {b}) / ({b} * {b}))",
+        "ba": "1 + @usq / 16384 * (4096 + @usq * (-768 + @usq * (320 - 175 * @usq)))",
+        "bb": "@usq / 1024 * (256 + @usq * (-128 + @usq * (74 - 47 * @usq)))",
+        "tail": "@bb / 6 * @mid# * (4 * @ss# * @ss# - 3) * (4 * @mid# * @mid# - 3)",
+        "turn": "@bb * @ss# * (@mid# + @bb / 4 * (@cs# * (2 * @mid# * @mid# - 1) - @tail))",
+        "metres": f"CASE WHEN {lon1} = {lon2} AND {lat1} = {lat2} THEN 0D "
+        f"ELSE {b} * @ba * (@arc# - @turn) END",
+    }
+    steps.update({n: e.replace("#", last) for n, e in closing.items()})
+    return steps
+
+
+def with_metres(
+    df: DataFrame, out: str, lon1: str, lat1: str, lon2: str, lat2: str
+) -> DataFrame:
+    """Add the ellipsoidal distance in metres between two positions of each row.
+
+    NULL in, NULL out; coincident positions give 0. The steps are lateral aliases of
+    one select: Catalyst stacks them as projections, so every step is computed once
+    inside whole-stage codegen, without lambdas or UDFs.
     """
-    f = FLATTENING
-    ecc = (SEMI_MAJOR_M**2 - SEMI_MINOR_M**2) / SEMI_MINOR_M**2
-    ends = F.struct(
-        F.radians(lon2 - lon1).alias("dl"),
-        F.atan((1 - f) * F.tan(F.radians(lat1))).alias("u1"),
-        F.atan((1 - f) * F.tan(F.radians(lat2))).alias("u2"),
+    steps = _vincenty_steps(lon1, lat1, lon2, lat2)
+    texts = [f"{e.replace('@', '__v_')} AS __v_{n}" for n, e in steps.items()]
+    return df.selectExpr("*", *texts).withColumn(out, F.col("__v_metres")).drop(
+        *[f"__v_{n}" for n in steps]
     )
 
-    def distance(e: Column) -> Column:
-        dl, u1, u2 = e["dl"], e["u1"], e["u2"]
-
-        def refine(lam: Column, _round: Column) -> Column:
-            def next_lam(s: Column) -> Column:
-                c = f / 16 * s["cos2_a"] * (4 + f * (4 - 3 * s["cos2_a"]))
-                inner = s["mid"] + c * s["cos"] * (2 * s["mid"] * s["mid"] - 1)
-                return dl + (1 - c) * f * s["sin_a"] * (s["arc"] + c * s["sin"] * inner)
-
-            return _let(_sphere(lam, u1, u2), next_lam)
-
-        def length(s: Column) -> Column:
-            usq = s["cos2_a"] * ecc
-            big_a = 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq)))
-            big_b = usq / 1024 * (256 + usq * (-128 + usq * (74 - 47 * usq)))
-            mid = s["mid"]
-            tail = (
-                big_b / 6 * mid * (4 * s["sin"] * s["sin"] - 3) * (4 * mid * mid - 3)
-            )
-            shift = big_b * s["sin"] * (
-                mid + big_b / 4 * (s["cos"] * (2 * mid * mid - 1) - tail)
-            )
-            return SEMI_MINOR_M * big_a * (s["arc"] - shift)
-
-        rounds = F.sequence(F.lit(1), F.lit(VINCENTY_ROUNDS))
-        return _let(F.aggregate(rounds, dl, refine), lambda lam: _let(_sphere(lam, u1, u2), length))
-
-    known = lon1.isNotNull() & lat1.isNotNull() & lon2.isNotNull() & lat2.isNotNull()
-    same = (lon1 == lon2) & (lat1 == lat2)
-    return F.when(known & same, F.lit(0.0)).when(known, _let(ends, distance))
-
 
-def nautical_miles(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    return vincenty_m(lon1, lat1, lon2, lat2) / METRES_PER_NM
+def with_nautical_miles(
+    df: DataFrame, out: str, lon1: str, lat1: str, lon2: str, lat2: str
+) -> DataFrame:
+    measured = with_metres(df, out, lon1, lat1, lon2, lat2)
+    return measured.withColumn(out, F.col(out) / METRES_PER_NM)
 
 
 def speed_kts(dist_nm: Column, seconds: Column) -> Column:

@@ -33,6 +33,12 @@ def replace_first(text: Column, pattern: str, to: str) -> Column:
     return F.regexp_replace(text, f"(?s)^(.*?){pattern}", f"$1{to}")
 
 
+def replace_first_text(text: Column, find: str, to: str) -> Column:
+    """Replace the first occurrence of a fixed text, without a regex."""
+    at = F.instr(text, find)
+    return F.when(at > 0, F.overlay(text, F.lit(to), at, F.lit(len(find)))).otherwise(text)
+
+
 def word(text: Column, n: int) -> Column:
     return F.get(F.split(text, " "), F.lit(n - 1))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wakeline.functions.dates import seconds_between
-from wakeline.functions.geo import nautical_miles, speed_kts
+from wakeline.functions.geo import speed_kts, with_nautical_miles
 from wakeline.operators.ordered import lead_row
 from wakeline.operators.shape import explode_vertices
 
@@ -31,10 +31,8 @@ def gpx_fixes(
     nxt = {"__t": "time", "__lat": "latitude", "__lon": "longitude"}
     rows = lead_row(points, nxt, by, "time", ("latitude", "longitude"), span_seconds)
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("time"))
-    dist = nautical_miles(F.col("longitude"), F.col("latitude"), F.col("__lon"), F.col("__lat"))
-    rows = rows.withColumns(
-        {"ts": local, "dist_nm": dist, "__s": seconds_between("time", "__t")}
-    )
+    rows = with_nautical_miles(rows, "dist_nm", "longitude", "latitude", "__lon", "__lat")
+    rows = rows.withColumns({"ts": local, "__s": seconds_between("time", "__t")})
     rows = rows.withColumns(
         {"date": F.col("ts").cast("date"), "speed_kts": speed_kts(F.col("dist_nm"), F.col("__s"))}
     )

@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wakeline.functions.dates import parse_ts
 from wakeline.functions.text import (
     basename,
-    contains,
     drop_extension,
     parent_folder,
-    replace_first,
+    replace_first_text,
     word,
 )
 from wakeline.operators.joins import interval_assign
@@ -87,44 +86,33 @@ def parse_filenames(
     if era not in ERAS:
         raise ValueError(f"era must be one of {ERAS}, not {era!r}")
     raw, source = F.col("file_name"), F.col("source_file")
-    trimmed = replace_first(raw, " '", "")
-    both = replace_first(replace_first(F.upper(raw), "WITH", "and"), "&", "and")
-    second_file = replace_first(both, " '", "")
+    both = replace_first_text(replace_first_text(F.upper(raw), "WITH", "and"), "&", "and")
+    in_2006 = era == "in_2006"
+    rows = metadata.withColumns(
+        {"__file": raw if in_2006 else replace_first_text(raw, " '", ""), "__both": both}
+    )
+    two = F.lower("__both").contains(" and ")
+    rows = rows.withColumn("__row", F.explode(F.when(two, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    first = F.col("__row") == 1
+    file = F.when(first, F.col("__file")).otherwise(replace_first_text(F.col("__both"), " '", ""))
+    rows = rows.withColumn("__name", file)
 
+    shown = F.col("__name")
     if era == "post_2008":
-        file, name, from_end = trimmed, _first_word(trimmed), 14
+        name, from_end = _first_word(shown), 14
     elif era == "to_2008":
-        file, name, from_end = trimmed, _first_word(F.substring(raw, 7, 2**31 - 1)), 7
+        name, from_end = _first_word(F.substring(raw, 7, 2**31 - 1)), 7
     else:
-        file, name, from_end = raw, _first_word(parent_folder(source)), 6
-
-    def frame(text: Column) -> Column:
-        return F.substring(text, -12, 8)
-
-    in_2006 = era == "in_2006"
-    note = F.when(contains(file, "'"), CONDITIONAL).otherwise("")
-    first = F.struct(
-        file.alias("file_name"),
-        name.alias("name"),
-        note.alias("comments"),
-        (basename(source) if in_2006 else frame(file)).alias("filename"),
-    )
-    second = F.struct(
-        second_file.alias("file_name"),
-        F.upper(word(second_file, 3)).alias("name"),
-        F.lit("").alias("comments"),
-        (F.lit(None).cast("string") if in_2006 else frame(second_file)).alias("filename"),
-    )
-    two = contains(F.lower(both), " and ")
-    rows = metadata.withColumn("__r", F.explode(F.array_compact(F.array(first, F.when(two, second)))))
+        name, from_end = _first_word(parent_folder(source)), 6
+    quoted = first & F.coalesce(shown.contains("'"), F.lit(False))
+    frame = F.when(first, basename(source)) if in_2006 else F.substring(shown, -12, 8)
 
-    part = F.substring(F.col("__r.file_name"), -from_end, 1)
-    lower = era == "post_2008"
+    part = F.substring(shown, -from_end, 1)
+    lower = era == "post_2008" and not normalise_part
     side = F.upper(part) if normalise_part else part
-    upper = normalise_part or not lower
     recoded = (
-        F.when(side == ("L" if upper else "l"), "LD")
-        .when(side == ("R" if upper else "r"), "RD")
+        F.when(side == ("l" if lower else "L"), "LD")
+        .when(side == ("r" if lower else "R"), "RD")
         .otherwise(part)
     )
     ts = parse_ts(F.col("datetime_original"), CAMERA_TIME)
@@ -132,15 +120,15 @@ def parse_filenames(
         F.lit(area.upper()).alias("survey_area"),
         F.lit(trip).alias("trip"),
         ts.cast("date").alias("date"),
-        F.col("__r.filename").alias("filename"),
+        frame.alias("filename"),
         ts.alias("ts"),
-        F.col("__r.name").alias("name"),
+        F.when(first, name).otherwise(F.upper(word(shown, 3))).alias("name"),
         recoded.alias("part"),
         F.lit("").alias("group"),
         F.lit("").alias("photographer"),
-        F.col("__r.comments").alias("comments"),
+        F.when(quoted, CONDITIONAL).otherwise("").alias("comments"),
         "source_file",
-        F.col("__r.file_name").alias("file_name"),
+        shown.alias("file_name"),
         "datetime_original",
     )
 
@@ -165,8 +153,8 @@ def resolve_duplicates(
 
 def raw_to_jpg(metadata: DataFrame) -> DataFrame:
     """Path of the jpg made from a raw file, with its local capture time."""
-    jpg = replace_first(F.col("source_file"), r"\.NEF", ".jpg")
-    jpg = replace_first(jpg, "Original NEF files/", "")
+    jpg = replace_first_text(F.col("source_file"), ".NEF", ".jpg")
+    jpg = replace_first_text(jpg, "Original NEF files/", "")
     return metadata.select(
         "source_file",
         jpg.alias("jpg_filename"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions.dates import minutes_between, parse_ts
-from wakeline.functions.geo import AREA_BANDS, nautical_miles
+from wakeline.functions.geo import AREA_BANDS, with_nautical_miles
 from wakeline.functions.text import contains
 from wakeline.operators.joins import asof_join
 from wakeline.operators.ordered import (
@@ -219,9 +219,9 @@ def effort_distance(survey: DataFrame, area: str = "Other") -> DataFrame:
     )
     if area == "Other":
         legs = legs.where(~_in_band("Dusky"))
-    step = nautical_miles(F.col("longitude"), F.col("latitude"), F.col("__lon"), F.col("__lat"))
-    return legs.groupBy("date", "event").agg(
-        F.coalesce(F.sum(step), F.lit(0.0)).alias("dist_nm"), F.count(F.lit(1)).alias("n_fixes")
+    steps = with_nautical_miles(legs, "__nm", "longitude", "latitude", "__lon", "__lat")
+    return steps.groupBy("date", "event").agg(
+        F.coalesce(F.sum("__nm"), F.lit(0.0)).alias("dist_nm"), F.count(F.lit(1)).alias("n_fixes")
     )
 
 

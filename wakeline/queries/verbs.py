@@ -886,11 +886,15 @@ def _(t):
 )
 def _(t):
     n = F.col("event_id")
-    metres = geo.vincenty_m(
-        F.lit(166.45) + (n % 5500) / 10000.0, F.lit(-45.8) + (n % 3000) / 10000.0,
-        F.lit(166.45) + (n % 900) / 1000.0, F.lit(-45.8) + (n % 700) / 1000.0,
-    )
-    return t.events.select("event_id", F.round(metres, 3).alias("metres"))
+    pairs = t.events.select(
+        "event_id",
+        (F.lit(166.45) + (n % 5500) / 10000.0).alias("lon1"),
+        (F.lit(-45.8) + (n % 3000) / 10000.0).alias("lat1"),
+        (F.lit(166.45) + (n % 900) / 1000.0).alias("lon2"),
+        (F.lit(-45.8) + (n % 700) / 1000.0).alias("lat2"),
+    )
+    measured = geo.with_metres(pairs, "metres", "lon1", "lat1", "lon2", "lat2")
+    return measured.select("event_id", F.round("metres", 3).alias("metres"))
 
 
 @query(
