@@ -5,6 +5,7 @@ import math
 import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -75,19 +76,23 @@ def main():
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    con, sqls, bad = open_oracle(folder), entry.oracle_sql(), 0
-    for name, fn in entry.queries().items():
-        if wanted and name not in wanted:
-            continue
+    con, sqls = open_oracle(folder), entry.oracle_sql()
+
+    def run(item):
+        name, fn = item
         start = time.time()
         try:
-            n, problem = check(spark, con, name, fn, sqls.get(name), folder)
+            n, problem = check(spark, con.cursor(), name, fn, sqls.get(name), folder)
         except Exception as e:  # noqa: BLE001
             n, problem = -1, f"{type(e).__name__}: {str(e)[:600]}"
-        bad += problem is not None
         state = "BAD" if problem else ("ok" if name in sqls else "rows")
-        print(f"{state:5}{name:28}{n:8} rows {time.time() - start:6.1f}s {problem or ''}", flush=True)
-    print("problems:", bad)
+        print(f"\n{state:5}{name:28}{n:8} rows {time.time() - start:6.1f}s {problem or ''}", flush=True)
+        return problem is not None
+
+    chosen = [(n, f) for n, f in entry.queries().items() if not wanted or n in wanted]
+    with ThreadPoolExecutor(4) as pool:
+        bad = sum(pool.map(run, chosen))
+    print("problems:", bad, "of", len(chosen))
     return bad
 
 

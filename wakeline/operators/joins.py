@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions.dates import DAY_SECONDS, MICROS_PER_SECOND, micros
 from wakeline.operators.ordered import _CELL, _across_cells, _cell, _with_inherited
+from wakeline.operators.skew import salt_of, with_salts
 
 HOUR_SECONDS = 3_600
 
@@ -112,14 +113,10 @@ def interval_assign(
     """
     width = bin_seconds * MICROS_PER_SECOND
     bin_of = lambda c: F.floor(micros(c) / width)
-    spread = F.pmod(F.xxhash64(*points.columns), F.lit(salts))
-    left = points.withColumns({"__bin": bin_of(ts), "__salt": spread})
-    right = (
-        intervals.where(F.col(lo) <= F.col(hi))
-        .withColumn("__rbin", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
-        .withColumn("__rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-        .withColumnsRenamed({k: f"__k_{k}" for k in by})
-    )
+    left = points.withColumns({"__bin": bin_of(ts), "__salt": salt_of(points.columns, salts)})
+    right = intervals.where(F.col(lo) <= F.col(hi))
+    right = right.withColumn("__rbin", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
+    right = with_salts(right, "__rsalt", salts).withColumnsRenamed({k: f"__k_{k}" for k in by})
     inside = F.col(ts).between(F.col(lo), F.col(hi))
     same = (F.col("__bin") == F.col("__rbin")) & (F.col("__salt") == F.col("__rsalt"))
     for k in by:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from wakeline.functions.dates import DAY_SECONDS, MICROS_PER_SECOND, micros
+from wakeline.operators.skew import attach
 
 _CELL, _BACK = "__cell", "__cell_back"
 
@@ -336,11 +337,5 @@ def locf_frame(
     )
     earlier = before_key(last_of_key, key, lasts={f"__p_{c}": c for c in cols})
     carried = locf(df, cols, [key], ts, ties, span_seconds)
-    # only rows still empty need the earlier keys, so a hot key does not reach this join
-    empty = None
-    for c in cols:
-        empty = F.col(c).isNull() if empty is None else empty | F.col(c).isNull()
-    earlier = earlier.withColumnRenamed(key, "__key")
-    need = F.when(empty, F.col(key))
-    joined = carried.join(earlier, need == F.col("__key"), "left")
+    joined = attach(carried, earlier, [key])
     return joined.withColumns({c: F.coalesce(c, f"__p_{c}") for c in cols}).select(*df.columns)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
+from wakeline.operators.skew import SALTS, attach
+
 
 def blank_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Empty text becomes NULL, in the named columns or in every text column."""
@@ -62,30 +64,21 @@ def share_of_total(df: DataFrame, by: Sequence[str], within: Sequence[str]) -> D
 
     The window runs over the grouped counts, not over the rows.
     """
-    from pyspark.sql import Window
-
     counted = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy(*within))
     return counted.withColumn("n_tot", total).withColumn("prop", F.col("n") / F.col("n_tot"))
 
 
 def with_group_stats(
-    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], salts: int = 16
+    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], salts: int = SALTS
 ) -> DataFrame:
     """Group aggregates kept on every row.
 
-    Aggregated map-side first and joined back on (keys, salt): a window over the
-    rows would hold a whole group in one task.
+    Aggregated map-side first and attached over salts: a window over the rows would
+    hold a whole group in one task.
     """
-    keys = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(by)])
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    grouped = df.groupBy(keys.alias("__g")).agg(*[c.alias(n) for n, c in stats.items()])
-    grouped = grouped.withColumn(
-        "__gs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))
-    )
-    rows = df.withColumns({"__k": keys, "__s": salt})
-    joined = rows.join(grouped, (F.col("__k") == F.col("__g")) & (F.col("__s") == F.col("__gs")))
-    return joined.select(*df.columns, *stats)
+    grouped = df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])
+    return attach(df, grouped, by, salts)
 
 
 def explode_vertices(layer: DataFrame, rings: str = "rings") -> DataFrame:

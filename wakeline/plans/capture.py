@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wakeline.functions.dates import SEASON_OVERRIDES, season, shift_years, trip_month
 from wakeline.functions.estimators import chapman, chapman_interval
 from wakeline.functions.text import contains, title_case
-from wakeline.operators.shape import level_rank, pivot_counts
+from wakeline.operators.shape import level_rank, pivot_counts, with_group_stats
 from wakeline.plans.life import age_class_of, first_calf_year
 
 # Order and labels of the age classes, sexes, seasons.
@@ -155,11 +155,8 @@ def _initial(spring, summer, summer_surveyed):
 def season_captures(flags: DataFrame, scheme: str = "calendar") -> DataFrame:
     """Season flags with 999 where a pod-year was not surveyed, and the recapture flag."""
     names = ("winter", "spring", "autumn", "summer")
-    surveyed = flags.groupBy("year", "pod").agg(*[F.max(c).alias(f"__{c}") for c in names])
-    # one row per pod-year: a few hundred, joined back on a NULL-safe pod
-    surveyed = surveyed.withColumnsRenamed({"year": "__year", "pod": "__pod"})
-    same = (F.col("year") == F.col("__year")) & F.col("pod").eqNullSafe(F.col("__pod"))
-    rows = flags.join(surveyed, same, "left")
+    surveyed = {f"__{c}": F.max(c) for c in names}
+    rows = with_group_stats(flags, ["year", "pod"], surveyed)
     has = {c: F.col(f"__{c}") == 1 for c in names}
     hit = {c: F.col(c) == 1 for c in names}
     if scheme == "calendar":

@@ -60,10 +60,10 @@ def photo_groups(
     bin_seconds: int = 3_600,
 ) -> DataFrame:
     """Sighting number of each photo; photos outside every sighting stay, ungrouped."""
-    intervals = windows.select(*by, "lo", "hi", F.col("sighting_number").alias("group"))
+    group = F.col("sighting_number").alias("group")
+    intervals = windows.select(*by, "lo", "hi", group).distinct()
     rows = photos.drop("group").distinct()
-    joined = interval_assign(rows, intervals, by, "ts", "lo", "hi", "left", bin_seconds)
-    return joined.drop("lo", "hi").distinct()
+    return interval_assign(rows, intervals, by, "ts", "lo", "hi", "left", bin_seconds).drop("lo", "hi")
 
 
 def photo_count(photos: DataFrame) -> DataFrame:
@@ -139,15 +139,14 @@ def resolve_duplicates(
     """Of several rows for one frame drop the unnamed ones.
 
     Named rows stay as they are; an unnamed row stays when its frame has one row.
-    Frames are counted map-side, so a frame repeated in a third of the rows costs
-    one summary row per task.
+    Those are read off one aggregation that combines map-side, so a frame repeated
+    in a third of the rows costs one row per task and nothing is joined.
     """
     named = F.coalesce(F.col(name) != "", F.lit(False))
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])
-    single = rows.groupBy(key.alias("__single")).agg(F.count(F.lit(1)).alias("__n"))
-    single = single.where("__n = 1").select("__single")
-    alone = rows.where(~named).withColumn("__k", key)
-    alone = alone.join(single, F.col("__k") == F.col("__single"), "left_semi").drop("__k")
+    frames = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*rows.columns)).alias("__row")
+    )
+    alone = frames.where("__n = 1").select("__row.*").where(~named)
     return rows.where(named).unionByName(alone)
 
 

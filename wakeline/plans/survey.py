@@ -17,6 +17,7 @@ from wakeline.operators.ordered import (
     thin_bins,
 )
 from wakeline.operators.shape import blank_to_null, ensure_columns
+from wakeline.operators.skew import attach
 
 # Log entries and permit names.
 ENCOUNTER_TYPES = ("Initial", "Repeat", "Follow")
@@ -106,9 +107,8 @@ def _numbered_pairs(paired: DataFrame, marks: DataFrame, out: str) -> DataFrame:
     pairs = F.floor((F.count(F.lit(1)) + 1) / 2).alias("__n")
     per_device = marks.groupBy("device_id").agg(pairs)
     offsets = before_key(per_device, "device_id", sums={"__before": "__n"})
-    offsets = offsets.withColumnRenamed("device_id", "__device")
-    joined = paired.join(offsets, F.col("device_id").eqNullSafe(F.col("__device")), "left")
-    return joined.withColumn(out, F.col("pair") + F.col("__before")).drop("__device", "__before")
+    joined = attach(paired, offsets, ["device_id"])
+    return joined.withColumn(out, F.col("pair") + F.col("__before")).drop("__before")
 
 
 def effort_marks(survey: DataFrame) -> DataFrame:

@@ -373,6 +373,38 @@ def _(t):
     return reports.abundance_table(capture.two_sample_abundance(_flags(t)))
 
 
+@query(
+    "population_text",
+    _estimate_sql("calendar")
+    + """SELECT year, pod, year || ': ' || nhat || ' (95% CI = ' || lcl || '--' || ucl || ')' AS popsent
+      FROM estimates WHERE pod = 'BUILDING' AND year = (SELECT max(year) FROM estimates)""",
+)
+def _(t):
+    estimates = capture.two_sample_abundance(_flags(t)).withColumnRenamed("nhat", "est")
+    return reports.population_text(estimates, "BUILDING")
+
+
+@query(
+    "place_list",
+    """SELECT n_regionkey, array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] AS places
+      FROM (SELECT n_regionkey, list(n_name ORDER BY n_name) AS l FROM nation GROUP BY n_regionkey) WHERE len(l) > 1""",
+)
+def _(t):
+    named = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("l"))
+    return named.where(F.size("l") > 1).select("n_regionkey", reports.place_list(F.col("l")).alias("places"))
+
+
+@query(
+    "crew_lines",
+    "SELECT s_suppkey, s_name || ' ' || n_name || ', ' || r_name AS crew_line FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
+)
+def _(t):
+    home = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    crew = t.supplier.join(home, F.col("s_nationkey") == F.col("n_nationkey"))
+    crew = crew.selectExpr("s_suppkey", "s_name AS first", "n_name AS last", "r_name AS organization")
+    return reports.crew_lines(crew).select("s_suppkey", "crew_line")
+
+
 # --- censuses -------------------------------------------------------------------------------
 
 # One hand-listed exclusion, as (individual, year).
