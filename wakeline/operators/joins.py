@@ -7,7 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions.dates import DAY_SECONDS, MICROS_PER_SECOND, micros
-from wakeline.operators.ordered import _CELL, _across_cells, _cell, _with_inherited
+from wakeline.operators.ordered import (
+    _CELL,
+    _across_cells,
+    _cell,
+    _with_inherited,
+    summarise_cells,
+)
 from wakeline.operators.skew import salt_of, with_salts
 
 HOUR_SECONDS = 3_600
@@ -45,11 +51,10 @@ def asof_join(
     rows = rows.withColumn(_CELL, _cell(by, on, span_seconds))
 
     back, ahead = direction != "forward", direction != "backward"
-    point = F.when(F.col("__right") == 1, F.struct(F.col(on).alias("t"), F.col("__r").alias("r")))
-    summary = rows.groupBy(_CELL).agg(
-        *([F.max(point).alias("__last")] if back else []),
-        *([F.min(point).alias("__first")] if ahead else []),
-    )
+    point = F.struct(F.col(on).alias("t"), F.col("__r").alias("r"))
+    points = stops.select(_cell(by, on, span_seconds).alias(_CELL), point.alias("__p"))
+    edges = {**({"__last": F.max("__p")} if back else {}), **({"__first": F.min("__p")} if ahead else {})}
+    summary = summarise_cells(rows, points, edges)
     inherited = [F.col(_CELL)]
     if back:
         seen = F.last("__last", ignorenulls=True).over(_across_cells(by))

@@ -18,6 +18,8 @@ and the join share one hash partitioning.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
@@ -53,6 +55,29 @@ def _across_cells(by: Sequence[str], reverse: bool = False):
     )
 
 
+def summarise_cells(
+    cells: DataFrame, points: DataFrame, aggs: Mapping[str, Column], cell: str = _CELL
+) -> DataFrame:
+    """One row per cell of ``cells`` with aggregates over the ``points`` inside it.
+
+    Aggregating structs makes Spark sort its input, so only the rows that carry a
+    value go through it; the mere presence of a cell is a hash aggregation.
+    """
+    present = cells.select(cell).distinct()
+    rows = present.unionByName(points, allowMissingColumns=True)
+    return rows.groupBy(cell).agg(*[a.alias(n) for n, a in aggs.items()])
+
+
+def _known_points(rows: DataFrame, key: str, cols, ts: str, ties) -> DataFrame:
+    """Key and one point per column, of the rows where any of ``cols`` is known."""
+    points = [
+        F.when(F.col(c).isNotNull(), _point(ts, ties, v=F.col(c))).alias(f"__e{i}")
+        for i, c in enumerate(cols)
+    ]
+    some = reduce(or_, [F.col(c).isNotNull() for c in cols])
+    return rows.where(some).select(key, *points)
+
+
 def _with_inherited(cells: DataFrame, summary: DataFrame) -> DataFrame:
     inherited = summary.withColumnRenamed(_CELL, _BACK)
     return cells.join(inherited, F.col(_CELL) == F.col(_BACK), "left").drop(_BACK)
@@ -61,12 +86,9 @@ def _with_inherited(cells: DataFrame, summary: DataFrame) -> DataFrame:
 def _fill(df, cols, by, ts, ties, span_seconds, reverse):
     cells = df.withColumn(_CELL, _cell(by, ts, span_seconds))
     edge = F.min if reverse else F.max
-    summary = cells.groupBy(_CELL).agg(
-        *[
-            edge(F.when(F.col(c).isNotNull(), _point(ts, ties, v=F.col(c)))).alias(f"__e{i}")
-            for i, c in enumerate(cols)
-        ]
-    )
+    points = _known_points(cells, _CELL, cols, ts, ties)
+    edges = {f"__e{i}": edge(f"__e{i}") for i in range(len(cols))}
+    summary = summarise_cells(cells, points, edges)
     across = _across_cells(by, reverse)
     summary = summary.select(
         _CELL,
@@ -329,12 +351,9 @@ def locf_frame(
     Rows of a key before its first known value take the last value of the keys
     before it, as a forward fill over a sorted table does.
     """
-    last_of_key = df.groupBy(key).agg(
-        *[
-            F.max(F.when(F.col(c).isNotNull(), _point(ts, ties, v=F.col(c))))["v"].alias(c)
-            for c in cols
-        ]
-    )
+    points = _known_points(df, key, cols, ts, ties)
+    lasts = {c: F.max(f"__e{i}")["v"] for i, c in enumerate(cols)}
+    last_of_key = summarise_cells(df, points, lasts, key)
     earlier = before_key(last_of_key, key, lasts={f"__p_{c}": c for c in cols})
     carried = locf(df, cols, [key], ts, ties, span_seconds)
     joined = attach(carried, earlier, [key])
