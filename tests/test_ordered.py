@@ -150,3 +150,27 @@ def test_micros_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == 1712457000250000
+
+
+def test_one_key_is_spread_over_tasks(spark):
+    """All rows under one key: every ordered operator still uses many tasks."""
+    hours = spark.range(0, 960).selectExpr(
+        "1 AS k", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts",
+        "CASE WHEN id % 100 = 0 THEN id END AS v",
+    )
+    marks = hours.where("v IS NOT NULL").select("k", "ts", "v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for df, out in (
+            (ordered.locf(hours, ["v"], ["k"], "ts"), "v"),
+            (ordered.number_rows(hours, "n", ["k"], "ts"), "n"),
+            (ordered.lead_row(hours, {"next": "v"}, ["k"], "ts"), "next"),
+            (asof_join(hours.select("k", "ts"), marks, "ts", ["k"]), "matched"),
+        ):
+            # the output column keeps the optimizer from dropping the operator
+            placed = df.select(F.spark_partition_id().alias("p"), F.col(out).isNull().alias("empty"))
+            tasks = placed.groupBy("p").agg(F.count("empty").alias("n")).collect()
+            assert sum(r.n for r in tasks) == 960
+            assert len(tasks) > 1 and max(r.n for r in tasks) < 960 * 0.7
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

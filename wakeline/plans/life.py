@@ -136,15 +136,17 @@ def primiparity(life: DataFrame) -> DataFrame:
 def last_seen(life_long: DataFrame, min_year: int, by: str = "last_year") -> DataFrame:
     """Individuals per pod, last year and class in that year.
 
-    ``by='last_date'`` uses the year of the last date instead of ``last_year``.
+    ``by='last_date'`` uses the year of the last date instead of ``last_year``; only
+    the ``last_year`` form shows individuals not yet born or known as calves.
     """
     last = F.year("last_date") if by == "last_date" else F.col("last_year")
     ended = life_long.withColumn("last_seen_year", last).where(
         (F.col("last_seen_year") == F.col("year")) & (F.col("last_seen_year") >= min_year)
     )
-    named = F.when(F.col("ageclass") == NOT_YET, "C").otherwise(F.col("ageclass"))
     counted = ended.groupBy("pod", "last_seen_year", "ageclass").agg(F.countDistinct("name").alias("n"))
-    return counted.withColumn("ageclass", named)
+    if by == "last_date":
+        return counted
+    return counted.replace(NOT_YET, "C", subset=["ageclass"])
 
 
 def last_seen_list(life_long: DataFrame, reporting_year: int) -> DataFrame:

@@ -212,7 +212,8 @@ def effort_distance(survey: DataFrame, area: str = "Other") -> DataFrame:
     under nine thousand fixes, so a plain window is bounded here. For ``Other`` the
     Dusky band is taken out after the step lengths are known.
     """
-    rows = survey if area == "Other" else survey.where(_in_band(area))
+    inside = F.col("latitude").isNotNull() if area == "Other" else _in_band(area)
+    rows = survey.where(inside)
     leg = Window.partitionBy("date", "event").orderBy("ts", "latitude", "longitude")
     legs = rows.withColumns(
         {"__lat": F.lag("latitude").over(leg), "__lon": F.lag("longitude").over(leg)}

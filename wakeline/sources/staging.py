@@ -16,16 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 
+# local mode only: one scratch folder per application
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def staging_root(spark: SparkSession) -> str:
-    root = spark.conf.get(_CONF, None)
+    """Folder for intermediate tables: the session's checkpoint folder."""
+    context = spark.sparkContext
+    root = spark.conf.get(_CONF, None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="wakeline-stage-")
-    spark.conf.set(_CONF, root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="wakeline-stage-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
