@@ -40,7 +40,9 @@ def photo_table(
     named = named.where(F.col("id_name") != CULLED)
     if files is not None:
         metadata = referenced_metadata(metadata, files, named)
-    timed = named.join(photo_times(metadata), ["filename", "date"], "left")
+    # copies of a metadata row say the same; without this they would multiply the sheets
+    times = photo_times(metadata).distinct()
+    timed = named.join(times, ["filename", "date"], "left")
     area_name = "" if area == "Other" else area.upper()
     return recode(timed, "id_name", NAME_RULES).withColumn("survey_area", F.lit(area_name))
 
