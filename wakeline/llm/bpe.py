@@ -17,7 +17,7 @@ from wakeline.llm.common import fields, map_batches, whole_texts
 PIECE = 1 << 16
 #: A token never holds a white-space character after another character, so the
 #: split pattern always starts a new match there, whatever stands before or after.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 
 
 def load_encoding(rank_file: str, pattern: str) -> tiktoken.Encoding:
