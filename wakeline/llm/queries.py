@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe
+from wakeline.llm import bpe, chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,42 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+#: Both turns of the added conversation -7 say this.
+ADVERSE = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op2_chat_prefix_tree",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '{ADVERSE}'), (-7, 1, 'assistant', '{ADVERSE}')
+    ), sized AS (
+        SELECT *, length(regexp_replace(role || text, '[\\\\<>]', '##', 'g')) + length('<turn:>_</turn>_') AS n,
+            CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss
+        FROM turns
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        sum(length(loss))::BIGINT AS loss_chars,
+        sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+        sum(n)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """,
+)
+def chat_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(-7, 0, "user", ADVERSE), (-7, 1, "assistant", ADVERSE)]
+    turns = turns.unionByName(spark.createDataFrame(added, turns.schema))
+    back = chat.read_conversations(chat.format_conversations(turns))
+    said = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.concat_ws("", said), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
