@@ -52,3 +52,26 @@ def map_batches(
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
 
     return df.mapInArrow(run, schema)
+
+
+def with_text_columns(
+    docs: DataFrame,
+    ddl: str,
+    make: Callable[[], Callable[[list[str]], list]],
+    carry: tuple[str, ...] = ("doc_id",),
+) -> DataFrame:
+    """The ``carry`` columns as they are, then the columns of ``ddl``, which ``make()(texts)`` gives as arrays."""
+    new = T.StructType.fromDDL(ddl)
+    kept = [c for c in carry if c not in new.names]
+    source = docs.select(*kept) if "text" in kept else docs.select(*kept, "text")
+
+    def wrapped():
+        inner = make()
+
+        def work(batch):
+            made = inner([x or "" for x in batch["text"].to_pylist()])
+            return {**{c: batch[c] for c in kept}, **dict(zip(new.names, made, strict=True))}
+
+        return work
+
+    return map_batches(source, T.StructType([*docs.select(*kept).schema, *new]), wrapped)
