@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import anomaly, bpe, chat, quality
+from wakeline.llm import anomaly, bpe, chat, quality, toxicity
 from wakeline.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,14 @@ def pu_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op4_nearest_toxic")
+def nearest_toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    held_out = id_remainder(toxicity.FOLDS) == toxicity.HELD_OUT
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 @query("op5_isolation_rules")
 def isolation_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
