@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import anomaly, bpe, chat, quality, toxicity
+from wakeline.llm import anomaly, bpe, chat, pii, quality, toxicity
 from wakeline.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,23 @@ def isolation_rules(spark: SparkSession, folder: str) -> DataFrame:
         "kept",
         "anomaly",
     )
+
+
+@query("op6_pii_boosting")
+def pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs))
+    base = F.filter("spans", lambda x: x["base"])
+    of_kind = lambda kind: F.filter(base, lambda x: x["kind"] == kind)
+    listed = lambda spans: F.concat_ws(
+        ",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+    )
+    return found.select(
+        "doc_id",
+        *(
+            F.size(of_kind(kind)).cast("long").alias(f"n_{kind}")
+            for kind in ("email", "ip", "card", "phone")
+        ),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
