@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import anomaly, bpe, chat, pii, quality, toxicity
+from wakeline.llm import anomaly, bpe, chat, pii, quality, toxicity, winnow
 from wakeline.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op7_winnowing")
+def winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnow.compare_neighbours(table(spark, folder, "documents"))
