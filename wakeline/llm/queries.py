@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import anomaly, bpe, chat, pii, quality, toxicity, winnow
+from wakeline.llm import anomaly, bpe, chat, neardup, pii, quality, toxicity, winnow
 from wakeline.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +137,37 @@ def pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_winnowing")
 def winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnow.compare_neighbours(table(spark, folder, "documents"))
+
+
+_LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+@query(
+    "op8_tensored_minhash",
+    rf"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE
+            WHEN len(w) = 0 THEN []
+            WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        END) AS g FROM words
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+        FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * c >= 85 * (x.n + y.n - c)
+    ), reach AS (
+        SELECT doc_id, doc_id AS r FROM documents
+        UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r
+    )
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept
+    FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id, n
+    """,
+)
+def tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
