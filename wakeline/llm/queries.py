@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import anomaly, bpe, chat, neardup, pii, quality, toxicity, winnow
+from wakeline.llm import anomaly, bpe, brown, chat, neardup, pii, quality, toxicity, winnow
 from wakeline.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,8 @@ _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.as
 )
 def tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op1_brown_classes")
+def brown_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.score_corpus(table(spark, folder, "documents").select("doc_id", "text"))
