@@ -1,15 +1,70 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators, from raw documents to token ids.
+
+Each stage takes the documents that its predecessor kept, as written and read back.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from wakeline.llm import bpe, mixing, neardup, pii, quality
+from wakeline.sources.staging import staging_root
+
+#: Classifiers and graph steps are not SQL; tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    return neardup.keep_one(docs, size=5, percent=80, bands=12, values=3)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind."""
+    return pii.redact(docs, pii.fit(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in an order that gives each source its target weight."""
+    return mixing.interleave(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_le (little-endian unsigned 32-bit ids) and the decoded bytes' digest, in the same order."""
+    rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = bpe.encode_and_decode(docs, rank_file, public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id",
+        (F.length("ids_le") / 4).cast("long").alias("n_tokens"),
+        "ids_le",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("quality", reject_low_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("pii", redact_personal_data),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to the documents; all but the last are written under the checkpoint folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    root = f"{staging_root(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.anomaly import count_rows
-from wakeline.llm.common import id_remainder, sampled, with_text_columns
+from wakeline.llm.common import id_remainder, map_batches, sampled, with_text_columns
 from wakeline.llm.textstats import COUNTS, ratios
 
 #: Documents of each sample that the fit sees at most, about.
@@ -180,3 +180,16 @@ def score(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] = ("doc_i
         return work
 
     return with_text_columns(docs, "score double, predicted int", make, carry)
+
+
+def keep_good(docs: DataFrame, model: QualityModel, reject_below: float = REJECT_BELOW) -> DataFrame:
+    """The documents that `score` predicts as good, all columns as they are."""
+
+    def make():
+        def work(batch):
+            scores = model.scores(count_rows([x or "" for x in batch["text"].to_pylist()]))
+            return batch.filter(pa.array(scores >= reject_below))
+
+        return work
+
+    return map_batches(docs, docs.schema, make)

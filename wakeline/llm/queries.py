@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import anomaly, bpe, brown, chat, neardup, pii, quality, toxicity, winnow
+from wakeline.llm import anomaly, bpe, brown, chat, mixing, neardup, pii, quality, toxicity, winnow
 from wakeline.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,9 @@ def tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_brown_classes")
 def brown_classes(spark: SparkSession, folder: str) -> DataFrame:
     return brown.score_corpus(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op9_pfair_mixing")
+def pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.schedule(docs).select("doc_id", "source", "block", "slot")
