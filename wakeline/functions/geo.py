@@ -13,8 +13,10 @@ METRES_PER_NM = 1852.0
 # Latitude band of each complex (south, north).
 AREA_BANDS = {"Dusky": (-45.82, -45.48), "Doubtful": (-45.5, -45.15)}
 
-# Each round shrinks the error by the flattening, so six reach double precision.
+# Each round shrinks the error by the flattening, so six reach double precision, but near
+# the antipode, where the rounds may not converge at all.
 VINCENTY_ROUNDS = 6
+CONVERGED = 1e-12
 
 
 def _vincenty_steps(lon1: str, lat1: str, lon2: str, lat2: str) -> dict[str, str]:
@@ -54,7 +56,7 @@ def _vincenty_steps(lon1: str, lat1: str, lon2: str, lat2: str) -> dict[str, str
         "tail": "@bb / 6 * @mid# * (4 * @ss# * @ss# - 3) * (4 * @mid# * @mid# - 3)",
         "turn": "@bb * @ss# * (@mid# + @bb / 4 * (@cs# * (2 * @mid# * @mid# - 1) - @tail))",
         "metres": f"CASE WHEN {lon1} = {lon2} AND {lat1} = {lat2} THEN 0D "
-        f"ELSE {b} * @ba * (@arc# - @turn) END",
+        f"WHEN abs(@lam# - @lam{VINCENTY_ROUNDS - 1}) <= {CONVERGED!r}D THEN {b} * @ba * (@arc# - @turn) END",
     }
     steps.update({n: e.replace("#", last) for n, e in closing.items()})
     return steps
@@ -65,7 +67,8 @@ def with_metres(
 ) -> DataFrame:
     """Add the ellipsoidal distance in metres between two positions of each row.
 
-    NULL in, NULL out; coincident positions give 0. The steps are lateral aliases of
+    NULL in, NULL out; coincident positions give 0; nearly antipodal ones, on which the
+    rounds do not agree, NULL. The steps are lateral aliases of
     one select: Catalyst stacks them as projections, so every step is computed once
     inside whole-stage codegen, without lambdas or UDFs.
     """

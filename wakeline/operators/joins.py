@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,7 +15,6 @@ from wakeline.operators.ordered import (
     _with_inherited,
     summarise_cells,
 )
-from wakeline.operators.skew import salt_of, with_salts
 
 HOUR_SECONDS = 3_600
 
@@ -98,6 +98,10 @@ def asof_join(
     )
 
 
+#: An interval is repeated once per bin up to so many bins; a longer one takes wider bins.
+BINS_PER_INTERVAL = 64
+
+
 def interval_assign(
     points: DataFrame,
     intervals: DataFrame,
@@ -107,27 +111,42 @@ def interval_assign(
     hi: str,
     how: str = "inner",
     bin_seconds: int = HOUR_SECONDS,
-    salts: int = 8,
 ) -> DataFrame:
     """Join points to the intervals (ends included) that contain them, keys equal.
 
-    Intervals are repeated once per time bin they touch, so the join key is
-    (keys, bin) rather than the key alone; a point lies in exactly one bin, so no
-    match is found twice. ``salts`` spreads a bin that many points share. With
-    ``how='left'`` points without an interval are kept.
+    Intervals are repeated once per time bin they touch, so the join key is (keys, bin)
+    rather than the key alone; a point lies in exactly one bin, so no match is found twice.
+    Intervals that would touch more than `BINS_PER_INTERVAL` bins use bins that many times
+    as wide (and so on), each width being a join of its own: one wrong end date does not
+    multiply rows. The widths present, a handful, are looked up first. A bin that many
+    points share is split by adaptive skew handling. With ``how='left'`` points without an
+    interval are kept.
     """
-    width = bin_seconds * MICROS_PER_SECOND
-    bin_of = lambda c: F.floor(micros(c) / width)
-    left = points.withColumns({"__bin": bin_of(ts), "__salt": salt_of(points.columns, salts)})
-    right = intervals.where(F.col(lo) <= F.col(hi))
-    right = right.withColumn("__rbin", F.explode(F.sequence(bin_of(lo), bin_of(hi))))
-    right = with_salts(right, "__rsalt", salts).withColumnsRenamed({k: f"__k_{k}" for k in by})
-    inside = F.col(ts).between(F.col(lo), F.col(hi))
-    same = (F.col("__bin") == F.col("__rbin")) & (F.col("__salt") == F.col("__rsalt"))
-    for k in by:
-        same = same & (F.col(k) == F.col(f"__k_{k}"))
-    joined = left.join(right, same & inside, how)
-    return joined.drop("__bin", "__salt", "__rbin", "__rsalt", *[f"__k_{k}" for k in by])
+    valid = intervals.where(F.col(lo) <= F.col(hi)).withColumnsRenamed({k: f"__k_{k}" for k in by})
+    bins = (micros(hi) - micros(lo)) / (bin_seconds * MICROS_PER_SECOND * BINS_PER_INTERVAL)
+    level = F.ceil(F.log(float(BINS_PER_INTERVAL), F.greatest(bins, F.lit(1.0)))).cast("int")
+    levelled = valid.withColumn("__level", level)
+    levels = sorted(r[0] for r in levelled.select("__level").distinct().collect()) or [0]
+
+    def bin_of(column: str, of: int) -> Column:
+        return F.floor(micros(column) / (bin_seconds * MICROS_PER_SECOND * BINS_PER_INTERVAL**of))
+
+    def matched(rows: DataFrame, of: int, kind: str) -> DataFrame:
+        spans = F.explode(F.sequence(bin_of(lo, of), bin_of(hi, of)))
+        right = levelled.where(F.col("__level") == of).drop("__level").withColumn("__rbin", spans)
+        same = (F.col("__bin") == F.col("__rbin")) & F.col(ts).between(F.col(lo), F.col(hi))
+        for k in by:
+            same = same & (F.col(k) == F.col(f"__k_{k}"))
+        joined = rows.withColumn("__bin", bin_of(ts, of)).join(right, same, kind)
+        return joined.drop("__bin", "__rbin", *[f"__k_{k}" for k in by])
+
+    if len(levels) == 1:
+        return matched(points, levels[0], how)
+    found = reduce(DataFrame.unionByName, (matched(points, of, "inner") for of in levels))
+    if how == "inner":
+        return found
+    alone = reduce(lambda rows, of: matched(rows, of, "left_anti"), levels, points)
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def clip_to_periods(

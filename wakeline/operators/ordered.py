@@ -22,10 +22,10 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
 
 from wakeline.functions.dates import DAY_SECONDS, MICROS_PER_SECOND, micros
 from wakeline.operators.skew import attach
+from wakeline.sources.staging import stage
 
 _CELL, _BACK = "__cell", "__cell_back"
 
@@ -276,23 +276,6 @@ def pair_marks(
     return numbered.withColumn("pair", F.floor((F.col("__n") - 1) / 2) + 1).drop("__n")
 
 
-def _key_bucket(per_key: DataFrame, key: str) -> Column:
-    """Order-preserving coarse bucket of a key, at most a few thousand values."""
-    ends = per_key.agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    k = F.col(key)
-    if isinstance(per_key.schema[key].dataType, T.StringType):
-        # every key shares the common prefix of the smallest and the largest key
-        common = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length("low"), F.lit(1))),
-            lambda i: F.left(F.col("low"), i) == F.left(F.col("high"), i),
-        )
-        shared = ends.select(F.coalesce(F.size(common), F.lit(0))).scalar()
-        return k.substr(shared + 1, F.lit(2))
-    width = F.greatest((F.col("high") - F.col("low")).cast("double"), F.lit(1.0))
-    scale = ends.select(F.struct("low", width.alias("width"))).scalar()
-    return F.floor((k - scale["low"]).cast("double") / scale["width"] * 1024)
-
-
 def before_key(
     per_key: DataFrame,
     key: str,
@@ -300,16 +283,18 @@ def before_key(
     lasts: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """For one row per key: totals (``sums``) and last known values (``lasts``) over all
-    smaller keys. Buckets of keys are summarised first, so no task sees every key.
+    smaller keys. Keys are dealt into even ranges, written once so that a key's range stays
+    the same, and ranges are summarised first: no task sees every key, whatever their names.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    rows = per_key.withColumn("__b", _key_bucket(per_key, key))
+    ranged = per_key.repartitionByRange(F.col(key).asc_nulls_first())
+    rows = stage(ranged.withColumn("__b", F.spark_partition_id()), "keys")
     point = {o: F.when(F.col(c).isNotNull(), F.struct(F.col(key), F.col(c).alias("v"))) for o, c in lasts.items()}
     totals = rows.groupBy("__b").agg(
         *[F.sum(c).alias(f"__s_{o}") for o, c in sums.items()],
         *[F.max(p).alias(f"__l_{o}") for o, p in point.items()],
     )
-    # one row per bucket: a few thousand at most, whatever the number of keys
+    # one row per range: as many as shuffle partitions, whatever the number of keys
     buckets = Window.orderBy(F.col("__b").asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from wakeline.operators.skew import SALTS, attach
+from wakeline.operators.skew import attach
 
 
 def blank_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -70,7 +70,7 @@ def share_of_total(df: DataFrame, by: Sequence[str], within: Sequence[str]) -> D
 
 
 def with_group_stats(
-    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column], salts: int = SALTS
+    df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]
 ) -> DataFrame:
     """Group aggregates kept on every row.
 
@@ -78,7 +78,7 @@ def with_group_stats(
     hold a whole group in one task.
     """
     grouped = df.groupBy(*by).agg(*[c.alias(n) for n, c in stats.items()])
-    return attach(df, grouped, by, salts)
+    return attach(df, grouped, by)
 
 
 def explode_vertices(layer: DataFrame, rings: str = "rings") -> DataFrame:

@@ -6,37 +6,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SALTS = 16
-
 
 def key_struct(keys: Sequence[str]) -> Column:
     """Keys as one struct: NULL fields compare equal, unlike NULL join keys."""
     return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
 
-def salt_of(cols: Sequence[str], salts: int) -> Column:
-    """Row salt from the row's own values, so a retried task salts it the same way."""
-    return F.pmod(F.xxhash64(*cols), F.lit(salts))
-
-
-def with_salts(df: DataFrame, out: str, salts: int) -> DataFrame:
-    """Every row once per salt."""
-    numbers = F.array(*[F.lit(i).cast("bigint") for i in range(salts)])
-    return df.withColumn(out, F.explode(numbers))
-
-
-def attach(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], salts: int = SALTS
-) -> DataFrame:
+def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left-join a table of one row per key onto the rows, NULL keys included.
 
-    The per-key side is repeated ``salts`` times and joined on (keys, salt): a hot
-    key spreads over that many tasks. When the per-key side turns out small, Spark
-    broadcasts it from its measured size instead.
+    A plain equi join: neither side is repeated. The partition of a hot key is one large
+    side against one row, which adaptive skew handling splits by rows at run time; when the
+    per-key side turns out small, Spark broadcasts it from its measured size instead.
     """
     values = [c for c in per_key.columns if c not in keys]
     right = per_key.select(key_struct(keys).alias("__g"), *values)
-    right = with_salts(right, "__gs", salts)
-    left = rows.withColumns({"__k": key_struct(keys), "__s": salt_of(rows.columns, salts)})
-    match = (F.col("__k") == F.col("__g")) & (F.col("__s") == F.col("__gs"))
-    return left.join(right, match, "left").select(*rows.columns, *values)
+    left = rows.withColumn("__k", key_struct(keys))
+    return left.join(right, F.col("__k") == F.col("__g"), "left").select(*rows.columns, *values)

@@ -123,7 +123,7 @@ def not_seen_table(unseen: DataFrame) -> DataFrame:
 
 
 def season_flags(
-    captures: DataFrame, scheme: str = "calendar", after_year: int = 2005, overrides=SEASON_OVERRIDES
+    captures: DataFrame, scheme: str = "calendar", after_year: int | None = None, overrides=SEASON_OVERRIDES
 ) -> DataFrame:
     """0/1 per season for each (year, pod, individual).
 
@@ -134,7 +134,7 @@ def season_flags(
     if scheme not in ("calendar", "calfyear"):
         raise ValueError(f"unknown scheme {scheme!r}")
     year = "year" if scheme == "calendar" else "calfyear"
-    rows = captures.where(F.col(year) > after_year).select(
+    rows = within(captures, year, after_year).select(
         F.col(year).alias("year"),
         "pod",
         "id_name",
@@ -241,14 +241,24 @@ def excluded(name: Column, year: Column, exclude: Sequence[tuple[str, int]], pro
     return out
 
 
+def within(rows: DataFrame, year: str, after: int | None = None, until: int | None = None) -> DataFrame:
+    """Rows with ``after`` < year <= ``until``; None is no bound, and a bound drops NULL years."""
+    rows = rows if after is None else rows.where(F.col(year) > after)
+    return rows if until is None else rows.where(F.col(year) <= until)
+
+
 def known_captures(
-    captures: DataFrame, life: DataFrame, year: str, after: int, until: int
+    captures: DataFrame,
+    life: DataFrame,
+    year: str,
+    after: int | None = None,
+    until: int | None = None,
 ) -> DataFrame:
-    """Distinct (year, individual, trip) captures with their pod, within the years.
+    """Distinct (year, individual, trip) captures with their pod, within the years, if given.
 
     Captures collapse before the join, so its input is individuals × trips.
     """
-    rows = captures.where((F.col(year) > after) & (F.col(year) <= until))
+    rows = within(captures, year, after, until)
     rows = rows.select(F.col(year).alias("year"), "trip", "id_name").distinct()
     pods = life.select(F.col("name").alias("id_name"), "pod").where(F.col("pod") != OUTSIDE_PODS)
     return rows.join(pods, "id_name")
@@ -258,22 +268,31 @@ def census(
     captures: DataFrame,
     life: DataFrame,
     exclude: Sequence[tuple[str, int]] = (),
-    after: int = 2004,
-    until: int = 2023,
+    after: int | None = None,
+    until: int | None = None,
 ) -> DataFrame:
     """Individuals per pod by calf-year, with the same number by calendar year."""
 
-    def per_year(column: str, out: str) -> DataFrame:
-        rows = known_captures(captures, life, column, after, until)
-        rows = rows.where(~excluded(F.col("id_name"), F.col("year"), exclude))
-        return rows.groupBy("year", "pod").agg(F.countDistinct("id_name").alias(out))
-
-    calf = per_year("calfyear", "n_calfyear").withColumnRenamed("year", "calfyear")
-    calendar = per_year("year", "n_year").withColumnRenamed("year", "calfyear")
-    return calf.join(calendar, ["calfyear", "pod"], "left")
+    both = captures.select(
+        "id_name",
+        F.explode(
+            F.array(
+                F.struct(F.lit("n_calfyear").alias("kind"), F.col("calfyear").alias("year")),
+                F.struct(F.lit("n_year").alias("kind"), "year"),
+            )
+        ).alias("at"),
+    ).select("id_name", "at.kind", "at.year")
+    rows = within(both, "year", after, until).distinct()
+    rows = rows.where(~excluded(F.col("id_name"), F.col("year"), exclude))
+    pods = life.select(F.col("name").alias("id_name"), "pod").where(F.col("pod") != OUTSIDE_PODS)
+    counted = rows.join(pods, "id_name").groupBy(F.col("year").alias("calfyear"), "pod")
+    # rows are distinct individuals by now unless the life table repeats one
+    of = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("id_name")))
+    table = counted.agg(of("n_calfyear").alias("n_calfyear"), of("n_year").alias("n_year"))
+    return table.where("n_calfyear > 0").withColumn("n_year", F.expr("nullif(n_year, 0)"))
 
 
-def trip_census(captures: DataFrame, life: DataFrame, after: int = 2004, until: int = 2023):
+def trip_census(captures: DataFrame, life: DataFrame, after: int | None = None, until: int | None = None):
     """Individuals per pod, year and trip."""
     rows = known_captures(captures, life, "year", after, until)
     return rows.groupBy("pod", "year", "trip").agg(F.countDistinct("id_name").alias("n"))
@@ -284,14 +303,14 @@ def adult_census(
     life: DataFrame,
     exclude: Sequence[tuple[str, int]] = (),
     exclude_areas: Sequence[tuple[str, int]] = (),
-    after: int = 2004,
-    until: int = 2023,
+    after: int | None = None,
+    until: int | None = None,
 ) -> DataFrame:
     """Known adults and unknowns per pod and calf-year.
 
     The class is computed for the captured year only; no individual × year table.
     """
-    rows = captures.where((F.col("calfyear") > after) & (F.col("calfyear") <= until))
+    rows = within(captures, "calfyear", after, until)
     for area, year in exclude_areas:
         rows = rows.where(~((F.col("survey_area") == area) & (F.col("calfyear") == year)))
     rows = rows.select("id_name", "calfyear").distinct()
@@ -306,9 +325,9 @@ def presence_years(
     captures: DataFrame,
     life: DataFrame,
     exclude: Sequence[tuple[str, int]] = (),
-    after: int = 2004,
-    until: int = 2023,
-    drop_years: Sequence[int] = (2024,),
+    after: int | None = None,
+    until: int | None = None,
+    drop_years: Sequence[int] = (),
 ) -> DataFrame:
     """(individual, calf-year) pairs counted as present once gaps are filled.
 
@@ -317,13 +336,15 @@ def presence_years(
     """
     rows = known_captures(captures, life, "calfyear", after, until)
     seen = rows.select("id_name", F.col("year").alias("calfyear")).distinct()
-    years = seen.select("calfyear").distinct()
+    # years are bounded by the calendar: one array instead of a join on a handful of values
+    years = seen.agg(F.collect_set("calfyear")).scalar()
     details = life.withColumns({"id_name": F.col("name"), "first_birth": first_calf_year(life)})
     known = seen.select("id_name").distinct().join(details, "id_name")
     span = F.when(
-        F.col("first_birth") <= F.col("last_year"), F.sequence("first_birth", "last_year")
+        F.col("first_birth") <= F.col("last_year"),
+        F.array_intersect(F.sequence("first_birth", "last_year"), years),
     )
-    spread = known.withColumn("calfyear", F.explode(span)).join(years, "calfyear", "left_semi")
+    spread = known.withColumn("calfyear", F.explode(span))
     spread = spread.where(~F.col("calfyear").isin(*drop_years)) if drop_years else spread
     spread = spread.where(~excluded(F.col("id_name"), F.col("calfyear"), exclude))
     marked = spread.join(seen.withColumn("captured", F.lit(1)), ["id_name", "calfyear"], "left")
@@ -353,14 +374,14 @@ def gap_filled_by_sex(presence: DataFrame) -> DataFrame:
 
 def photo_effort(
     captures: DataFrame,
-    areas: Sequence[str] = ("DOUBTFUL", "DUSKY"),
-    before: int = 2024,
-    exclude: Sequence[tuple[str, int]] = (("DUSKY", 2007), ("DOUBTFUL", 2004)),
+    areas: Sequence[str] | None = None,
+    before: int | None = None,
+    exclude: Sequence[tuple[str, int]] = (),
 ) -> DataFrame:
-    """Distinct photographs per area and calf-year."""
-    rows = captures.where(
-        (F.col("id_name") != "CULL") & (F.col("calfyear") < before) & F.col("survey_area").isin(*areas)
-    )
+    """Distinct photographs per area and calf-year; all areas and years unless told otherwise."""
+    rows = captures.where(F.col("id_name") != "CULL")
+    rows = rows if areas is None else rows.where(F.col("survey_area").isin(*areas))
+    rows = rows if before is None else rows.where(F.col("calfyear") < before)
     for area, year in exclude:
         rows = rows.where(~((F.col("survey_area") == area) & (F.col("calfyear") == year)))
     shots = rows.select("survey_area", "calfyear", "date", "filename", "photographer").distinct()

@@ -127,9 +127,11 @@ def primiparity(life: DataFrame) -> DataFrame:
     """Age of each mother at her first calf with the overall mean, minimum and maximum."""
     aged = life.withColumn("primo_age", F.col("first_calf") - F.col("birth_year"))
     aged = aged.where(F.col("primo_age").isNotNull())
-    overall = {f"{n}_primo_age": f for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))}
+    overall = {f"{n}_primo_age": f("primo_age") for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))}
+    # one subquery for the three figures
+    figures = aged.agg(*[c.alias(n) for n, c in overall.items()]).select(F.struct(*overall)).scalar()
     return aged.select("pod", "name", "first_calf", "birth_year", "inutero", "primo_age").withColumns(
-        {n: aged.agg(f("primo_age")).scalar() for n, f in overall.items()}
+        {n: figures[n] for n in overall}
     )
 
 

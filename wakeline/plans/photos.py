@@ -14,6 +14,7 @@ from wakeline.functions.text import (
 )
 from wakeline.operators.joins import interval_assign
 from wakeline.operators.shape import recode
+from wakeline.operators.skew import key_struct
 from wakeline.sources.files import referenced_metadata
 
 # Camera clock format, placeholder identities, canonical names.
@@ -141,14 +142,13 @@ def resolve_duplicates(
     """Of several rows for one frame drop the unnamed ones.
 
     Named rows stay as they are; an unnamed row stays when its frame has one row.
-    Those are read off one aggregation that combines map-side, so a frame repeated
-    in a third of the rows costs one row per task and nothing is joined.
+    Frames are counted with one hash aggregation that combines map-side, so a frame repeated
+    in a third of the rows costs one row per task; only unnamed rows are joined with it.
     """
     named = F.coalesce(F.col(name) != "", F.lit(False))
-    frames = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*rows.columns)).alias("__row")
-    )
-    alone = frames.where("__n = 1").select("__row.*").where(~named)
+    single = rows.groupBy(key_struct(by).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).where("__n = 1")
+    unnamed = rows.where(~named).withColumn("__k", key_struct(by))
+    alone = unnamed.join(single, F.col("__k") == F.col("__g"), "left_semi").drop("__k")
     return rows.where(named).unionByName(alone)
 
 

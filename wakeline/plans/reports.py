@@ -82,10 +82,17 @@ def place_list(names: Column) -> Column:
     return join_words(names, ", ", ", and ")
 
 
-def timeline(log: DataFrame, since: int | None = None, fiords: Sequence[str] = FIORDS) -> DataFrame:
+def timeline(
+    log: DataFrame,
+    since: int | None = None,
+    fiords: Sequence[str] | None = None,
+    exclude_vessels: Sequence[str] = (),
+) -> DataFrame:
     """Start and end rows of every trip with ordinal day, label and calf-year."""
     keys = ["fiord", "year", "season", "folder", "photos"]
-    rows = log.where((F.col("vessel") != "PEMBROKE") & F.col("fiord").isin(*fiords))
+    rows = log if fiords is None else log.where(F.col("fiord").isin(*fiords))
+    if exclude_vessels:
+        rows = rows.where(~F.col("vessel").isin(*exclude_vessels))
     if since is not None:
         rows = rows.where(F.col("year") >= since)
     rows = rows.unpivot(keys, ["start_date", "end_date"], "start_end", "date_text")

@@ -18,6 +18,7 @@ from wakeline.operators.ordered import (
 )
 from wakeline.operators.shape import blank_to_null, ensure_columns
 from wakeline.operators.skew import attach
+from wakeline.sources.staging import stage
 
 # Log entries and permit names.
 ENCOUNTER_TYPES = ("Initial", "Repeat", "Follow")
@@ -196,6 +197,8 @@ def encounter_state(
     kind = F.col("matched.__type")
     state = state.withColumn("encounter_type", F.when(kind.isin(*ENCOUNTER_TYPES), kind))
     table = enc.unionByName(state.drop("matched"), allowMissingColumns=True)
+    # the carry reads its table several times
+    table = stage(table, "state-rows")
     return locf_frame(table, ["platform"], "device_id", "ts", ("event_type",), span_seconds)
 
 

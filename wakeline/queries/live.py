@@ -33,11 +33,24 @@ def _drain(t: Tables, stream: DataFrame) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
+def _drain_updates(t: Tables, stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a stream in update mode over everything available; the last update of each key."""
+    root = f"{staging_root(t.spark)}/stream-{uuid.uuid4().hex}"
+    job = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(tracks.update_sink(f"{root}/rows"))
+        .option("checkpointLocation", f"{root}/state")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    rows = t.spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{root}/rows")
+    return tracks.newest(rows, keys)
+
+
 @query(
     "stream_thin",
-    """SELECT user_id AS device_id, min(ts) AS ts FROM events GROUP BY user_id, epoch_us(ts) // 21600000000
-      HAVING (epoch_us(min(ts)) // 21600000000 + 1) * 21600000000
-        <= (SELECT epoch_us(max(ts)) FROM events) - 600000000""",
+    "SELECT user_id AS device_id, min(ts) AS ts FROM events GROUP BY user_id, epoch_us(ts) // 21600000000",
 )
 def _(t):
     n = F.col("event_id")
@@ -47,7 +60,22 @@ def _(t):
         (F.lit(-45.8) + (n % 3000) / 10000.0).alias("latitude"),
         (F.lit(166.45) + (n % 5500) / 10000.0).alias("longitude"),
     )
-    return _drain(t, tracks.stream_thin(fixes, 6 * 3_600)).select("device_id", "ts")
+    thinned = tracks.stream_thin(fixes, 6 * 3_600)
+    return _drain_updates(t, thinned, ["device_id", "bin"]).select("device_id", "ts")
+
+
+def _windows(t: Tables) -> str:
+    """Folder of the sighting windows."""
+    marks = survey.encounter_marks(_effort(t)[2])
+    windows = photo.sighting_windows(survey.encounters(marks), ("device_id",))
+    path = f"{staging_root(t.spark)}/windows-{uuid.uuid4().hex}"
+    windows.write.parquet(path)
+    return path
+
+
+def _shots(t: Tables) -> DataFrame:
+    shots = _stream(t, "events").where("event_type = 'view'")
+    return shots.select(F.col("user_id").alias("device_id"), "ts", "event_id")
 
 
 @query(
@@ -58,19 +86,30 @@ def _(t):
       JOIN windows w ON w.device_id = s.device_id AND s.ts BETWEEN w.lo AND w.hi""",
 )
 def _(t):
-    marks = survey.encounter_marks(_effort(t)[2])
-    windows = photo.sighting_windows(survey.encounters(marks), ("device_id",))
-    path = f"{staging_root(t.spark)}/windows-{uuid.uuid4().hex}"
-    windows.write.parquet(path)
-    arriving = t.spark.readStream.schema(windows.schema).parquet(path)
-    shots = _stream(t, "events").where("event_type = 'view'").select(
-        F.col("user_id").alias("device_id"), "ts", "event_id"
-    )
-    joined = tracks.stream_photo_groups(shots, arriving, ("device_id",), longest="60 days")
+    path = _windows(t)
+    arriving = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
+    joined = tracks.stream_photo_groups(_shots(t), arriving, "60 days", ("device_id",))
     return _drain(t, joined).select("event_id", "sighting_number")
 
 
-@query("stream_first_seen", "SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id_name FROM orders")
+@query(
+    "stream_photo_lookup",
+    o.with_(*o.EFFORT_STEPS, o.ENCOUNTERS)
+    + WINDOWS_SQL
+    + """SELECT s.event_id, w.sighting_number FROM shots s
+      LEFT JOIN windows w ON w.device_id = s.device_id AND s.ts BETWEEN w.lo AND w.hi""",
+)
+def _(t):
+    found = tracks.stream_photo_lookup(_shots(t), t.spark.read.parquet(_windows(t)), ("device_id",), 86_400)
+    return _drain(t, found).select("event_id", "sighting_number")
+
+
+@query(
+    "stream_first_seen",
+    """SELECT CAST(o_custkey AS VARCHAR) AS id_name, CAST(min(o_orderdate) AS DATE) AS first_date
+      FROM orders GROUP BY o_custkey""",
+)
 def _(t):
-    captures = _stream(t, "orders").select(F.col("o_custkey").cast("string").alias("id_name"))
-    return _drain(t, tracks.stream_first_seen(captures))
+    day = F.col("o_orderdate").cast("date").alias("date")
+    captures = _stream(t, "orders").select(F.col("o_custkey").cast("string").alias("id_name"), day)
+    return _drain_updates(t, tracks.stream_first_seen(captures), ["id_name"])

@@ -8,13 +8,15 @@ from wakeline.plans import capture, life, reports
 from wakeline.queries import oracle as o, query
 from wakeline.queries.survey import rounded
 from wakeline.sources import bindings as b
+from wakeline.sources.staging import stage
 
 YEAR = 1998
 FIRST, LAST = 1995, 2001
 
 
 def _history(t):
-    return life.life_history(b.life_table(t), b.captures(t))
+    """The life history, written once: reports read it several times."""
+    return stage(life.life_history(b.life_table(t), b.captures(t)), "life")
 
 
 def _alive(t, year=YEAR):
@@ -461,7 +463,7 @@ presence AS (SELECT p.* FROM spread p LEFT JOIN seen_years s ON s.id_name = p.na
 
 
 def _presence(t):
-    return capture.presence_years(b.captures(t), _history(t), EXCLUDE, **YEARS)
+    return capture.presence_years(b.captures(t), _history(t), EXCLUDE, **YEARS, drop_years=(2024,))
 
 
 @query("gap_filled_census", GAPS + "SELECT pod, calfyear, count(*) AS calfyear_ng FROM presence GROUP BY ALL")
@@ -503,7 +505,7 @@ effort AS (SELECT survey_area AS pod, calfyear, count(*) AS n FROM shots GROUP B
 
 
 def _photo_effort(t):
-    return capture.photo_effort(b.captures(t), exclude=(("DUSKY", 1997),))
+    return capture.photo_effort(b.captures(t), ("DOUBTFUL", "DUSKY"), 2024, (("DUSKY", 1997),))
 
 
 @query("photo_effort", EFFORT + "SELECT * FROM effort")
@@ -552,7 +554,7 @@ def _log(t):
         dayofyear(date) - 244 AS sep_start FROM ends""",
 )
 def _(t):
-    return reports.timeline(_log(t), since=1996)
+    return reports.timeline(_log(t), since=1996, fiords=reports.FIORDS, exclude_vessels=("PEMBROKE",))
 
 
 @query(

@@ -9,28 +9,21 @@ sizes for its broadcast decisions.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 
-# local mode only: one scratch folder per application
-_LOCAL_ROOTS: dict[str, str] = {}
-
 
 def staging_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the session's checkpoint folder."""
-    context = spark.sparkContext
-    root = spark.conf.get(_CONF, None) or context.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="wakeline-stage-")
-    return _LOCAL_ROOTS[context.applicationId]
+    """Folder for intermediate tables: the session's checkpoint folder, else one in its warehouse.
+
+    Both are settings of the session that all executors share, in every mode. What is
+    staged belongs to the application: whoever sets the folder clears it after the run.
+    """
+    root = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged").rstrip("/")
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:

@@ -7,10 +7,12 @@ in the session time zone, which should be UTC, and given back as clock times.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from wakeline.operators.joins import interval_assign
+
 
 def _instants(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
@@ -18,27 +20,39 @@ def _instants(df: DataFrame, *cols: str) -> DataFrame:
 
 def stream_thin(fixes: DataFrame, seconds: int = 10, late: str = "10 minutes") -> DataFrame:
     """First fix per device and time bin. Bins are aligned to the epoch, unlike the batch
-    operator's, because a stream does not know a device's first fix in advance."""
+    operator's, because a stream does not know a device's first fix in advance.
+
+    Run it in update mode and read the sink with `newest` by (device_id, bin): every bin is
+    there as soon as it has a fix, the last ones included. Fixes that arrive more than
+    ``late`` behind the newest one are dropped once their bin has left the state.
+    """
     point = F.struct("ts", "latitude", "longitude")
     return (
         _instants(fixes, "ts")
         .withWatermark("ts", late)
         .groupBy("device_id", F.window("ts", f"{seconds} seconds"))
         .agg(F.min(point).alias("p"))
-        .select("device_id", F.col("p.ts").cast("timestamp_ntz").alias("ts"), "p.latitude", "p.longitude")
+        .select(
+            "device_id",
+            F.col("window.start").cast("timestamp_ntz").alias("bin"),
+            F.col("p.ts").cast("timestamp_ntz").alias("ts"),
+            "p.latitude",
+            "p.longitude",
+        )
     )
 
 
 def stream_photo_groups(
     photos: DataFrame,
     windows: DataFrame,
+    longest: str,
     by: Sequence[str] = ("date",),
-    longest: str = "12 hours",
     late: str = "1 hour",
 ) -> DataFrame:
     """Photos joined to the sighting windows (``by``, lo, hi, sighting_number) holding them.
 
-    ``longest`` bounds a sighting's length so that both sides' state can be dropped.
+    Both sides arrive. ``longest`` is the longest sighting there can be: it bounds both
+    sides' state, and photos of a longer sighting find it no further than that.
     """
     shots = _instants(photos, "ts").withWatermark("ts", late)
     spans = _instants(windows, "lo", "hi").withWatermark("lo", late).withColumnsRenamed({k: f"__{k}" for k in by})
@@ -49,6 +63,37 @@ def stream_photo_groups(
     return joined.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "lo", "hi")})
 
 
-def stream_first_seen(captures: DataFrame) -> DataFrame:
-    """First arrival of every individual; state is one row per individual."""
-    return captures.dropDuplicates(["id_name"])
+def stream_photo_lookup(photos: DataFrame, windows: DataFrame, by: Sequence[str] = ("date",), bin_seconds: int = 3_600) -> DataFrame:
+    """Arriving photos with the number of the known sighting window that holds them, else NULL.
+
+    ``windows`` is a table that is complete for the photos' time: no state is kept, and photos
+    outside every sighting stay.
+    """
+    return interval_assign(photos, windows, by, "ts", "lo", "hi", "left", bin_seconds).drop("lo", "hi")
+
+
+def stream_first_seen(captures: DataFrame, date: str = "date") -> DataFrame:
+    """First date of every individual; state is one row per individual.
+
+    Run it in update mode and read the sink with `newest` by id_name.
+    """
+    return captures.groupBy("id_name").agg(F.min(date).alias("first_date"))
+
+
+def update_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` in update mode: each batch's rows beside its number.
+
+    A batch that is run again replaces what it wrote before.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last update of each key of a sink that `update_sink` wrote."""
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("__v"))
+    return last.select(*keys, "__v.*")
