@@ -207,9 +207,10 @@ def near_duplicates(
     sized = grouped.groupBy("root").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     spot = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     led = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(F.col("n") / leaders)) == 0)
+    # a merge join at every size: the ids grow with the documents, so they are never broadcast
     members = stage(
         docs.select(F.col("doc_id").alias("id"), "text")
-        .join(grouped.join(sized, "root").select("id", "root", "n", "chunks"), "id")
+        .join(grouped.join(sized, "root").select("id", "root", "n", "chunks").hint("merge"), "id")
         .select("root", "id", "text", "chunks", spot.alias("chunk"), led.alias("leader")),
         "members",
     )
@@ -252,4 +253,4 @@ def _same_document(named: DataFrame, classes: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The documents without those that are linked to one with a lesser doc_id; all columns."""
     gone = near_duplicates(docs, **parameters).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
