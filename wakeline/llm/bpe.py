@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wakeline.llm.common import fields, map_batches, whole_texts
 
@@ -83,7 +83,7 @@ def decode_documents(encoded: DataFrame, rank_file: str, pattern: str, column: s
 
         return work
 
-    schema = encoded.select(*rest, F.lit(b"").alias("decoded")).schema
+    schema = T.StructType([*encoded.select(*rest).schema, T.StructField("decoded", T.BinaryType())])
     return map_batches(encoded.select(*rest, column), schema, make)
 
 
