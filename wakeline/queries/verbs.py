@@ -22,6 +22,11 @@ def _count():
     return F.count(F.lit(1))
 
 
+# All event types and order years of the test tables: the columns of two pivots.
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+ORDER_YEARS = range(1995, 2002)
+
+
 def _scratch(t, name):
     import uuid
 
@@ -38,10 +43,9 @@ def _(t):
     return files.read_csv(t.spark, path, "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
 
 
-@query("scan_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01'")
+@query("scan_table", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _(t):
-    recent = t.orders.where(F.col("o_orderdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
-    return recent.select("o_orderkey", "o_custkey", "o_totalprice")
+    return t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("merge_sheets", "SELECT s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
@@ -108,21 +112,15 @@ def _(t):
     return photo_times(b.photo_metadata(t))
 
 
-def _yearly(t):
-    caps = b.captures(t)
-    return caps.withColumn("trip", F.col("year").cast("string"))
-
-
 @query(
     "load_final",
     o.with_(o.CAPTURES)
-    + "SELECT id_name, date FROM captures WHERE survey_area = 'DUSKY' AND year = 1998",
+    + "SELECT id_name, date FROM captures WHERE survey_area = 'DUSKY' AND trip = '1998_06'",
 )
 def _(t):
     path = _scratch(t, "final")
-    files.write_survey(_yearly(t), path)
-    rows = t.spark.read.parquet(path).where("survey_area = 'DUSKY' AND trip = '1998'")
-    return rows.select("id_name", "date")
+    files.write_survey(b.captures(t), path)
+    return files.load_survey(t.spark, path, "DUSKY", 1998, "06").select("id_name", "date")
 
 
 @query(
@@ -131,7 +129,8 @@ def _(t):
 )
 def _(t):
     path = _scratch(t, "sink")
-    files.write_survey(_yearly(t), path)
+    yearly = b.captures(t).withColumn("trip", F.col("year").cast("string"))
+    files.write_survey(yearly, path)
     return t.spark.read.parquet(path).groupBy("survey_area", "year").agg(_count().alias("n"))
 
 
@@ -305,14 +304,9 @@ def _(t):
 # --- joins -----------------------------------------------------------------------------------
 
 
-@query(
-    "left_join",
-    "SELECT o_orderkey, c_mktsegment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey",
-)
+@query("left_join", "SELECT doc_id, lang, toxic FROM documents LEFT JOIN labels USING (doc_id)")
 def _(t):
-    good = t.customer.where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
-    joined = t.orders.join(good, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return joined.select("o_orderkey", "c_mktsegment")
+    return t.documents.select("doc_id", "lang").join(t.labels.select("doc_id", "toxic"), "doc_id", "left")
 
 
 @query(
@@ -327,23 +321,14 @@ def _(t):
     return _survey(t).withColumns(empty).groupBy(*empty).agg(_count().alias("n"))
 
 
-@query(
-    "right_join",
-    "SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') RIGHT JOIN customer ON o_custkey = c_custkey",
-)
+@query("right_join", "SELECT doc_id, source, quality FROM labels RIGHT JOIN documents USING (doc_id)")
 def _(t):
-    orders = t.orders.where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-    customers = t.customer.select("c_custkey")
-    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "right").select("o_orderkey", "c_custkey")
+    return t.labels.select("doc_id", "quality").join(t.documents.select("doc_id", "source"), "doc_id", "right")
 
 
-@query(
-    "anti_join",
-    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')",
-)
+@query("anti_join", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def _(t):
-    recent = t.orders.where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    return t.customer.join(recent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return t.documents.select("doc_id").join(t.labels, "doc_id", "left_anti")
 
 
 @query(
@@ -370,14 +355,13 @@ def _(t):
 
 @query(
     "cross_complete",
-    """WITH c AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, count(*) AS n FROM orders WHERE o_totalprice > 400000 GROUP BY ALL)
-      SELECT a.p, b.y, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT p FROM c) a CROSS JOIN (SELECT DISTINCT y FROM c) b
-      LEFT JOIN c ON c.p = a.p AND c.y = b.y""",
+    """WITH c AS (SELECT user_id AS u, event_type AS e, count(*) AS n FROM events GROUP BY ALL)
+      SELECT a.u, b.e, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT u FROM c) a CROSS JOIN (SELECT DISTINCT e FROM c) b
+      LEFT JOIN c ON c.u = a.u AND c.e = b.e""",
 )
 def _(t):
-    big = t.orders.where("o_totalprice > 400000")
-    counted = big.groupBy(F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("y")).agg(_count().alias("n"))
-    return joins.complete(counted, ["p", "y"], {"n": 0})
+    counted = t.events.groupBy(F.col("user_id").alias("u"), F.col("event_type").alias("e")).agg(_count().alias("n"))
+    return joins.complete(counted, ["u", "e"], {"n": 0})
 
 
 @query("lookup_default", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -440,31 +424,34 @@ def _(t):
 
 @query(
     "pivot_first",
-    """SELECT user_id, min(ts) FILTER (event_type = 'signup') AS signup, min(ts) FILTER (event_type = 'purchase') AS purchase
-      FROM events GROUP BY user_id""",
+    "SELECT user_id, "
+    + ", ".join(f"min(ts) FILTER (event_type = '{e}') AS {e}" for e in EVENT_TYPES)
+    + " FROM events GROUP BY user_id",
 )
 def _(t):
-    return t.events.groupBy("user_id").pivot("event_type", ["signup", "purchase"]).agg(F.min("ts"))
+    return t.events.groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.min("ts"))
 
 
 @query(
     "pivot_sum",
     """SELECT l_linestatus, round(coalesce(sum(l_tax) FILTER (l_returnflag = 'A'), 0), 4) AS A,
+      round(coalesce(sum(l_tax) FILTER (l_returnflag = 'N'), 0), 4) AS N,
       round(coalesce(sum(l_tax) FILTER (l_returnflag = 'R'), 0), 4) AS R FROM lineitem GROUP BY ALL""",
 )
 def _(t):
-    wide = t.lineitem.groupBy("l_linestatus").pivot("l_returnflag", ["A", "R"]).agg(F.round(F.sum("l_tax"), 4))
+    wide = t.lineitem.groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.sum("l_tax"), 4))
     return wide.fillna(0)
 
 
 @query(
     "pivot_presence",
     o.with_(o.CAPTURES)
-    + """SELECT id_name, max(CAST(year = 1996 AS INTEGER)) AS y1996, max(CAST(year = 1997 AS INTEGER)) AS y1997,
-      max(CAST(year = 1998 AS INTEGER)) AS y1998 FROM captures GROUP BY id_name""",
+    + "SELECT id_name, "
+    + ", ".join(f"max(CAST(year = {y} AS INTEGER)) AS y{y}" for y in ORDER_YEARS)
+    + " FROM captures GROUP BY id_name",
 )
 def _(t):
-    years = {f"y{y}": F.max((F.col("year") == y).cast("int")) for y in (1996, 1997, 1998)}
+    years = {f"y{y}": F.max((F.col("year") == y).cast("int")) for y in ORDER_YEARS}
     return b.captures(t).groupBy("id_name").agg(*[c.alias(n) for n, c in years.items()])
 
 
@@ -702,11 +689,9 @@ def _(t):
     return t.customer.selectExpr("c_custkey AS key", "c_name AS name").union(t.supplier.select("s_suppkey", "s_name"))
 
 
-@query("except_columns", "SELECT DISTINCT l_partkey FROM lineitem EXCEPT SELECT p_partkey FROM part WHERE p_size > 5")
+@query("except_columns", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def _(t):
-    used = t.lineitem.select("l_partkey").distinct()
-    big = t.part.where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
-    return used.join(big, "l_partkey", "left_anti")
+    return t.documents.select("doc_id").subtract(t.labels.select("doc_id"))
 
 
 @query("union_distinct", "SELECT o_custkey AS key FROM orders UNION SELECT c_custkey FROM customer")
@@ -718,10 +703,11 @@ def _(t):
 @query(
     "pivot_wider",
     """SELECT year(o_orderdate) AS year, coalesce(max(o_totalprice) FILTER (o_orderstatus = 'F'), 0) AS F,
-      coalesce(max(o_totalprice) FILTER (o_orderstatus = 'O'), 0) AS O FROM orders GROUP BY ALL""",
+      coalesce(max(o_totalprice) FILTER (o_orderstatus = 'O'), 0) AS O,
+      coalesce(max(o_totalprice) FILTER (o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY ALL""",
 )
 def _(t):
-    wide = t.orders.groupBy(F.year("o_orderdate").alias("year")).pivot("o_orderstatus", ["F", "O"])
+    wide = t.orders.groupBy(F.year("o_orderdate").alias("year")).pivot("o_orderstatus", ["F", "O", "P"])
     return wide.agg(F.max("o_totalprice")).fillna(0)
 
 
@@ -737,11 +723,11 @@ def _(t):
 @query(
     "zero_days",
     """SELECT d.date, coalesce(n, 0) AS n FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem) d
-      LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) USING (date)""",
+      LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS n FROM orders GROUP BY 1) USING (date)""",
 )
 def _(t):
     days = t.lineitem.select(F.col("l_shipdate").cast("date").alias("date")).distinct()
-    counted = t.orders.where("o_orderstatus = 'P'").groupBy(F.col("o_orderdate").cast("date").alias("date"))
+    counted = t.orders.groupBy(F.col("o_orderdate").cast("date").alias("date"))
     return days.join(counted.agg(_count().alias("n")), "date", "left").fillna(0)
 
 
