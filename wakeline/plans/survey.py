@@ -229,6 +229,14 @@ def effort_distance(survey: DataFrame, area: str = "Other") -> DataFrame:
     )
 
 
+def for_later_tables(survey: DataFrame, area: str) -> DataFrame:
+    """The survey rows that summaries, layers and photo windows use once distances are known.
+
+    For ``Other`` the Dusky band goes, and with it rows without a latitude.
+    """
+    return survey.where(~_in_band("Dusky")) if area == "Other" else survey
+
+
 def _in_band(area: str) -> Column:
     south, north = AREA_BANDS[area]
     return F.col("latitude").between(south, north)

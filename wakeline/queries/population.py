@@ -194,6 +194,22 @@ def _(t):
     return _daily(t)
 
 
+#: Days of the display matrix: the columns of a pivot.
+MATRIX_DAYS = [f"1998-06-{d:02d}" for d in range(1, 31)]
+
+
+@query(
+    "capture_matrix",
+    DAILY
+    + "SELECT name, sex, birth_year, first_year, ageclass, "
+    + ", ".join(f"max(CAST(date = DATE '{d}' AS INTEGER)) AS \"{d}\"" for d in MATRIX_DAYS)
+    + " FROM daily GROUP BY ALL",
+)
+def _(t):
+    days = F.col("date").cast("string")
+    return capture.capture_matrix(_daily(t).withColumn("date", days), MATRIX_DAYS)
+
+
 @query(
     "age_sex_table",
     DAILY

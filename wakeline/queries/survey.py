@@ -337,6 +337,54 @@ def _(t):
     return rows.select(*PARSED_COLS)
 
 
+def _older_era_sql(fn: str, name: str, frame: str, part_at: int, frame_of_second: str) -> str:
+    """Rows of an older naming era: capital part letters, other places for name and frame."""
+    return (
+        o.with_(o.METADATA)
+        + f""", pairs AS (SELECT *, regexp_replace(regexp_replace(upper(file_name), 'WITH', 'and'), '&', 'and') AS up FROM meta),
+        parsed AS (
+          SELECT {fn} AS fn, {name} AS name, {frame} AS filename,
+            CASE WHEN {fn} LIKE '%''%' THEN 'Conditional match' ELSE '' END AS comments, ts FROM meta
+          UNION ALL
+          SELECT u AS fn, upper(split_part(u, ' ', 3)), {frame_of_second}, '', ts
+          FROM (SELECT ts, up, regexp_replace(up, ' \'\'', '') AS u FROM pairs) WHERE lower(up) LIKE '% and %')
+        SELECT 'DUSKY' AS survey_area, '2006_10' AS trip, CAST(ts AS DATE) AS date, filename, ts, name,
+          CASE fn[length(fn) - {part_at - 1}] WHEN 'L' THEN 'LD' WHEN 'R' THEN 'RD' ELSE fn[length(fn) - {part_at - 1}] END AS part,
+          comments, fn AS file_name FROM parsed"""
+    )
+
+
+_TRIMMED = "regexp_replace(file_name, ' \'\'', '')"
+
+
+@query(
+    "parse_filenames_to_2008",
+    _older_era_sql(
+        _TRIMMED,
+        "upper(split_part(substr(file_name, 7), ' ', 1))",
+        f"{_TRIMMED}[length({_TRIMMED}) - 11:length({_TRIMMED}) - 4]",
+        7,
+        "u[length(u) - 11:length(u) - 4]",
+    ),
+)
+def _(t):
+    return photo.parse_filenames(b.photo_metadata(t), "to_2008", "Dusky", "2006_10").select(*PARSED_COLS)
+
+
+@query("parse_filenames_in_2006", _older_era_sql("file_name", "split_part(file_name, ' ', 1)", "file_name", 6, "NULL"))
+def _(t):
+    return photo.parse_filenames(b.photo_metadata(t), "in_2006", "Dusky", "2006_10").select(*PARSED_COLS)
+
+
+@query(
+    "survey_outside_band",
+    o.with_(*o.EFFORT_STEPS)
+    + "SELECT device_id, ts, latitude FROM effort_rows WHERE NOT latitude BETWEEN -45.82 AND -45.48",
+)
+def _(t):
+    return survey.for_later_tables(_effort(t)[2], "Other").select("device_id", "ts", "latitude")
+
+
 @query(
     "resolve_duplicates",
     """WITH frames AS (SELECT l_shipdate AS ts, l_orderkey || '_' || l_linenumber AS filename,
