@@ -131,7 +131,8 @@ def schedule(
     # at most one row for each part and source; parts hold ranges, so later parts stand later
     sums = numbered.groupBy("key", "part").agg(F.sum("copies").alias("n"))
     over = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("offset", F.coalesce(F.sum("n").over(over), F.lit(0))).select(F.col("key").alias("k"), F.col("part").alias("p"), "offset")
+    offset = F.coalesce(F.sum("n").over(over), F.lit(0)).alias("offset")
+    offsets = sums.select(F.col("key").alias("k"), F.col("part").alias("p"), offset)
     placed = numbered.join(offsets, (F.col("key").eqNullSafe(F.col("k"))) & (F.col("part") == F.col("p")))
     out = T.StructType([*one.select("doc_id", source, "mark").schema, *T.StructType.fromDDL("block long, slot long").fields])
 
@@ -157,7 +158,8 @@ def interleave(docs: DataFrame, **parameters) -> DataFrame:
     Partitions hold ranges of slots and are sorted, so files written from them follow the
     schedule by name and row.
     """
-    slots = schedule(docs, **parameters).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("slot").alias("_slot"))
+    names = {"doc_id": "_id", "mark": "_mark", "slot": "_slot"}
+    slots = schedule(docs, **parameters).select(*(F.col(a).alias(b) for a, b in names.items()))
     marked = docs.withColumn("_own", F.xxhash64(*docs.columns))
     joined = marked.join(slots, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
     order = ("_slot", "doc_id", "_own")

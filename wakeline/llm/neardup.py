@@ -233,12 +233,14 @@ def _apart(members: DataFrame, joined: DataFrame, chunk: int, size: int, percent
     own = joined.select("id", F.col("root").alias("part"))
     large = members.where("chunks > 1").join(own, "id", "left").withColumn("part", F.coalesce("part", "id"))
     parts = large.groupBy("root", "part").agg(F.count("*").alias("n"))
-    most = parts.groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("top"))
+    largest = F.max_by("part", F.struct("n", "part")).alias("most")
+    most = parts.groupBy("root").agg(largest, F.sum("n").alias("all"), F.max("n").alias("top"))
     blocks = F.ceil((F.col("all") - F.col("top")) / chunk).cast("int")
     known = stage(large.join(most.select("root", "most", blocks.alias("blocks")), "root").where("blocks > 0"), "apart")
     block = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
-    outer = known.where("part != most").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    inner = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = known.where("part != most").withColumn("block", block).withColumn("chunk", up_to("chunks"))
+    inner = known.withColumn("block", up_to("blocks"))
     columns = ("root", "chunk", "block", "id", "text")
     return _compare(outer.select(*columns).unionAll(inner.select(*columns)), ["root", "chunk", "block"], size, percent)
 

@@ -164,7 +164,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     return train(counts[quality == 1], counts[quality == 0], counts[np.isnan(quality)])
 
 
-def score(docs: DataFrame, model: QualityModel, carry: tuple[str, ...] = ("doc_id",), reject_below: float = REJECT_BELOW) -> DataFrame:
+def score(
+    docs: DataFrame,
+    model: QualityModel,
+    carry: tuple[str, ...] = ("doc_id",),
+    reject_below: float = REJECT_BELOW,
+) -> DataFrame:
     """The ``carry`` columns, score (0 to 1, higher is better) and predicted (1 from ``reject_below`` on).
 
     Only the text is read for the score; null texts count as empty. Every row is scored by
