@@ -75,6 +75,29 @@ def test_positive_unlabelled_learning(spark):
     assert quality.score(empty(spark), model).count() == 0
 
 
+def test_smaller_samples_keep_the_meaning_of_the_score(spark):
+    docs, labels = corpus(spark, 2_400)
+    # one in five clean documents is labelled bad, so clean ones score about 0.8
+    noisy = labels.selectExpr("doc_id", "CASE WHEN floor(doc_id / 6) % 5 = 0 THEN 0 ELSE quality END AS quality")
+    whole, part = (
+        quality.score(docs, quality.fit(docs, noisy, fit_rows=n)).where("doc_id < 2400 AND doc_id % 6 < 5").collect()
+        for n in (20_000, 400)
+    )
+    assert np.mean([r.predicted for r in whole]) >= 0.9 and np.mean([r.predicted for r in part]) >= 0.6
+    assert abs(np.mean([r.score for r in whole]) - 0.8) < 0.02 and abs(np.mean([r.score for r in part]) - 0.8) < 0.06
+
+
+def test_curve_weighs_rows_and_does_not_overshoot():
+    rng = np.random.default_rng(4)
+    margin = np.concatenate([rng.normal(9, 1, 4_000), rng.normal(8, 1, 1_000)])
+    good = np.arange(5_000) < 4_000
+    slope, shift = quality._platt(margin, good, np.ones(5_000))
+    assert abs(quality._sigmoid(slope * margin + shift).mean() - 0.8) < 0.01
+    some = np.concatenate([np.arange(0, 4_000, 4), np.arange(4_000, 5_000)])
+    part = quality._platt(margin[some], good[some], np.where(good[some], 4.0, 1.0))
+    assert abs(part[0] * 8.5 + part[1] - slope * 8.5 - shift) < 0.15
+
+
 def test_held_out_labels_do_not_move_the_model(spark):
     docs, labels = corpus(spark)
     turned = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 THEN 1 - quality ELSE quality END AS quality")

@@ -107,20 +107,34 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.01, 0.99))
 
 
-def _platt(margin: np.ndarray, good: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and shift of the logistic curve over labelled margins (Newton steps, smoothed targets)."""
-    n_good, n_bad = int(good.sum()), int((~good).sum())
+def _platt(margin: np.ndarray, good: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of the weighted logistic curve over labelled margins (damped Newton steps, smoothed targets)."""
+    n_good, n_bad = float(weights[good].sum()), float(weights[~good].sum())
     target = np.where(good, (n_good + 1) / (n_good + 2), 1 / (n_bad + 2))
-    x, theta = np.column_stack([margin, np.ones_like(margin)]), np.array([1.0, 0.0])
+    start = np.array([1.0, 0.0])
+    x, theta = np.column_stack([margin, np.ones_like(margin)]), start
+
+    def loss(theta: np.ndarray) -> float:
+        z = x @ theta
+        return float(weights @ (np.logaddexp(0, z) - target * z) + 5e-4 * ((theta - start) ** 2).sum())
+
     for _ in range(rounds):
         p = _sigmoid(x @ theta)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        theta = theta - np.linalg.solve(hessian, x.T @ (p - target) + 1e-3 * (theta - [1.0, 0.0]))
+        hessian = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, x.T @ (weights * (p - target)) + 1e-3 * (theta - start))
+        # a whole step from far away can overshoot; the loss is convex, so a part of it cannot
+        size = next((k for k in 0.5 ** np.arange(30) if loss(theta - k * step) <= loss(theta)), 0.0)
+        theta = theta - size * step
     return (float(theta[0]), float(theta[1])) if theta[0] > 0 and np.isfinite(theta).all() else (1.0, 0.0)
 
 
-def train(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
-    """From counts. ``negative`` rows only calibrate the curve from margin to score."""
+def train(
+    positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray, weights: tuple[float, float] = (1.0, 1.0)
+) -> QualityModel:
+    """From counts. ``negative`` rows only calibrate the curve from margin to score.
+
+    ``weights``: the labelled rows that each positive and each negative stands for.
+    """
     everything = np.concatenate([unlabelled, positive])
     if not len(everything):
         everything = np.zeros((1, len(COUNTS)), np.int64)
@@ -133,7 +147,8 @@ def train(positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray) ->
     model = QualityModel(basis, minimise_risk(p, u, prior), 1.0, 0.0, prior)
     if len(negative):
         margin = np.concatenate([model.margins(positive), model.margins(negative)])
-        model.slope, model.shift = _platt(margin, np.arange(len(margin)) < len(positive))
+        good = np.arange(len(margin)) < len(positive)
+        model.slope, model.shift = _platt(margin, good, np.where(good, *weights))
     return model
 
 
@@ -141,8 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     """Learn from labels outside the held-out fold and from unlabelled documents.
 
     About ``fit_rows`` positives, as many labelled negatives and as many unlabelled
-    documents, chosen by a hash of the id, give their counts to the driver. Null labels are
-    not used; a document with both labels counts as negative. Without positives or
+    documents, chosen by a hash of the id, give their counts to the driver. The curve from
+    margin to score weighs each class back to all its labels, so the cut means the same
+    share on any input size. Null labels are not used; a document with both labels counts as negative. Without positives or
     documents every score is 0.5.
     """
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(id_remainder(FOLDS) != HELD_OUT)
@@ -161,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Quality
     rows = with_text_columns(web.unionAll(judged), "counts array<long>", make, ("quality",)).toArrow()
     counts = np.array(rows["counts"].to_pylist(), np.int64).reshape(-1, len(COUNTS))
     quality = np.array(rows["quality"].to_pylist(), float)
-    return train(counts[quality == 1], counts[quality == 0], counts[np.isnan(quality)])
+    weights = tuple(max(1.0, totals.get(q, 0) / fit_rows) for q in (1, 0))
+    return train(counts[quality == 1], counts[quality == 0], counts[np.isnan(quality)], weights)
 
 
 def score(
