@@ -41,6 +41,29 @@ def test_stream_follows_the_targets(spark):
         assert np.abs(held - share * np.arange(1, last + 1)).max() < 1 + 1e-9
 
 
+def test_rare_sources_keep_weights_of_their_own(spark):
+    docs = spark.range(4_000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'hot', concat('s', id % 40)) AS source")
+    targets = {"hot": 0.4, "s39": 0.3, "s1": 0.1}
+    for weights, small in ((targets, {}), (None, {"max_sources": 2, "group_sources": 6}), (targets, {"max_sources": 1, "group_sources": 6})):
+        rows = mixing.schedule(docs, weights, block_docs=4, period=4096, **small).collect()
+        assert len(rows) == 4_000
+        blocks = {}
+        for r in rows:
+            blocks.setdefault(r.slot, set()).add((r.source, r.block))
+        assert all(len(x) == 1 for x in blocks.values())
+        count = Counter(r.source for r in rows)
+        weigh = {s: weights.get(s, 0.01) if weights else n**mixing.SMOOTHING for s, n in count.items()}
+        last = min(max(r.slot for r in rows if r.source == s) for s in count)
+        for source, w in weigh.items():
+            held = np.array([any(s == source for s, _ in blocks.get(t, ())) for t in range(last)]).cumsum()
+            assert np.abs(held - w / sum(weigh.values()) * np.arange(1, last + 1)).max() < 2.1, source
+
+
+def test_more_sources_than_slots(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('s', id) AS source")
+    assert len({r.slot for r in mixing.schedule(docs, block_docs=1, period=64).collect()}) == 300
+
+
 def test_nothing_is_lost_and_order_takes_effect(spark, tmp_path):
     docs, _ = corpus(spark)
     mixing.interleave(docs).write.parquet(f"{tmp_path}/mixed")

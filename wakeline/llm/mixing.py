@@ -2,7 +2,9 @@
 
 A source of weight w gives its block i a window: released at slot floor(i / w), due at
 ceil((i + 1) / w). Slots go to released blocks, earliest deadline first, so after any slot
-each source has had its weight's share to within less than one block. Weights are multiples
+each source has had its weight's share to within less than one block. Where sources are very
+many, the rarest ones form groups: a group is scheduled like a source, and its sources in the
+same way among the group's slots, each to within less than two blocks. Weights are multiples
 of 1 / `PERIOD`, which makes the schedule repeat: one period is laid out once, and block i
 finds its slot by its number alone.
 """
@@ -25,8 +27,9 @@ from wakeline.sources.staging import stage
 
 BLOCK_DOCS = 16
 PERIOD = 1 << 16
-#: Sources with a weight of their own; rarer ones beyond share one.
-MAX_SOURCES = 4096
+#: Sources that the driver lays out itself, besides those named in targets; rarer ones are laid
+#: out in groups of about so many, each group in a task, within the slots of their group.
+MAX_SOURCES, GROUP_SOURCES = 4096, 2048
 #: Without targets a source weighs its document count to this power.
 SMOOTHING = 0.7
 
@@ -49,6 +52,13 @@ def quotas(weights: list[float], period: int = PERIOD) -> list[int]:
     return slots.tolist()
 
 
+def roomy(period: int, sources: int) -> int:
+    """The period, doubled until each source can have 16 slots."""
+    while period < 16 * sources:
+        period *= 2
+    return period
+
+
 def lay_out(slots: list[int]) -> list[list[int]]:
     """The slot of each source's blocks in one period."""
     period, out = sum(slots), [[] for _ in slots]
@@ -70,18 +80,39 @@ def _key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
 
 
-def target_weights(docs: DataFrame, targets: dict[str, float] | None, source: str) -> list[tuple[str, float]]:
-    """(source key, weight), at most `MAX_SOURCES` and one for the rest (key None)."""
-    counted = stage(docs.groupBy(_key(source).alias("key")).agg(F.count("*").alias("n")), "sources")
-    top = counted.orderBy(F.desc("n"), "key").limit(MAX_SOURCES).collect()
-    if not top:
-        return []
-    rest = (counted.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in top)
-    named = {} if targets is None else {"=" + k if k is not None else "": w for k, w in targets.items()}
-    least = min((w for w in named.values() if w > 0), default=1.0) / 10
-    weigh = lambda key, n: n**SMOOTHING if targets is None else max(named.get(key, least), least / 10)
-    found = [(r["key"], weigh(r["key"], r["n"])) for r in top]
-    return [*found, (None, weigh(None, rest))] if rest else found
+def source_weights(docs: DataFrame, targets: dict[str, float] | None, source: str) -> DataFrame:
+    """key, n (documents), weight and named (in targets) of every source."""
+    counted = docs.groupBy(_key(source).alias("key")).agg(F.count("*").alias("n"))
+    if targets is None:
+        return stage(counted.select("key", "n", F.pow("n", F.lit(SMOOTHING)).alias("weight"), F.lit(False).alias("named")), "sources")
+    given = [("=" + str(k) if k is not None else "", float(w)) for k, w in targets.items()]
+    least = min((w for _, w in given if w > 0), default=1.0) / 10
+    listed = docs.sparkSession.createDataFrame(given, "key string, given double")
+    weight = F.greatest(F.coalesce("given", F.lit(least)), F.lit(least / 10)).alias("weight")
+    joined = counted.join(listed, "key", "left")
+    return stage(joined.select("key", "n", weight, F.col("given").isNotNull().alias("named")), "sources")
+
+
+def lay_out_groups(tail: DataFrame) -> DataFrame:
+    """key, group, turns (the source's in a round), size (of a round), turn and place, from key, group and weight."""
+    out = T.StructType.fromDDL("key string, group long, turns long, size long, turn long, place long")
+    arrow = to_arrow_schema(out)
+
+    def lay(rows: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(rows[c].to_pylist() for c in ("key", "group", "weight"))))
+        turns = quotas([w for *_, w in rows], roomy(PERIOD, len(rows)))
+        tables, n = lay_out(turns), np.array(turns)
+        columns = [
+            pa.array([k for k, *_ in rows]).take(pa.array(np.repeat(np.arange(len(rows)), n))),
+            np.repeat([g for _, g, _ in rows], n),
+            np.repeat(n, n),
+            np.full(n.sum(), n.sum()),
+            np.concatenate([np.arange(x) for x in turns]),
+            np.concatenate(tables),
+        ]
+        return pa.Table.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(columns, arrow)], schema=arrow)
+
+    return tail.select("key", "group", "weight").groupBy("group").applyInArrow(lay, out)
 
 
 def schedule(
@@ -90,6 +121,8 @@ def schedule(
     source: str = "source",
     block_docs: int = BLOCK_DOCS,
     period: int = PERIOD,
+    max_sources: int = MAX_SOURCES,
+    group_sources: int = GROUP_SOURCES,
 ) -> DataFrame:
     """doc_id, the source column, mark (a hash of the row), block and slot of every distinct row.
 
@@ -100,14 +133,23 @@ def schedule(
     equal rows share a block, rows with a null doc_id stand first, an empty table gives an
     empty schedule.
     """
-    weights = target_weights(docs, targets, source)
-    slots = quotas([w for _, w in weights], period)
-    places = {key: np.array(x, np.int64) for (key, _), x in zip(weights, lay_out(slots))}
+    sources = source_weights(docs, targets, source)
+    ordered = sources.orderBy(F.desc("named"), F.desc("n"), "key")
+    top = ordered.limit(max(max_sources, len(targets or ()))).collect()
+    entries, tail = [(r["key"], r["weight"]) for r in top], None
+    rarer = sources.count() - len(top)
+    if rarer:
+        known = docs.sparkSession.createDataFrame([(r["key"],) for r in top], "key string")
+        group = F.pmod(F.xxhash64("key"), F.lit(-(-rarer // group_sources)))
+        tail = stage(sources.join(known, "key", "left_anti").withColumn("group", group), "rarer-sources")
+        sums = tail.groupBy("group").agg(F.sum("weight").alias("weight"))
+        entries += [(r["group"], r["weight"]) for r in sums.orderBy("group").collect()]
+    period = roomy(period, len(entries))
+    slots = quotas([w for _, w in entries], period)
+    # by name of a source, or number of a group
+    places = {key: np.array(x, np.int64) for (key, _), x in zip(entries, lay_out(slots))}
     mark = F.xxhash64(*docs.columns)
     rows = docs.select("doc_id", source, _key(source).alias("key"), mark.alias("mark"))
-    # with MAX_SOURCES sources at most, this is a small set
-    known = [k for k, _ in weights if k is not None]
-    rows = rows.withColumn("key", F.when(F.col("key").isin(known), F.col("key"))) if len(known) >= MAX_SOURCES else rows
     one = rows.groupBy("doc_id", source, "key", "mark").agg(F.count("*").alias("copies"))
     order = [F.col("key"), F.xxhash64("doc_id").alias("spot"), F.col("doc_id"), F.col("mark")]
     ranged = one.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -133,18 +175,31 @@ def schedule(
     over = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("n").over(over), F.lit(0)).alias("offset")
     offsets = sums.select(F.col("key").alias("k"), F.col("part").alias("p"), offset)
-    placed = numbered.join(offsets, (F.col("key").eqNullSafe(F.col("k"))) & (F.col("part") == F.col("p")))
+    placed = numbered.join(offsets, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")))
+    block_of = F.floor((F.col("before") + F.col("offset")) / block_docs)
+    placed = placed.select("doc_id", source, "key", "mark", block_of.alias("block"))
+    if tail is None:
+        placed = placed.select("*", *(F.lit(None).cast("long").alias(c) for c in ("group", "turns", "size", "place")))
+    else:
+        laid = stage(lay_out_groups(tail), "groups")
+        shares = laid.where("turn = 0").select("key", "group", "turns", "size")
+        turns = laid.select("key", "turn", "place")
+        placed = placed.join(shares, "key", "left").withColumn("turn", F.col("block") % F.col("turns"))
+        placed = placed.join(turns, ["key", "turn"], "left")
     out = T.StructType([*one.select("doc_id", source, "mark").schema, *T.StructType.fromDDL("block long, slot long").fields])
 
     def make():
         def work(batch):
-            index = np.array(batch["before"]) + np.array(batch["offset"])
-            block, slot = index // block_docs, np.zeros(len(index), np.int64)
-            keys = np.array(batch["key"].to_pylist(), object)
+            block = batch["block"].to_numpy()
+            group = batch["group"].to_pylist()
+            keys = np.array([k if g is None else g for k, g in zip(batch["key"].to_pylist(), group)], object)
+            turns, size, place = (batch[c].fill_null(1).to_numpy() for c in ("turns", "size", "place"))
+            grouped = np.array([g is not None for g in group], bool)
+            at, slot = np.where(grouped, block // turns * size + place, block), np.zeros(len(block), np.int64)
             for key in set(keys.tolist()):
                 own = keys == key
                 table = places[key]
-                slot[own] = block[own] // len(table) * period + table[block[own] % len(table)]
+                slot[own] = at[own] // len(table) * period + table[at[own] % len(table)]
             return {"doc_id": batch["doc_id"], source: batch[source], "mark": batch["mark"], "block": block, "slot": slot}
 
         return work
