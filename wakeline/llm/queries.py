@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import anomaly, bpe, brown, chat, mixing, neardup, pii, quality, toxicity, winnow
+from wakeline.llm import anomaly, bpe, brown, chat, merkle, mixing, neardup, perfect_hash, pii, quality, toxicity, trie, winnow
 from wakeline.llm.common import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,130 @@ def brown_classes(spark: SparkSession, folder: str) -> DataFrame:
 def pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source")
     return mixing.schedule(docs).select("doc_id", "source", "block", "slot")
+
+
+@query(
+    "op11_perfect_hash",
+    """
+    SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
+        doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
+    """,
+)
+def perfect_hash_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the documents, by a hash of the id, are the history; the others come as a batch."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = perfect_hash.find_repeats(docs, id_remainder(2) == 0)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+        string_split({text}, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"""
+
+
+@query(
+    "op12_prefix_trie",
+    f"""
+    WITH ordered AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), sizes AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS hub, {_crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM ordered GROUP BY conv_id
+    ), rebuilt AS (
+        SELECT s.conv_id, 0 AS part, o.pos, role, text FROM sizes s JOIN ordered o ON o.conv_id = s.hub AND o.pos < s.h
+        UNION ALL
+        SELECT s.conv_id, 1, o.pos, role, text FROM sizes s JOIN ordered o ON o.conv_id = s.conv_id AND o.pos >= s.h
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d,
+            sha256(strlen(role) || ':' || role || text) AS told
+        FROM rebuilt
+    ), whole AS (
+        SELECT conv_id, count(told) AS n, coalesce(string_agg(told, '' ORDER BY d), '') AS path
+        FROM sizes LEFT JOIN placed USING (conv_id) GROUP BY conv_id
+    ), visits AS (
+        SELECT conv_id, n, unnest(range(0, n + 1)) AS d, path FROM whole
+    ), steps AS (
+        SELECT v.conv_id, v.n, v.d, v.path[1:64 * v.d] AS id, strlen(text) AS bytes
+        FROM visits v LEFT JOIN placed p ON p.conv_id = v.conv_id AND p.d = v.d
+    ), nodes AS (
+        SELECT id, d, min(conv_id) AS least, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(bytes), 0) AS value,
+            sha256(coalesce(string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends
+        FROM steps GROUP BY id, d
+    ), children AS (
+        SELECT id[1:64 * (d - 1)] AS id, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+    ), below AS (
+        SELECT DISTINCT a.id, b.id AS lower FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND b.d >= a.d
+    ), totals AS (
+        SELECT below.id, count(*) FILTER (c.id IS NULL) AS n_leaves, sum(n.value) AS saved
+        FROM below JOIN nodes n ON n.id = lower LEFT JOIN children c ON c.id = lower GROUP BY below.id
+    )
+    SELECT n.least AS conv_id, n.d AS depth, p.least AS parent_conv_id, n.n_convs,
+        coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+    FROM nodes n JOIN totals USING (id) LEFT JOIN children USING (id)
+    LEFT JOIN nodes p ON n.d > 0 AND p.id = n.id[1:64 * (n.d - 1)]
+    """,
+)
+def prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.shared_openings(table(spark, folder, "conversations"))
+
+
+def _merkle_levels(name: str, levels: int) -> str:
+    """CTEs ``name``1 … over ``name``0 (tree, pos, digest), and ``name``_path per leaf (before, after of each level)."""
+    made = []
+    for k in range(levels):
+        made.append(f"""{name}{k + 1} AS (
+            SELECT tree, pos // 8 AS pos, CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k}) GROUP BY ALL
+        )""")
+        made.append(f"""{name}_by{k} AS (
+            SELECT a.tree, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+                coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r, any_value(a.n) AS n
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}{k}) a
+            JOIN {name}{k} b ON a.tree = b.tree AND a.pos // 8 = b.pos // 8 GROUP BY a.tree, a.pos
+        )""")
+    return ", ".join(made)
+
+
+def _merkle_climb(name: str, source: str, tree: str, pos: str, levels: int) -> str:
+    """CTEs ``name``_up0 … that fold ``source`` (now, proof) level by level."""
+    made = [f"{name}_up0 AS (SELECT *, {tree} AS t_{name}, {pos} AS p_{name} FROM {source})"]
+    for k in range(levels):
+        made.append(f"""{name}_up{k + 1} AS (
+            SELECT u.* REPLACE (p_{name} // 8 AS p_{name}, CASE WHEN b.n = 1 THEN now ELSE sha256(l || now || r) END AS now,
+                proof || l || r AS proof)
+            FROM {name}_up{k} u JOIN {name}_by{k} b ON b.tree = t_{name} AND b.pos = p_{name}
+        )""")
+    return ", ".join(made)
+
+
+_FIELD = "coalesce(strlen({x}::VARCHAR) || ':' || {x}, '-')"
+_LEAF = " || ".join(_FIELD.format(x=x) for x in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_LOWERED = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+@query(
+    "op13_merkle_climb",
+    f"""
+    WITH leaves AS (
+        SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos,
+            sha256({_LEAF.format(text="text")}) AS digest,
+            CASE WHEN {_crc32_sql("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_LEAF.format(text=_LOWERED)}) END AS changed
+        FROM documents
+    ), low0 AS (SELECT tree, pos, digest FROM leaves), {_merkle_levels("low", 7)},
+    top0 AS (SELECT 0 AS tree, tree AS pos, digest FROM low7), {_merkle_levels("top", 3)},
+    start AS (SELECT *, coalesce(changed, digest) AS now, '' AS proof FROM leaves),
+    {_merkle_climb("low", "start", "tree", "pos", 7)}, {_merkle_climb("top", "low_up7", "0", "tree", 3)}
+    SELECT doc_id, u.digest AS leaf, s.digest AS subroot, r.digest AS root, sha256(proof) AS proof_sha256,
+        now AS folded_root, now = r.digest AS verified
+    FROM top_up3 u JOIN low7 s ON s.tree = u.tree CROSS JOIN top3 r
+    """,
+)
+def merkle_climb(spark: SparkSession, folder: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    text = F.when(id_remainder(3) == 0, lowered).otherwise(F.col("text"))
+    return merkle.prove_documents(table(spark, folder, "documents"), text)
