@@ -7,7 +7,8 @@ order, at most ``FANOUT``) and its parent: the node (tree, level, pos) that it i
 ``climb`` is one recursive query. The leaves of one parent share the whole path above it, so a
 row of the climb carries them together: their recomputed hashes, folded with the siblings of
 each node passed, and these siblings once for all of them. A lone hot key is just a deeper
-tree: no task holds more of it than a range of leaves or the children of one node.
+tree: no task holds more of it than a range of leaves or the children of one node. High in the tree all rows of the climb meet few nodes: these are the hot
+partitions of an equi join against one small row, which adaptive skew handling splits.
 """
 
 from __future__ import annotations
@@ -152,6 +153,7 @@ def build(docs: DataFrame, key: str, order: str, leaf: Column, *carry: Column) -
         found = found.unionAll(more)
     keys = stage(counted.join(found.withColumnRenamed("digest", "subroot"), "tree").select("tree", "key", "n", "subroot"), "subroots")
     over = keys.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("pos"), F.col("subroot").alias("digest"))
+    over = stage(over, "top")  # a written number, which joins stay equi joins on
     one = over.groupBy("tree").agg(F.count("*").alias("n")).withColumn("trees", F.lit(1))
     upper = _levels(over, one, True)
     nodes = None
