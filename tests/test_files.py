@@ -45,6 +45,49 @@ def test_survey_is_partitioned_by_trip(spark, tmp_path, fmt):
         assert [r.n for r in got.collect()] == [2] and "PartitionFilters: [isnotnull" in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_writing_a_trip_leaves_the_others(spark, tmp_path, fmt):
+    path = str(tmp_path / "s")
+    trip = lambda area, month, *ns: spark.createDataFrame([(area, f"2024_{month}", n) for n in ns], "survey_area string, trip string, n int")
+    rows = lambda: sorted(map(tuple, spark.read.format(fmt).option("header", True).schema("n int, survey_area string, trip string").load(path).collect()))
+    files.write_survey(trip("DUSKY", "01", 1, 2, 3), path, fmt)
+    files.write_survey(trip("DUSKY", "02", 4), path, fmt)
+    files.write_survey(trip("NANCY", "01", 5), path, fmt)
+    kept = [(4, "DUSKY", "2024_02"), (5, "NANCY", "2024_01")]
+    assert rows() == [(n, "DUSKY", "2024_01") for n in (1, 2, 3)] + kept
+    files.write_survey(trip("DUSKY", "01", 9), path, fmt)
+    assert rows() == [*kept, (9, "DUSKY", "2024_01")]
+    broken = trip("DUSKY", "02", 6, 7).withColumn("n", F.expr("CASE WHEN n = 7 THEN raise_error('no') ELSE n END").cast("int"))
+    with pytest.raises(Exception, match="no"):
+        files.write_survey(broken, path, fmt)
+    files.write_survey(trip("DUSKY", "02"), path, fmt)  # nothing to write
+    assert rows() == [*kept, (9, "DUSKY", "2024_01")]
+
+
+def test_a_trip_may_be_rewritten_from_itself(spark, tmp_path):
+    path = str(tmp_path / "s")
+    files.write_survey(spark.sql("select explode(array(1, 2, 2)) n, 'A' survey_area, '2024_01' trip"), path)
+    files.write_survey(spark.read.parquet(path).distinct(), path)
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
+def test_listing_walks_folders_in_tasks(spark, tmp_path):
+    made = {}
+    for folder in ("20240105 a", "20240106/deep/er", ".hidden", "", "_staged"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        for n, name in enumerate(("A_1.jpg", "B_2.NEF", ".C_3.jpg", "notes.txt")):
+            (tmp_path / folder / name).write_text("x" * (n + 1))
+            if n < 2 and folder[:1] not in (".", "_"):
+                made[str(tmp_path / folder / name)] = n + 1
+    (tmp_path / "20240107 empty").mkdir()
+    for levels in (1, 2, 5):
+        got = files.list_photos(spark, str(tmp_path), levels=levels)
+        assert {r.path: r.size for r in got.collect()} == made and got.count() == len(made)
+    got = files.list_photos(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 4  # the root's own files and one task per folder
+    assert {str(r.date) for r in got.collect()} == {"2024-01-05", "2024-01-06", "None"} and got.where("modified IS NULL").count() == 0
+
+
 def test_stage_reads_back_what_was_written(spark, tmp_path):
     df = spark.sql("select 1 a, timestamp_ntz'2024-01-01 00:00:00' ts, cast(null as string) s")
     back = staging.stage(df, "t")

@@ -140,6 +140,85 @@ def test_complete(table):
     assert rows_of(complete(df, ["pod", "y"], {"n": 0})) == [("P", 2010, 1), ("P", 2011, 0), ("Q", 2010, 0), ("Q", 2011, 1)]
 
 
+def test_intervals_of_very_different_lengths(spark):
+    """Seconds to centuries, in one join: copies of points, points without key or time, no action on the way."""
+    rng = random.Random(5)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    pts = [(rng.choice([0, 1, 2, None]), rng.choice([None, *[at(rng.randrange(-10**6, 10**8)) for _ in range(5)]]), i // 2) for i in range(300)]
+    ivs = []
+    for i in range(120):
+        lo = rng.randrange(-10**6, 10**8)
+        ivs.append((rng.randrange(2), at(lo), at(lo + int(10 ** rng.uniform(0, 9.4))), i))
+    ivs += [(0, at(50), at(40), 900), (0, None, at(1), 901), (None, at(0), at(10**8), 902)]
+    pdf = spark.createDataFrame(pts, "k int, ts timestamp_ntz, p int")
+    idf = spark.createDataFrame(ivs, "k int, lo timestamp_ntz, hi timestamp_ntz, g int")
+    hits = {n: [g for kk, lo, hi, g in ivs if kk is not None and kk == k and t and lo and lo <= t <= hi] for n, (k, t, _) in enumerate(pts)}
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    want = [(p, g) for n, (_, _, p) in enumerate(pts) for g in hits[n]]
+    seen = spark.sparkContext.statusTracker()
+    before = len(seen.getJobIdsForGroup())
+    inner = interval_assign(pdf, idf, ["k"], "ts", "lo", "hi")
+    left = interval_assign(pdf, idf, ["k"], "ts", "lo", "hi", "left")
+    assert len(seen.getJobIdsForGroup()) == before
+    assert rows_of(inner, "p", "g") == sorted(want, key=key)
+    alone = [(p, None) for n, (_, _, p) in enumerate(pts) if not hits[n]]
+    assert rows_of(left, "p", "g") == sorted(want + alone, key=key) and left.columns == [*pdf.columns, "lo", "hi", "g"]
+    nothing = interval_assign(pdf, idf.where("g < 0"), ["k"], "ts", "lo", "hi", "left")
+    assert rows_of(nothing, "p", "g") == sorted([(p, None) for _, _, p in pts], key=key)
+
+
+def test_one_wrong_end_date_costs_few_rows(spark):
+    from wakeline.operators.joins import binned
+
+    spans = [(T0, T0 + dt.timedelta(days=d)) for d in (0, 1, 400, 300_000, 2_900_000)]
+    rows = binned(spark.createDataFrame(spans, "lo timestamp_ntz, hi timestamp_ntz"), "lo", "hi", 3_600)
+    copies = [r.n for r in rows.groupBy("lo", "hi").agg(F.count("*").alias("n")).collect()]
+    assert len(copies) == 5 and max(copies) <= 65
+
+
+def test_grid_of_many_values(spark, monkeypatch):
+    from wakeline.operators import joins
+
+    monkeypatch.setattr(joins, "GRID_BUCKET", 16)
+    rng = random.Random(6)
+    rows = {(rng.randrange(40), f"v{rng.randrange(300)}", rng.choice("xyz")): n for n in range(250)}
+    df = spark.createDataFrame([(*k, v) for k, v in rows.items()] + [(7, None, "x", 1), (None, "v1", "x", 1)], "a int, b string, c string, n int")
+    got = complete(df, ["a", "b", "c"], {"n": -1})
+    values = [{k[i] for k in rows} for i in range(3)]
+    want = {(a, b, c): rows.get((a, b, c), -1) for a in values[0] | {7, None} for b in values[1] | {"v1"} for c in values[2] | {"x"}}
+    assert {(r.a, r.b, r.c): r.n for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "collect_set" not in plan
+
+
+@pytest.mark.parametrize("span", [600, 86_400])
+def test_carry_of_several_values_against_brute_force(spark, span):
+    rng = random.Random(span)
+    rows = [
+        (rng.choice(["a", "b", "c", "d"]), T0 + dt.timedelta(seconds=rng.randrange(40) * 97), i, rng.random() < 0.2, rng.choice([None, "I", "F"]), rng.choice([None, None, None, "p", "q"]))
+        for i in range(200)
+    ]
+    rows = [(k, t, i, m, v, None if k == "a" else p) for k, t, i, m, v, p in rows]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int, mark boolean, v string, p string")
+    carries = {
+        "in_force": ordered.Carry(F.col("v"), F.col("mark"), ("id",), after_equal=True),
+        "p": ordered.Carry(F.col("p"), F.col("p").isNotNull(), ("id",), over_keys=True),
+    }
+    got = {r.id: (r.in_force, r.p) for r in ordered.carry_forward(df, carries, "k", "ts", span).collect()}
+    for k, t, i, m, v, p in rows:
+        marks = [r for r in rows if r[0] == k and r[3] and ((r[1], r[2]) <= (t, i) if m else r[1] <= t)]
+        known = [r for r in rows if r[5] and (r[0], r[1], r[2]) <= (k, t, i)]
+        want = max(marks, key=lambda r: r[1:3])[4] if marks else None
+        assert got[i] == (want, max(known, key=lambda r: r[:3])[5] if known else None)
+
+
+def test_carry_shuffles_the_rows_once(spark):
+    df = spark.range(1_000).selectExpr("id % 3 AS k", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS ts", "IF(id % 9 = 0, id, NULL) AS v", "IF(id % 7 = 0, id, NULL) AS w")
+    carries = {c: ordered.Carry(F.col(c), F.col(c).isNotNull()) for c in ("v", "w")}
+    plan = ordered.carry_forward(df, carries, "k", "ts")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 3  # the rows, their cells, and the rows that set something
+
+
 def test_micros_ignores_session_zone(spark):
     from wakeline.functions.dates import micros
 

@@ -117,6 +117,23 @@ def test_discovery_curve(table):
     assert rows_of(wide, "name", d[0], d[1]) == [("A", 1, 0), ("B", 1, 1), ("C", 0, 0)]
 
 
+def test_matrix_takes_its_days_from_the_trip(table):
+    rows = [(n, d, "F", 2000, 2001, "A") for n, d in (("A", "2024-01-05"), ("A", "2024-01-03"), ("B", "2024-01-03"))]
+    seen = table(rows, "name string, date date, sex string, birth_year int, first_year int, ageclass string")
+    wide = capture.capture_matrix(seen)
+    assert wide.columns[-2:] == ["2024-01-03", "2024-01-05"]
+    assert rows_of(wide, "name", "2024-01-03", "2024-01-05") == [("A", 1, 1), ("B", 1, 0)]
+    with pytest.raises(ValueError, match="more than 1 days"):
+        capture.capture_matrix(seen, most=1)
+
+
+def test_a_mother_of_many_is_listed_short(table):
+    rows = [("UNKNOWN", f"c{i:03d}") for i in range(50)] * 2 + [("EVA", "x"), ("EVA", "y"), ("EVA", None), (None, "z"), ("ONE", "x")]
+    got = life.calves_of(table(rows, "mom string, name string"), shown=3)
+    assert rows_of(got) == [("EVA", "x and y", 2), ("ONE", "x", 1), ("UNKNOWN", "c000, c001, c002 and 47 more", 50)]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_uncertain_names_stay_out(table):
     names = ["A", "B?", "CALF", "UNMA", "x_1", "UK7", "CULLED", "", None]
     shots = table([(n, "2024-01-01") for n in names], "id_name string, date date")

@@ -137,3 +137,22 @@ def test_first_seen_takes_the_earliest_of_all_batches(spark, tmp_path):
     batches = [[("A", day(5)), ("B", day(9))], [("A", day(2)), ("C", day(1))], [("A", day(7))]]
     got = _run(spark, tmp_path, batches, "id_name string, date date", tracks.stream_first_seen, ["id_name"])
     assert rows_of(got, "id_name", "first_date") == [("A", day(2)), ("B", day(9)), ("C", day(1))]
+
+
+def test_streamed_photos_without_a_window_come_out(spark, tmp_path):
+    """Windows of any length, photos of every kind, over several batches; a last row on each side closes the rest."""
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    shots, windows = f"{tmp_path}/shots", f"{tmp_path}/windows"
+    photo_schema, window_schema = "device_id long, ts timestamp_ntz, n int", "device_id long, lo timestamp_ntz, hi timestamp_ntz, sighting_number long"
+    spans = [[(1, at(0), at(2), 10), (2, at(-3), at(24 * 40), 20)], [(1, at(1), at(30), 11), (1, at(9), at(8), 12)], [(-1, at(10**5), at(10**5), 0)]]
+    photos_in = [[(1, at(1), 1), (2, at(5), 2), (3, at(1), 3), (None, at(1), 4), (1, None, 5)], [(1, at(30), 6), (1, at(31), 7), (2, at(24 * 39), 8), (1, at(2), 9)], [(-1, at(10**5), 0)]]
+    for path, batches, schema in ((shots, photos_in, photo_schema), (windows, spans, window_schema)):
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{n}")
+    read = lambda path, schema: spark.readStream.schema(schema).parquet(f"{path}/*")
+    joined = tracks.stream_photo_groups(read(shots, photo_schema), read(windows, window_schema), "1 day", ("device_id",))
+    job = joined.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    job.awaitTermination()
+    got = spark.read.schema(joined.schema).parquet(f"{tmp_path}/out").where("n > 0")
+    want = [(1, 10), (1, 11), (2, 20), (3, None), (4, None), (5, None), (6, 11), (7, None), (8, 20), (9, 10), (9, 11)]
+    assert rows_of(got, "n", "sighting_number") == want

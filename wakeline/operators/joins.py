@@ -102,6 +102,27 @@ def asof_join(
 BINS_PER_INTERVAL = 64
 
 
+def binned(intervals: DataFrame, lo: str, hi: str, bin_seconds: int) -> DataFrame:
+    """Valid intervals, once per bin they touch: adds ``__level`` and ``__cell``.
+
+    A bin of level n is `BINS_PER_INTERVAL` ** n times ``bin_seconds`` wide. An interval is on the
+    least level where it spans no more than `BINS_PER_INTERVAL` bins, so one wrong end date
+    makes a few dozen rows, and the 10,000 years of a timestamp take five levels of an hour.
+    """
+    spanned = (micros(hi) - micros(lo)) / (bin_seconds * MICROS_PER_SECOND)
+    wider = [(spanned > float(BINS_PER_INTERVAL) ** n).cast("int") for n in range(1, 12)]
+    level = reduce(lambda a, b: a + b, wider)
+    rows = intervals.where(F.col(lo) <= F.col(hi)).withColumn("__level", level)
+    first, last = (bin_of(c, F.col("__level"), bin_seconds) for c in (lo, hi))
+    return rows.withColumn("__cell", F.explode(F.sequence(first, last)))
+
+
+def bin_of(ts: str, level: Column, bin_seconds: int) -> Column:
+    """Number of the level's bin that holds ``ts``."""
+    width = F.pow(F.lit(float(BINS_PER_INTERVAL)), level) * (bin_seconds * MICROS_PER_SECOND)
+    return F.floor(micros(ts) / width)
+
+
 def interval_assign(
     points: DataFrame,
     intervals: DataFrame,
@@ -114,39 +135,34 @@ def interval_assign(
 ) -> DataFrame:
     """Join points to the intervals (ends included) that contain them, keys equal.
 
-    Intervals are repeated once per time bin they touch, so the join key is (keys, bin)
-    rather than the key alone; a point lies in exactly one bin, so no match is found twice.
-    Intervals that would touch more than `BINS_PER_INTERVAL` bins use bins that many times
-    as wide (and so on), each width being a join of its own: one wrong end date does not
-    multiply rows. The widths present, a handful, are looked up first. A bin that many
-    points share is split by adaptive skew handling. With ``how='left'`` points without an
-    interval are kept.
+    One equi join on (keys, level, bin): intervals are repeated once per bin they touch (see
+    `binned`), a point looks into one bin of each level that has intervals, mostly one level.
+    These levels are found while the join runs, by a subquery over the intervals alone; points
+    are read once. A point is in one bin of a level and an interval on one level, so no match is
+    found twice. A bin that many points share is split by adaptive skew handling.
+
+    With ``how='left'`` points without an interval are kept, once for each copy, also those
+    whose key or time is NULL. The looks that found nothing come out of the same join; a count
+    over equal points then tells whether all of them did.
     """
-    valid = intervals.where(F.col(lo) <= F.col(hi)).withColumnsRenamed({k: f"__k_{k}" for k in by})
-    bins = (micros(hi) - micros(lo)) / (bin_seconds * MICROS_PER_SECOND * BINS_PER_INTERVAL)
-    level = F.ceil(F.log(float(BINS_PER_INTERVAL), F.greatest(bins, F.lit(1.0)))).cast("int")
-    levelled = valid.withColumn("__level", level)
-    levels = sorted(r[0] for r in levelled.select("__level").distinct().collect()) or [0]
-
-    def bin_of(column: str, of: int) -> Column:
-        return F.floor(micros(column) / (bin_seconds * MICROS_PER_SECOND * BINS_PER_INTERVAL**of))
-
-    def matched(rows: DataFrame, of: int, kind: str) -> DataFrame:
-        spans = F.explode(F.sequence(bin_of(lo, of), bin_of(hi, of)))
-        right = levelled.where(F.col("__level") == of).drop("__level").withColumn("__rbin", spans)
-        same = (F.col("__bin") == F.col("__rbin")) & F.col(ts).between(F.col(lo), F.col(hi))
-        for k in by:
-            same = same & (F.col(k) == F.col(f"__k_{k}"))
-        joined = rows.withColumn("__bin", bin_of(ts, of)).join(right, same, kind)
-        return joined.drop("__bin", "__rbin", *[f"__k_{k}" for k in by])
-
-    if len(levels) == 1:
-        return matched(points, levels[0], how)
-    found = reduce(DataFrame.unionByName, (matched(points, of, "inner") for of in levels))
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown join {how!r}")
+    right = binned(intervals.withColumnsRenamed({k: f"__k_{k}" for k in by}), lo, hi, bin_seconds)
+    levels = right.agg(F.array_sort(F.collect_set("__level"))).scalar()
+    look = F.posexplode_outer(levels) if how == "left" else F.posexplode(levels)
+    rows = points.select("*", look.alias("__look", "__at"))
+    rows = rows.withColumn("__in", bin_of(ts, F.col("__at"), bin_seconds))
+    same = (F.col("__at") == F.col("__level")) & (F.col("__in") == F.col("__cell"))
+    for k in by:
+        same = same & (F.col(k) == F.col(f"__k_{k}"))
+    joined = rows.join(right, same & F.col(ts).between(F.col(lo), F.col(hi)), how)
+    helpers = ["__look", "__at", "__in", "__level", "__cell", *[f"__k_{k}" for k in by]]
     if how == "inner":
-        return found
-    alone = reduce(lambda rows, of: matched(rows, of, "left_anti"), levels, points)
-    return found.unionByName(alone, allowMissingColumns=True)
+        return joined.drop(*helpers)
+    found = F.count("__level").over(Window.partitionBy(*points.columns))
+    first_look = F.coalesce(F.col("__look"), F.lit(0)) == 0
+    kept = F.col("__level").isNotNull() | ((F.col("__found") == 0) & first_look)
+    return joined.withColumn("__found", found).where(kept).drop("__found", *helpers)
 
 
 def clip_to_periods(
@@ -160,17 +176,27 @@ def clip_to_periods(
     return rows.join(right, cond, "inner").drop(*[f"__k_{k}" for k in by])
 
 
+#: Values of a dimension that one bucket of `complete` holds, on average.
+GRID_BUCKET = 1_024
+
+
 def complete(df: DataFrame, keys: Sequence[str], fill: Mapping[str, object]) -> DataFrame:
     """Every combination of the key values present, absent ones filled.
 
-    The keys after the first are dimensions (years, classes): their distinct values
-    travel as one array, which Spark explodes next to the first key's values.
+    The keys after the first are dimensions (years, classes) of any size: their distinct
+    values are dealt by hash into buckets of about `GRID_BUCKET`, every combination so far
+    is repeated once per bucket, and an equi join on the bucket brings the values. No row
+    and no task holds all values of a key; a short dimension is one bucket, which Spark
+    broadcasts. A NULL is no value of a dimension.
     """
     first, *rest = keys
     grid = df.select(first).distinct()
     for k in rest:
-        values = df.select(k).distinct().agg(F.array_sort(F.collect_set(k))).scalar()
-        grid = grid.withColumn(k, F.explode(values))
+        values = df.select(k).where(F.col(k).isNotNull()).distinct()
+        buckets = values.agg(F.floor(F.count("*") / GRID_BUCKET) + 1).scalar()
+        bucket = F.pmod(F.xxhash64(k), buckets).alias("__bucket")
+        repeated = grid.withColumn("__bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), buckets - 1)))
+        grid = repeated.join(values.select(k, bucket), "__bucket").drop("__bucket")
     return grid.join(df, on=list(keys), how="left").fillna(dict(fill))
 
 

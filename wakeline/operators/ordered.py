@@ -18,6 +18,7 @@ and the join share one hash partitioning.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -323,6 +324,69 @@ def before_key(
     )
 
 
+@dataclass(frozen=True)
+class Carry:
+    """A value that rows set and later rows inherit.
+
+    Rows where ``sets`` holds set ``value``, also to NULL. Order within a key is time, then
+    ``ties``; with ``after_equal`` a row that sets nothing comes after all rows of its time that
+    do. With ``over_keys`` the rows of a key before its first setting take the last one of the smaller
+    keys, as a forward fill over a sorted table does.
+    """
+
+    value: Column
+    sets: Column
+    ties: Sequence[str] = ()
+    after_equal: bool = False
+    over_keys: bool = False
+
+
+def carry_forward(
+    df: DataFrame, carries: Mapping[str, Carry], key: str, ts: str, span_seconds: int = DAY_SECONDS
+) -> DataFrame:
+    """Add or replace columns by values in force, all in one pass over the cells.
+
+    Every row gets, per name of ``carries``, what the last setting row up to itself has set, else
+    NULL. The settings of a cell are summarised in one row for all names; these rows find what
+    their cell inherits, from earlier cells and, where asked for, from smaller keys. So the rows
+    themselves are shuffled once, whatever the number of names, and a hot key is many cells.
+    """
+    cells = df.withColumn(_CELL, _cell([key], ts, span_seconds))
+    marked = {n: F.struct(F.when(c.sets, F.struct(c.value.alias("v"))).alias("s")).alias(f"__m_{n}") for n, c in carries.items()}
+    rows = cells.select("*", *marked.values())
+    is_set = {n: F.col(f"__m_{n}.s").isNotNull() for n in carries}
+    points = rows.where(reduce(or_, is_set.values())).select(
+        _CELL,
+        *[
+            F.when(is_set[n], F.struct(*_order(ts, c.ties), F.col(f"__m_{n}.s").alias("s"))).alias(f"__e_{n}")
+            for n, c in carries.items()
+        ],
+    )
+    summary = summarise_cells(cells, points, {f"__e_{n}": F.max(f"__e_{n}") for n in carries})
+    over = [n for n, c in carries.items() if c.over_keys]
+    across = _across_cells([key])
+    held = summary.select(_CELL, *[F.last(f"__e_{n}", ignorenulls=True).over(across).alias(f"__c_{n}") for n in carries])
+    if over:
+        per_key = summary.groupBy(F.col(f"{_CELL}.k0").alias("__key")).agg(*[F.max(f"__e_{n}").alias(f"__e_{n}") for n in over])
+        earlier = before_key(per_key, "__key", lasts={f"__p_{n}": f"__e_{n}" for n in over})
+        held = held.withColumn("__key", F.col(f"{_CELL}.k0"))
+        held = attach(held, earlier, ["__key"]).drop("__key")
+        held = held.withColumns({f"__c_{n}": F.coalesce(f"__c_{n}", f"__p_{n}") for n in over}).drop(*[f"__p_{n}" for n in over])
+    joined = _with_inherited(rows, held)
+    values = {}
+    for n, c in carries.items():
+        late = [is_set[n].desc()] if c.after_equal else []
+        order = Window.partitionBy(_CELL).orderBy(F.col(ts), *late, *c.ties)
+        here = F.last(f"__m_{n}.s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        values[f"__v_{n}"] = F.coalesce(here, F.col(f"__c_{n}.s"))["v"]
+    kept = [c for c in df.columns if c not in carries]
+    return joined.withColumns(values).select(*kept, *[F.col(f"__v_{n}").alias(n) for n in carries])
+
+
+def _order(ts: str, ties: Sequence[str]) -> list[Column]:
+    return [F.col(ts).alias("t"), *[F.col(c).alias(f"tie{i}") for i, c in enumerate(ties)]]
+
+
 def locf_frame(
     df: DataFrame,
     cols: Sequence[str],
@@ -336,10 +400,5 @@ def locf_frame(
     Rows of a key before its first known value take the last value of the keys
     before it, as a forward fill over a sorted table does.
     """
-    points = _known_points(df, key, cols, ts, ties)
-    lasts = {c: F.max(f"__e{i}")["v"] for i, c in enumerate(cols)}
-    last_of_key = summarise_cells(df, points, lasts, key)
-    earlier = before_key(last_of_key, key, lasts={f"__p_{c}": c for c in cols})
-    carried = locf(df, cols, [key], ts, ties, span_seconds)
-    joined = attach(carried, earlier, [key])
-    return joined.withColumns({c: F.coalesce(c, f"__p_{c}") for c in cols}).select(*df.columns)
+    carries = {c: Carry(F.col(c), F.col(c).isNotNull(), tuple(ties), over_keys=True) for c in cols}
+    return carry_forward(df, carries, key, ts, span_seconds).select(*df.columns)

@@ -20,6 +20,9 @@ NOT_SURVEYED = 999
 OUTSIDE_PODS = "NORTHERN"
 PROVISIONAL_NAME = "D-2"
 
+# Days that a display matrix may have.
+MATRIX_DAYS = 100
+
 
 def age_label(ageclass: Column) -> Column:
     label = None
@@ -46,11 +49,29 @@ def daily_captures(photos: DataFrame, alive: DataFrame) -> DataFrame:
     return days.distinct().join(details, "name", "left")
 
 
-def capture_matrix(daily: DataFrame, dates: Sequence[str]) -> DataFrame:
-    """Presence (0/1) with one column per given date, for display."""
+def trip_days(daily: DataFrame, most: int = MATRIX_DAYS) -> list[str]:
+    """Dates of a trip's daily captures, in order: a first pass that brings ``most`` + 1 rows at most.
+
+    A trip of more days has no display form and is refused.
+    """
+    found = daily.select("date").where("date IS NOT NULL").distinct().orderBy("date").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"captures on more than {most} days are too many columns for one trip's matrix")
+    return [str(r.date) for r in found]
+
+
+def capture_matrix(
+    daily: DataFrame, dates: Sequence[str] | None = None, most: int = MATRIX_DAYS
+) -> DataFrame:
+    """Presence (0/1) per individual with one column per day of the trip, for display.
+
+    ``daily`` holds the captures of one trip; its days become the columns (see `trip_days`)
+    where no ``dates`` are given. Counting is one aggregation that combines map-side.
+    """
     keys = ["name", "sex", "birth_year", "first_year", "ageclass"]
-    wide = daily.groupBy(*keys).pivot("date", list(dates)).agg(F.max(F.lit(1)))
-    return wide.fillna(0, subset=[c for c in wide.columns if c not in keys])
+    days = trip_days(daily, most) if dates is None else list(dates)
+    wide = daily.withColumn("date", F.col("date").cast("string")).groupBy(*keys).pivot("date", days)
+    return wide.agg(F.max(F.lit(1))).fillna(0, subset=days)
 
 
 def age_sex_table(daily: DataFrame) -> DataFrame:

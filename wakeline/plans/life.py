@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wakeline.functions.dates import calf_year
 from wakeline.functions.text import basename, join_words
@@ -20,6 +20,9 @@ ADULT_AGE, ADULT_YEARS_KNOWN, SUBADULT_AGE = 9, 8, 3
 NOT_YET, DEAD = "NA", "D"
 NO_IMAGE = "noimageavail.jpg"
 
+# Calves that a catalogue card names.
+CALVES_SHOWN = 20
+
 
 def with_pod(life: DataFrame) -> DataFrame:
     """Pod from the entry number; numbers outside every range give NULL."""
@@ -218,11 +221,30 @@ def catalogue_images(paths: DataFrame) -> DataFrame:
     return rows.where(F.col("name").isNotNull())
 
 
+def calves_of(life: DataFrame, shown: int = CALVES_SHOWN) -> DataFrame:
+    """(name, calves, n_calves) per mother: her calves in words, the first ``shown`` by name.
+
+    Ranks above ``shown`` leave before the shuffle (window group limit) and calves are counted
+    map-side, so a placeholder mother of a third of all rows is ``shown`` rows per task.
+    """
+    pairs = life.where(F.col("mom").isNotNull()).select("mom", "name").distinct()
+    rank = F.row_number().over(Window.partitionBy("mom").orderBy("name"))
+    listed = pairs.where(F.col("name").isNotNull()).withColumn("__rank", rank).where(F.col("__rank") <= shown)
+    listed = listed.groupBy("mom").agg(F.array_sort(F.collect_list("name")).alias("__calves"))
+    counted = pairs.groupBy("mom").agg(F.count("name").alias("n_calves"))
+    more = F.col("n_calves") - F.size("__calves")
+    said = F.when(more > 0, F.concat(F.array_join("__calves", ", "), F.lit(" and "), more.cast("string"), F.lit(" more")))
+    return counted.join(listed, "mom").select(
+        F.col("mom").alias("name"), said.otherwise(join_words(F.col("__calves"))).alias("calves"), "n_calves"
+    )
+
+
 def catalogue_cards(life: DataFrame, images: DataFrame, year: int) -> DataFrame:
     """One row per pictured individual: details, mother, calves, one picture per side.
 
     An individual with several pictures of a side shows the first by path and their
-    number; ``catalogue_images`` lists them all.
+    number; ``catalogue_images`` lists them all. So with calves: the first `CALVES_SHOWN`
+    by name and how many more there are.
     """
     full = F.col("part").isNotNull() & F.col("type").isNotNull()
     side = lambda p: F.when(full & (F.col("part") == p), F.col("path"))
@@ -232,14 +254,7 @@ def catalogue_cards(life: DataFrame, images: DataFrame, year: int) -> DataFrame:
         F.min(side("RD")).alias("right_image"),
         F.count(side("RD")).alias("n_right"),
     )
-    # a mother's calves fit one sentence by nature
-    calves = (
-        life.where(F.col("mom").isNotNull())
-        .groupBy(F.col("mom").alias("name"))
-        .agg(F.array_sort(F.collect_set("name")).alias("__calves"))
-    )
-    calves = calves.select("name", join_words(F.col("__calves")).alias("calves"))
-    details = age_class_at(life, year).join(calves, "name", "left")
+    details = age_class_at(life, year).join(calves_of(life), "name", "left")
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
             ("code", "sex", "ageclass", "mom", "birth_year", "first_year", "last_year")}
     said = F.when(F.col("sex") == "F", F.coalesce("calves", F.lit("NA"))).otherwise("")

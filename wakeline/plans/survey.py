@@ -9,7 +9,9 @@ from wakeline.functions.geo import AREA_BANDS, with_nautical_miles
 from wakeline.functions.text import contains
 from wakeline.operators.joins import asof_join
 from wakeline.operators.ordered import (
+    Carry,
     before_key,
+    carry_forward,
     dedupe_first,
     locf_frame,
     nocb,
@@ -18,7 +20,6 @@ from wakeline.operators.ordered import (
 )
 from wakeline.operators.shape import blank_to_null, ensure_columns
 from wakeline.operators.skew import attach
-from wakeline.sources.staging import stage
 
 # Log entries and permit names.
 ENCOUNTER_TYPES = ("Initial", "Repeat", "Follow")
@@ -182,24 +183,21 @@ def encounter_state(
     """Survey rows with the encounter type in force and the platform carried forward.
 
     A row takes the type of the last mark before it when that is a named type; an
-    END mark without a type closes the encounter.
+    END mark without a type closes the encounter. Mark and platform go through one pass.
     """
     blank = {"encounter_type": F.lit(None).cast("string"), "species": F.lit(None).cast("string")}
     rest = survey.where(~contains(F.col("event_type"), "Encounter")).withColumns(blank)
-    marks = enc.select("device_id", "ts", "event_type", "encounter_type")
-    state = asof_join(
-        rest,
-        marks.withColumnsRenamed({"event_type": "__mark", "encounter_type": "__type"}),
-        "ts",
-        ["device_id"],
-        span_seconds=span_seconds,
-    )
-    kind = F.col("matched.__type")
-    state = state.withColumn("encounter_type", F.when(kind.isin(*ENCOUNTER_TYPES), kind))
-    table = enc.unionByName(state.drop("matched"), allowMissingColumns=True)
-    # the carry reads its table several times
-    table = stage(table, "state-rows")
-    return locf_frame(table, ["platform"], "device_id", "ts", ("event_type",), span_seconds)
+    table = enc.withColumn("__mark", F.lit(True)).unionByName(rest, allowMissingColumns=True)
+    table = table.withColumn("__kind", F.col("encounter_type"))
+    is_mark, platform = F.col("__mark").isNotNull(), F.col("platform")
+    carries = {
+        "__kind": Carry(F.col("__kind"), is_mark & F.col("device_id").isNotNull() & F.col("ts").isNotNull(), ("event_type", "encounter_type"), after_equal=True),
+        "platform": Carry(platform, platform.isNotNull(), ("event_type",), over_keys=True),
+    }
+    table = carry_forward(table, carries, "device_id", "ts", span_seconds)
+    kind = F.when(F.col("__kind").isin(*ENCOUNTER_TYPES), F.col("__kind"))
+    own = F.when(is_mark, F.col("encounter_type")).otherwise(kind)
+    return table.withColumn("encounter_type", own).drop("__mark", "__kind")
 
 
 def observations(survey: DataFrame, col: str) -> DataFrame:

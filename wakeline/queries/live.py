@@ -83,13 +83,22 @@ def _shots(t: Tables) -> DataFrame:
     o.with_(*o.EFFORT_STEPS, o.ENCOUNTERS)
     + WINDOWS_SQL
     + """SELECT s.event_id, w.sighting_number FROM shots s
-      JOIN windows w ON w.device_id = s.device_id AND s.ts BETWEEN w.lo AND w.hi""",
+      LEFT JOIN windows w ON w.device_id = s.device_id AND s.ts BETWEEN w.lo AND w.hi""",
 )
 def _(t):
-    path = _windows(t)
-    arriving = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
-    joined = tracks.stream_photo_groups(_shots(t), arriving, "60 days", ("device_id",))
-    return _drain(t, joined).select("event_id", "sighting_number")
+    windows, shots = _windows(t), _shots(t)
+    # a row of no real device on each side, late enough to close everything before it
+    end = f"{windows}-end"
+    last = "-1L AS device_id, TIMESTAMP_NTZ '2200-01-01 00:00:00'"
+    t.spark.sql(f"SELECT {last} AS ts, CAST(NULL AS BIGINT) AS event_id").write.parquet(end)
+    schema = t.spark.read.parquet(windows).schema
+    t.spark.sql(f"SELECT {last} AS lo, TIMESTAMP_NTZ '2200-01-01 00:00:00' AS hi, CAST(NULL AS BIGINT) AS sighting_number").select(
+        *[F.col(f.name).cast(f.dataType) for f in schema]
+    ).write.mode("append").parquet(windows)
+    arriving = t.spark.readStream.schema(schema).parquet(windows)
+    closing = t.spark.readStream.schema(shots.schema).parquet(end)
+    joined = tracks.stream_photo_groups(shots.unionByName(closing), arriving, "60 days", ("device_id",))
+    return _drain(t, joined).where("event_id IS NOT NULL").select("event_id", "sighting_number")
 
 
 @query(

@@ -194,20 +194,16 @@ def _(t):
     return _daily(t)
 
 
-#: Days of the display matrix: the columns of a pivot.
-MATRIX_DAYS = [f"1998-06-{d:02d}" for d in range(1, 31)]
-
-
 @query(
     "capture_matrix",
     DAILY
-    + "SELECT name, sex, birth_year, first_year, ageclass, "
-    + ", ".join(f"max(CAST(date = DATE '{d}' AS INTEGER)) AS \"{d}\"" for d in MATRIX_DAYS)
-    + " FROM daily GROUP BY ALL",
+    + """, trip AS (SELECT name, sex, birth_year, first_year, ageclass, CAST(date AS VARCHAR) AS date
+        FROM daily WHERE strftime(date, '%Y_%m') = '1998_06')
+      SELECT name, sex, birth_year, first_year, ageclass, COLUMNS('-')::INTEGER FROM (PIVOT trip ON date USING count(*))""",
 )
 def _(t):
-    days = F.col("date").cast("string")
-    return capture.capture_matrix(_daily(t).withColumn("date", days), MATRIX_DAYS)
+    trip = _daily(t).where("date BETWEEN DATE '1998-06-01' AND DATE '1998-06-30'")
+    return capture.capture_matrix(trip)
 
 
 @query(

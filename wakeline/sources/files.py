@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wakeline.functions.text import basename, drop_extension, folder_date
 from wakeline.operators.shape import normalise_schema
+from wakeline.sources.listing import FileListing
 from wakeline.schemas import TRACK_ALIASES, TRACK_CASTS
 
 # Photograph extensions that are listed.
-PHOTO_PATTERN = "*.{jpg,JPG,CR2,NEF}"
+PHOTO_PATTERNS = ("*.jpg", "*.JPG", "*.CR2", "*.NEF")
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
@@ -49,31 +50,40 @@ def read_gpx(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
-def list_photos(spark: SparkSession, root: str, pattern: str = PHOTO_PATTERN) -> DataFrame:
-    """Photo paths below ``root`` with base name and folder date; contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path")
-    )
-    return describe_paths(files)
+def list_photos(
+    spark: SparkSession, root: str, patterns: Sequence[str] = PHOTO_PATTERNS, levels: int = 1
+) -> DataFrame:
+    """Photo files below ``root``: path, base name, folder date, size and time of change.
+
+    Folders are listed first, each in a task (see `FileListing`); contents are not read.
+    """
+    spark.dataSource.register(FileListing)
+    reader = spark.read.format("file_listing").option("patterns", ",".join(patterns)).option("levels", levels)
+    return describe_paths(reader.load(root))
 
 
 def describe_paths(files: DataFrame) -> DataFrame:
+    """Adds base name and folder date to paths; further columns stay behind them."""
     path = F.col("path")
     return files.select(
-        "path", drop_extension(basename(path)).alias("filename"), folder_date(path).alias("date")
+        "path",
+        drop_extension(basename(path)).alias("filename"),
+        folder_date(path).alias("date"),
+        *[c for c in files.columns if c != "path"],
     )
 
 
 def write_survey(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Survey table partitioned by area and trip, so a trip reads only its own folder.
 
+    Trips that ``df`` has are replaced whole, trips that it does not have stay. Rows are first
+    written to a hidden folder beside the trips, and folders change places when the whole job is
+    done: a job that fails leaves every trip as it was, and ``df`` may be read from ``path``.
     Rebalancing gathers a trip into few files and still splits an oversized one.
     """
-    writer = df.hint("rebalance", "survey_area", "trip").write.mode("overwrite").partitionBy("survey_area", "trip").format(fmt)
+    rows = df.hint("rebalance", "survey_area", "trip")
+    writer = rows.write.mode("overwrite").partitionBy("survey_area", "trip").format(fmt)
+    writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.option("header", True).option("nullValue", "") if fmt == "csv" else writer).save(path)
 
 

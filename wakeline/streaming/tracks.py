@@ -8,10 +8,11 @@ in the session time zone, which should be UTC, and given back as clock times.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from wakeline.operators.joins import interval_assign
+from wakeline.operators.joins import bin_of, binned
 
 
 def _instants(df: DataFrame, *cols: str) -> DataFrame:
@@ -45,21 +46,28 @@ def stream_thin(fixes: DataFrame, seconds: int = 10, late: str = "10 minutes") -
 def stream_photo_groups(
     photos: DataFrame,
     windows: DataFrame,
-    longest: str,
+    piece: str = "1 day",
     by: Sequence[str] = ("date",),
     late: str = "1 hour",
 ) -> DataFrame:
-    """Photos joined to the sighting windows (``by``, lo, hi, sighting_number) holding them.
+    """Photos with the sighting windows (``by``, lo, hi, sighting_number) holding them, NULL for none.
 
-    Both sides arrive. ``longest`` is the longest sighting there can be: it bounds both
-    sides' state, and photos of a longer sighting find it no further than that.
+    Both sides arrive, in append mode. A window is cut on arrival into pieces of ``piece``, of
+    which a photo can only be in one, so sightings may be of any length while both sides' state
+    goes back no further than ``piece`` and ``late``. A photo in no window comes out, with NULL,
+    once both watermarks have passed it; what arrives more than ``late`` behind is dropped. A photo
+    without a time comes out at once.
     """
-    shots = _instants(photos, "ts").withWatermark("ts", late)
-    spans = _instants(windows, "lo", "hi").withWatermark("lo", late).withColumnsRenamed({k: f"__{k}" for k in by})
-    inside = F.expr(f"ts >= lo AND ts <= hi AND ts <= lo + INTERVAL {longest}")
+    shots = _instants(photos, "ts")
+    columns = [c for c in windows.columns if c not in by]
+    spans = _instants(windows, "lo", "hi").where("lo <= hi").withColumnsRenamed({k: f"__{k}" for k in by})
+    pieces = spans.withColumn("__from", F.explode(F.expr(f"sequence(lo, hi, INTERVAL {piece})")))
+    inside = F.expr(f"ts >= __from AND ts < __from + INTERVAL {piece} AND ts <= hi")
     for k in by:
         inside = inside & (F.col(k) == F.col(f"__{k}"))
-    joined = shots.join(spans, inside, "inner").drop(*[f"__{k}" for k in by])
+    timed = shots.where("ts IS NOT NULL").withWatermark("ts", late)
+    joined = timed.join(pieces.withWatermark("__from", late), inside, "left").select(*photos.columns, *columns)
+    joined = joined.unionByName(shots.where("ts IS NULL"), allowMissingColumns=True)
     return joined.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "lo", "hi")})
 
 
@@ -67,9 +75,25 @@ def stream_photo_lookup(photos: DataFrame, windows: DataFrame, by: Sequence[str]
     """Arriving photos with the number of the known sighting window that holds them, else NULL.
 
     ``windows`` is a table that is complete for the photos' time: no state is kept, and photos
-    outside every sighting stay.
+    outside every sighting stay. The levels of its windows (see `binned`), a handful, are read
+    when the stream is defined; each is a join of its own.
     """
-    return interval_assign(photos, windows, by, "ts", "lo", "hi", "left", bin_seconds).drop("lo", "hi")
+    right = binned(windows.withColumnsRenamed({k: f"__{k}" for k in by}), "lo", "hi", bin_seconds)
+    levels = sorted(r[0] for r in right.select("__level").distinct().collect()) or [0]
+    helpers = ["lo", "hi", "__at", "__level", "__cell", *[f"__{k}" for k in by]]
+
+    def matched(rows: DataFrame, level: int, how: str) -> DataFrame:
+        same = (F.col("__at") == F.col("__cell")) & F.col("ts").between(F.col("lo"), F.col("hi"))
+        for k in by:
+            same = same & (F.col(k) == F.col(f"__{k}"))
+        looking = rows.withColumn("__at", bin_of("ts", F.lit(level), bin_seconds))
+        return looking.join(right.where(F.col("__level") == level), same, how).drop(*helpers)
+
+    if len(levels) == 1:
+        return matched(photos, levels[0], "left")
+    found = reduce(DataFrame.unionByName, (matched(photos, n, "inner") for n in levels))
+    alone = reduce(lambda rows, n: matched(rows, n, "left_anti"), levels, photos)
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def stream_first_seen(captures: DataFrame, date: str = "date") -> DataFrame:
