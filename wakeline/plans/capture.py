@@ -89,19 +89,14 @@ def discovery_curve(daily: DataFrame, survey_days: DataFrame) -> DataFrame:
     window therefore sees calendar days only.
     """
     seen = daily.select("date", "name").distinct()
-    zero = F.lit(0).cast("bigint")
-    n = F.count(F.lit(1))
-    per_id = seen.groupBy("name").agg(F.min("date").alias("first"), F.max("date").alias("last"))
-    parts = [
-        seen.groupBy("date").agg(n.alias("ni"), zero.alias("ui"), zero.alias("vi")),
-        per_id.groupBy(F.col("first").alias("date")).agg(zero.alias("ni"), n.alias("ui"), zero.alias("vi")),
-        per_id.groupBy(F.col("last").alias("date")).agg(zero.alias("ni"), zero.alias("ui"), n.alias("vi")),
-        survey_days.select("date").distinct().select("date", zero.alias("ni"), zero.alias("ui"), zero.alias("vi")),
-    ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    days = rows.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("ni", "ui", "vi")])
+    # an individual's rows are its days; first and last are flags on them, so one pass counts all three
+    own = Window.partitionBy("name")
+    flags = {"ui": F.min("date").over(own), "vi": F.max("date").over(own)}
+    rows = seen.withColumns({c: (F.col("date") == end).cast("bigint") for c, end in flags.items()})
+    rows = rows.withColumn("ni", F.lit(1).cast("bigint"))
+    rows = rows.unionByName(survey_days.select("date").distinct(), allowMissingColumns=True)
+    counts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ni", "ui", "vi")]
+    days = rows.groupBy("date").agg(*counts)
     by_day = Window.orderBy("date")
     return days.withColumns(
         {

@@ -23,7 +23,7 @@ from wakeline.plans.survey import (
     survey_table,
     thin_tracks,
 )
-from wakeline.sources.staging import stage
+from wakeline.sources.staging import stage, stage_together
 
 
 @dataclass(frozen=True)
@@ -47,8 +47,7 @@ def compile_to_effort(
     same_date: bool = True,
     span_seconds: int = TRACK_SPAN,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    fixes = stage(clean_tracks(tracks), "tracks")
-    logs = stage(sightings, "sightings")
+    fixes, logs = stage_together(tracks=clean_tracks(tracks), sightings=sightings)
     located = locate_sightings(logs, fixes, span_seconds=span_seconds)
     thinned = thin_tracks(fixes, seconds, span_seconds)
     survey = stage(survey_table(thinned, located), "survey")

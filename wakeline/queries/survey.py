@@ -8,7 +8,7 @@ from wakeline.plans import capture, layers, life, photos as photo, reports, surv
 from wakeline.plans.compiled import compile_survey, compile_to_effort
 from wakeline.queries import oracle as o, query
 from wakeline.sources import bindings as b, files
-from wakeline.sources.staging import stage
+from wakeline.sources.staging import stage, stage_together
 
 # The test tables' fixes are hours apart: 72-hour bins thin them about as ten
 # seconds thin a real track, and spans of thirty days hold a comparable load.
@@ -26,8 +26,7 @@ def positions(df):
 
 
 def _survey(t):
-    fixes = stage(survey.clean_tracks(b.fixes(t)), "tracks")
-    logs = stage(b.log_entries(t), "sightings")
+    fixes, logs = stage_together(tracks=survey.clean_tracks(b.fixes(t)), sightings=b.log_entries(t))
     located = survey.locate_sightings(logs, fixes, span_seconds=SPAN)
     return survey.survey_table(survey.thin_tracks(fixes, BIN, SPAN), located)
 
