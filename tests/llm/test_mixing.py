@@ -80,8 +80,17 @@ def test_nothing_is_lost_and_order_takes_effect(spark, tmp_path):
 
 def test_odd_rows_and_tables(spark):
     got = mixing.schedule(messy(spark)).collect()
-    assert len(got) == len(ROWS) - 1  # one row is there twice
+    assert len(got) == len(ROWS)  # the row that is there twice has two places
     assert mixing.interleave(messy(spark)).count() == len(ROWS)
     assert mixing.interleave(empty(spark)).count() == 0 and mixing.schedule(empty(spark)).count() == 0
     nulls = spark.createDataFrame([(1, None), (None, None), (2, "a")], "doc_id long, source string")
     assert mixing.schedule(nulls, {"a": 0.5, None: 0.5}).count() == 3
+
+
+def test_copies_have_places_and_columns_any_names(spark):
+    rows = [(i % 4, "s", "a", 1, 2, 3, 4) for i in range(40)] + [(9, None, "b", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, _own string, _slot int, _id int, _mark int, _row int")
+    placed = mixing.schedule(docs, block_docs=4).collect()
+    assert len(placed) == 41 and sorted(Counter(r.block for r in placed if r.source).values()) == [4] * 10
+    mixed = mixing.interleave(docs, block_docs=4)
+    assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, docs.collect()))

@@ -12,17 +12,15 @@ finds its slot by its number alone.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.llm.common import map_batches
+from wakeline.llm.common import fresh, map_batches, numbered
 from wakeline.sources.staging import stage
 
 BLOCK_DOCS = 16
@@ -124,22 +122,36 @@ def schedule(
     max_sources: int = MAX_SOURCES,
     group_sources: int = GROUP_SOURCES,
 ) -> DataFrame:
-    """doc_id, the source column, mark (a hash of the row), block and slot of every distinct row.
+    """doc_id, the source column, block and slot of every row, copies of a row included.
 
     A source's documents stand in the order of a hash of the id and are dealt into blocks
     of ``block_docs``. ``targets`` maps source names (None: no source) to weights; sources
     without one get a small one; without targets large sources are damped. No row is
-    dropped: a source that has ended leaves its slots empty. A null source is a source,
-    equal rows share a block, rows with a null doc_id stand first, an empty table gives an
-    empty schedule.
+    dropped: a source that has ended leaves its slots empty. A null source is a source, equal
+    rows take places one after the other, an empty table gives an empty schedule.
     """
-    sources = source_weights(docs, targets, source)
+    rows = docs.select("doc_id", F.col(source).alias("own"), F.xxhash64(*docs.columns).alias("mark"))
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "to-schedule")
+    placed = _place(rows, targets, block_docs, period, max_sources, group_sources)
+    return placed.select("doc_id", F.col("own").alias(source), "block", "slot")
+
+
+def _place(
+    rows: DataFrame,
+    targets: dict[str, float] | None,
+    block_docs: int,
+    period: int,
+    max_sources: int,
+    group_sources: int,
+) -> DataFrame:
+    """doc_id, own, row, block and slot, from doc_id, own (the source), mark (a tie) and row (its number)."""
+    sources = source_weights(rows, targets, "own")
     ordered = sources.orderBy(F.desc("named"), F.desc("n"), "key")
     top = ordered.limit(max(max_sources, len(targets or ()))).collect()
     entries, tail = [(r["key"], r["weight"]) for r in top], None
     rarer = sources.count() - len(top)
     if rarer:
-        known = docs.sparkSession.createDataFrame([(r["key"],) for r in top], "key string")
+        known = rows.sparkSession.createDataFrame([(r["key"],) for r in top], "key string")
         group = F.pmod(F.xxhash64("key"), F.lit(-(-rarer // group_sources)))
         tail = stage(sources.join(known, "key", "left_anti").withColumn("group", group), "rarer-sources")
         sums = tail.groupBy("group").agg(F.sum("weight").alias("weight"))
@@ -148,36 +160,9 @@ def schedule(
     slots = quotas([w for _, w in entries], period)
     # by name of a source, or number of a group
     places = {key: np.array(x, np.int64) for (key, _), x in zip(entries, lay_out(slots))}
-    mark = F.xxhash64(*docs.columns)
-    rows = docs.select("doc_id", source, _key(source).alias("key"), mark.alias("mark"))
-    one = rows.groupBy("doc_id", source, "key", "mark").agg(F.count("*").alias("copies"))
-    order = [F.col("key"), F.xxhash64("doc_id").alias("spot"), F.col("doc_id"), F.col("mark")]
-    ranged = one.repartitionByRange(*order).sortWithinPartitions(*order)
-    counted = T.StructType([*one.schema, *T.StructType.fromDDL("part int, before long").fields])
-    arrow = to_arrow_schema(counted)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of the same source before each row of this part."""
-        part, now, before = TaskContext.get().partitionId(), object(), 0
-        for batch in batches:
-            at = []
-            for key, copies in zip(batch["key"].to_pylist(), batch["copies"].to_pylist()):
-                if key != now:
-                    now, before = key, 0
-                at.append(before)
-                before += copies
-            columns = [*batch.columns, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    numbered = stage(ranged.mapInArrow(number, counted), "numbered")
-    # at most one row for each part and source; parts hold ranges, so later parts stand later
-    sums = numbered.groupBy("key", "part").agg(F.sum("copies").alias("n"))
-    over = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("n").over(over), F.lit(0)).alias("offset")
-    offsets = sums.select(F.col("key").alias("k"), F.col("part").alias("p"), offset)
-    placed = numbered.join(offsets, (F.col("key") == F.col("k")) & (F.col("part") == F.col("p")))
-    block_of = F.floor((F.col("before") + F.col("offset")) / block_docs)
-    placed = placed.select("doc_id", source, "key", "mark", block_of.alias("block"))
+    rows = rows.withColumn("key", _key("own"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark"), F.col("row")]
+    placed = numbered(rows, ["key"], order, "at").withColumn("block", F.expr(f"`at` div {block_docs}")).drop("at")
     if tail is None:
         placed = placed.select("*", *(F.lit(None).cast("long").alias(c) for c in ("group", "turns", "size", "place")))
     else:
@@ -186,7 +171,7 @@ def schedule(
         turns = laid.select("key", "turn", "place")
         placed = placed.join(shares, "key", "left").withColumn("turn", F.col("block") % F.col("turns"))
         placed = placed.join(turns, ["key", "turn"], "left")
-    out = T.StructType([*one.select("doc_id", source, "mark").schema, *T.StructType.fromDDL("block long, slot long").fields])
+    out = T.StructType([*rows.select("doc_id", "own", "row").schema, *T.StructType.fromDDL("block long, slot long").fields])
 
     def make():
         def work(batch):
@@ -200,22 +185,32 @@ def schedule(
                 own = keys == key
                 table = places[key]
                 slot[own] = at[own] // len(table) * period + table[at[own] % len(table)]
-            return {"doc_id": batch["doc_id"], source: batch[source], "mark": batch["mark"], "block": block, "slot": slot}
+            return {**{c: batch[c] for c in ("doc_id", "own", "row")}, "block": block, "slot": slot}
 
         return work
 
     return map_batches(placed, out, make)
 
 
-def interleave(docs: DataFrame, **parameters) -> DataFrame:
+def interleave(
+    docs: DataFrame,
+    targets: dict[str, float] | None = None,
+    source: str = "source",
+    block_docs: int = BLOCK_DOCS,
+    period: int = PERIOD,
+    max_sources: int = MAX_SOURCES,
+    group_sources: int = GROUP_SOURCES,
+) -> DataFrame:
     """All documents and columns, their rows in the order of the schedule.
 
     Partitions hold ranges of slots and are sorted, so files written from them follow the
-    schedule by name and row.
+    schedule by name and row. Columns may have any names. Rows are written once with a number
+    each, by which they find their slot, so copies of a row have places of their own.
     """
-    names = {"doc_id": "_id", "mark": "_mark", "slot": "_slot"}
-    slots = schedule(docs, **parameters).select(*(F.col(a).alias(b) for a, b in names.items()))
-    marked = docs.withColumn("_own", F.xxhash64(*docs.columns))
-    joined = marked.join(slots, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark")))
-    order = ("_slot", "doc_id", "_own")
+    row, at, slot = (fresh(n, docs.columns) for n in ("_row", "_at", "_slot"))
+    kept = stage(docs.withColumn(row, F.monotonically_increasing_id()), "to-mix")
+    told = kept.select("doc_id", F.col(source).alias("own"), F.xxhash64(*docs.columns).alias("mark"), F.col(row).alias("row"))
+    slots = _place(told, targets, block_docs, period, max_sources, group_sources)
+    joined = kept.join(slots.select(F.col("row").alias(at), F.col("slot").alias(slot)), F.col(row) == F.col(at))
+    order = (slot, row)
     return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
