@@ -73,3 +73,14 @@ def test_odd_rows_and_tables(spark):
     got = w.fingerprint_documents(messy(spark)).collect()
     assert got[0].hashes == got[5].hashes and got[0].positions and got[1].hashes == []
     assert w.fingerprint_documents(empty(spark)).count() == 0
+
+
+def test_positions_and_few_ranges(spark, monkeypatch):
+    monkeypatch.setattr(w, "MOST_RANGES", 3)
+    rows = [(i, LONG[i * 30 : i * 30 + 400]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(w.range_starts(docs, 4)) <= 3
+    got = {r.doc_id: r for r in w.compare_neighbours(docs, docs_per_range=4, with_positions=True).collect()}
+    for i, text in rows:
+        hashes, at = w.winnow(text)
+        assert got[i].fingerprint == w.hex_of(hashes) and got[i].positions == at.tolist()

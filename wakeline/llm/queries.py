@@ -136,7 +136,7 @@ def pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_winnowing")
 def winnowing(spark: SparkSession, folder: str) -> DataFrame:
-    return winnow.compare_neighbours(table(spark, folder, "documents"))
+    return winnow.compare_neighbours(table(spark, folder, "documents"), with_positions=True)
 
 
 _LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"

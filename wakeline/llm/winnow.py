@@ -23,6 +23,8 @@ from wakeline.llm.common import fields, map_batches, with_text_columns
 GRAM, WINDOW = 12, 40
 #: Neighbouring documents that one task walks through, about; it holds one batch of them at a time.
 DOCS_PER_RANGE = 4096
+#: Ranges at most, and so ids of which the driver and the tasks hold a list.
+MOST_RANGES = 16_384
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -119,9 +121,9 @@ def _rank(doc_id) -> tuple:
 
 
 def range_starts(docs: DataFrame, docs_per_range: int) -> list:
-    """The first id of each range of neighbouring ids, ascending, a null id first."""
+    """The first id of each range of neighbouring ids, ascending, a null id first: `MOST_RANGES` at most."""
     ids = docs.select("doc_id")
-    ranges = max(1, -(-ids.count() // docs_per_range))
+    ranges = min(MOST_RANGES, max(1, -(-ids.count() // docs_per_range)))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = [min(b["doc_id"].to_pylist(), key=_rank) for b in batches if b.num_rows]
@@ -135,7 +137,11 @@ def range_starts(docs: DataFrame, docs_per_range: int) -> list:
 
 
 def compare_neighbours(
-    docs: DataFrame, k: int = GRAM, w: int = WINDOW, docs_per_range: int = DOCS_PER_RANGE
+    docs: DataFrame,
+    k: int = GRAM,
+    w: int = WINDOW,
+    docs_per_range: int = DOCS_PER_RANGE,
+    with_positions: bool = False,
 ) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how alike neighbours are.
 
@@ -143,10 +149,14 @@ def compare_neighbours(
     comes the first. Null ids come first, null texts count as empty, repeated rows are
     neighbours of each other, a single row its own, and an empty table gives an empty one.
     Columns: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (`hex_of`
-    their hashes), near_edited, near_next.
+    their hashes), near_edited, near_next; ``with_positions`` adds positions, where each hash of
+    the fingerprint stands, in code points. Columns besides doc_id and text do not matter,
+    whatever their names.
 
     Texts are shuffled once, into ranges of ids. A range needs one text beyond its end: the
-    first document of each range is sent to the range before it as well.
+    first document of each range is sent to the range before it as well. There are no more
+    than `MOST_RANGES` ranges, so what the driver knows of them is bounded; larger ranges sort on disk
+    and are walked one document at a time.
     """
     starts = range_starts(docs, docs_per_range)
     ranks = [_rank(x) for x in starts]
@@ -171,11 +181,12 @@ def compare_neighbours(
     out = fields(
         docs,
         "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
+        "near_edited double, near_next double" + ", positions array<int>" * with_positions,
     )
     arrow = to_arrow_schema(out)
 
-    def compared(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray) -> dict:
+    def compared(doc_id, text: str, found: tuple[np.ndarray, np.ndarray], following: str, others: tuple) -> dict:
+        own, other = found[0], others[0]
         changed = edited(text, following)
         changed_hashes = winnow(changed, k, w)[0]
         return {
@@ -186,6 +197,7 @@ def compare_neighbours(
             "edited_fingerprint": hex_of(changed_hashes),
             "near_edited": likeness(own, changed_hashes),
             "near_next": likeness(own, other),
+            **({"positions": found[1].tolist()} if with_positions else {}),
         }
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +207,7 @@ def compare_neighbours(
             for doc_id, text, beyond in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "beyond"))):
                 if ended:
                     break
-                now = (doc_id, text, winnow(text, k, w)[0])
+                now = (doc_id, text, winnow(text, k, w))
                 if before is not None:
                     made.append(compared(*before, *now[1:]))
                 before, ended = now, beyond
