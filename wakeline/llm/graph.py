@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.sources.staging import stage
@@ -18,13 +18,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stage(pair.where(f"{a} IS NOT NULL AND {b} IS NOT NULL AND u != v").select("u", "v").distinct(), "edges")
     sign = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).alias("sign")
     before, after = None, now.agg(sign).first()["sign"]
-    over = Window.partitionBy("u")
     while after["n"] and after != before:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(over))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        marked = large.withColumn("m", F.min("v").over(over))
-        small = marked.select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        ends = F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))
+        small = _with_least(large).select(F.explode(ends).alias("e"))
         now = stage(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "stars")
         before, after = after, now.agg(sign).first()["sign"]
     return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with ``m``, the least of u and all its neighbours.
+
+    Minima combine map-side into one row per node; the join back splits a node of very many
+    edges, which a window would hold in one task.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least.hint("merge"), "u").select("u", "v", F.least("u", "m").alias("m"))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -127,8 +127,10 @@ def _sketches(docs: DataFrame, size: int, bands: int, values: int) -> DataFrame:
 def _candidate_groups(classes: DataFrame, bands: int) -> DataFrame:
     """(id, root) of classes that are joined by shared table keys."""
     one = classes.select("id", F.posexplode("bands").alias("band", "hash"))
-    # a key of table (i, j) is only shared where band i and band j are
-    shared = one.withColumn("n", F.count("*").over(Window.partitionBy("band", "hash"))).where("n > 1")
+    # a key of table (i, j) is only shared where band i and band j are; a band of very many classes
+    # is one row on the right, and its rows on the left are split by adaptive execution
+    several = one.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = one.join(several.hint("merge"), ["band", "hash"])
     own = shared.groupBy("id").agg(F.collect_list(F.struct("band", "hash")).alias("own"))  # at most 2 * bands
 
     def make():
@@ -148,7 +150,9 @@ def _candidate_groups(classes: DataFrame, bands: int) -> DataFrame:
         return work
 
     keys = map_batches(own, T.StructType([T.StructField("key", T.LongType()), classes.schema["id"]]), make)
-    led = keys.withColumn("leader", F.min("id").over(Window.partitionBy("key"))).where("leader != id")
+    keys = stage(keys, "keys")
+    leaders = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    led = keys.join(leaders.select("key", "leader").hint("merge"), "key").where("leader != id")
     return components(led.select("leader", "id").distinct(), "leader", "id")
 
 
