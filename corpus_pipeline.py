@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +40,35 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.interleave(docs)
 
 
+def with_position(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position: number of the file that holds the row, then the row's number in it.
+
+    Files of a sorted table are numbered in its order. Rows that come from no file stand as they come.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("position"))
+    number = lambda group: F.coalesce(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)-.*?(?:-c(\d+))?\.", group).try_cast("long"), F.lit(0)
+    )
+    return docs.select(
+        "doc_id", "text", (number(1) * 2**43 + number(2) * 2**36 + F.col("_metadata.row_index")).alias("position")
+    )
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_le (little-endian unsigned 32-bit ids) and the decoded bytes' digest, in the same order."""
+    """doc_id, position, n_tokens, ids_le (little-endian unsigned 32-bit ids) and the decoded bytes' digest.
+
+    ``position`` ascends in the order in which the mixing stage wrote the documents, which a
+    reader of many files does not keep.
+    """
     rank_file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = bpe.encode_and_decode(docs, rank_file, public_tokenizers.PATTERN)
+    placed = with_position(docs).select(F.struct("doc_id", "position").alias("doc_id"), "text")
+    done = bpe.encode_and_decode(placed, rank_file, public_tokenizers.PATTERN)
     return done.select(
-        "doc_id",
+        "doc_id.doc_id",
+        "doc_id.position",
         (F.length("ids_le") / 4).cast("long").alias("n_tokens"),
         "ids_le",
         F.sha2("decoded", 256).alias("decoded_sha256"),
