@@ -11,7 +11,7 @@ from conftest import SMALL
 from messy import ROWS, corpus
 from test_neardup import plain
 from test_pii import plain as plain_pii
-from wakeline.llm import bpe, quality
+from wakeline.llm import bpe, mixing, quality
 
 CONTRACT = {
     "op1_": "doc_id held_out n_tokens n_known train_tokens base_score score",
@@ -27,7 +27,7 @@ CONTRACT = {
     "op11_": "doc_id keep_id group_size kept text_sha256",
     "op12_": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     "op13_": "doc_id leaf subroot root proof_sha256 folded_root verified",
-    "pipeline": "doc_id n_tokens ids_le decoded_sha256",
+    "pipeline": "doc_id position n_tokens ids_le decoded_sha256",
 }
 
 
@@ -69,5 +69,10 @@ def test_stages_against_plain_steps(spark, tmp_path):
     encoding = bpe.load_encoding(corpus_pipeline.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), corpus_pipeline.public_tokenizers.PATTERN)
     final = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in encode(spark, mixed, str(tmp_path)).collect()}
     assert final == {(r.doc_id, len(encoding.encode_ordinary(r.text or "")), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in mixed.collect()}
-    assert {(r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {x[:2] for x in final}
+    done = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.n_tokens) for r in done} == {x[:2] for x in final}
+    # the result says in which order the mixing stage left the documents
+    slots = {r.doc_id: r.slot for r in mixing.schedule(clean).collect()}
+    by_place = [slots[r.doc_id] for r in sorted(done, key=lambda r: r.position)]
+    assert len({r.position for r in done}) == len(done) and by_place == sorted(by_place) and len(set(by_place)) > 5
     assert len(ROWS) == 12
