@@ -2,7 +2,7 @@
 
 Turns are dealt into blocks of ``BLOCK`` consecutive turns, and a block into one digest. Two
 conversations share their first n blocks exactly if the *chains* of these digests are equal. A chain
-is told by the sums, over its blocks, of two 60-bit numbers hashed from place and block: sums can be
+is told by the sums, over its blocks, of two 56-bit numbers hashed from place and block: sums can be
 taken over spans of a long conversation at once, and no task needs a conversation from its start.
 
 1. Conversations are counted per (chain before, block): as many rows as there are distinct
@@ -25,15 +25,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.llm.common import numbered, sums_before
+from wakeline.llm.common import fields, numbered, sums_before
 from wakeline.sources.staging import stage
 
 #: Turns in a block.
 BLOCK = 4
 #: Conversation ids that are joined to one piece of text before they are hashed.
 PIECE = 4096
-ROOT = "root"
+ROOT = b"root"
 
 
 def turns_in_order(turns: DataFrame) -> DataFrame:
@@ -71,11 +72,15 @@ def with_openings(turns: DataFrame, every: int = 5, most: int = 9) -> DataFrame:
 
 
 def _digest(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.unhex(F.sha2(text, 256))
+
+
+def _joined(digests: Column) -> Column:
+    return F.aggregate(digests, F.lit(b""), lambda a, x: F.concat(a, x))
 
 
 def _chain_number(hashed: Column, at: int) -> Column:
-    return F.conv(F.substring(hashed, at, 15), 16, 10).cast("decimal(38,0)")
+    return F.conv(F.hex(F.substring(hashed, at, 7)), 16, 10).cast("decimal(38,0)")
 
 
 def _chain(k: Column, a: Column, b: Column) -> Column:
@@ -96,16 +101,16 @@ def blocks_of(turns: DataFrame, size: int = BLOCK) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("pos", "d", "size"))).alias("t")
     )
     rows = rows.select("conv_id", "k", F.col("t.d").alias("d"), F.col("t.size").alias("sizes"))
-    block = _digest(F.concat(F.col("k").cast("string"), F.lit(":"), F.concat_ws("", "d")))
+    block = _digest(F.concat(F.concat(F.col("k").cast("string"), F.lit(":")).cast("binary"), _joined(F.col("d"))))
     rows = rows.withColumn("block", block).withColumns(
-        {"a": _chain_number(F.col("block"), 1), "b": _chain_number(F.col("block"), 16)}
+        {"a": _chain_number(F.col("block"), 1), "b": _chain_number(F.col("block"), 8)}
     )
     rows = sums_before(rows, "conv_id", "k", {"a0": "a", "b0": "b"})
     k, a0, b0 = F.col("k"), F.col("a0").cast("decimal(38,0)"), F.col("b0").cast("decimal(38,0)")
     after = _chain(k + 1, (a0 + F.col("a")).cast("decimal(38,0)"), (b0 + F.col("b")).cast("decimal(38,0)"))
     rows = rows.withColumns({"chain": _chain(k, a0, b0), "after": after})
     inside = lambda x, i: F.when(i == size - 1, F.col("after")).otherwise(
-        _digest(F.concat("chain", F.array_join(F.slice("d", 1, i + 1), "")))
+        _digest(F.concat("chain", _joined(F.slice("d", 1, i + 1))))
     )
     return stage(rows.select("conv_id", "k", "chain", F.transform("d", inside).alias("ids"), "sizes"), "blocks")
 
@@ -154,6 +159,8 @@ def hash_lists(ends: DataFrame, piece: int = PIECE) -> DataFrame:
     Ids are sorted over ranges and joined to pieces of ``piece`` ids, in many tasks for one list;
     then a task reads the pieces of a list in order, one at a time.
     """
+    schema = fields(ends, "first long, text string", "id")
+    arrow = to_arrow_schema(schema)
     sorted_ends = stage(ends, "ends").repartitionByRange("id", "conv_id").sortWithinPartitions("id", "conv_id")
 
     def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,14 +173,13 @@ def hash_lists(ends: DataFrame, piece: int = PIECE) -> DataFrame:
                         out.append((node, first, ",".join(held)))
                     node, first, held = i, conv, []
                 held.append(str(conv))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in _columns(out)], ["id", "first", "text"])
+            yield pieces_of(out)
         if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in _columns([(node, first, ",".join(held))])], ["id", "first", "text"]
-            )
+            yield pieces_of([(node, first, ",".join(held))])
 
-    def _columns(rows):
-        return zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.int64(), pa.string()))
+    def pieces_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(zip(*rows) if rows else ((), (), ()), arrow.types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], schema=arrow)
 
     def hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, state, ids, hashes = None, None, [], []
@@ -187,14 +193,14 @@ def hash_lists(ends: DataFrame, piece: int = PIECE) -> DataFrame:
                 else:
                     state.update(b",")
                 state.update(text.encode())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.string()), "ends_sha256": pa.array(hashes, pa.string())})
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, arrow.types[0]), "ends_sha256": pa.array(hashes, pa.string())})
             ids, hashes = [], []
         if state:
             yield pa.RecordBatch.from_pydict({"id": [node], "ends_sha256": [state.hexdigest()]})
 
-    pieces = sorted_ends.mapInArrow(join_pieces, "id string, first long, text string")
+    pieces = sorted_ends.mapInArrow(join_pieces, schema)
     pieces = pieces.repartition("id").sortWithinPartitions("id", "first")
-    return pieces.mapInArrow(hash_pieces, "id string, ends_sha256 string")
+    return pieces.mapInArrow(hash_pieces, fields(ends, "ends_sha256 string", "id"))
 
 
 def trie(turns: DataFrame, conversations: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -211,7 +217,7 @@ def trie(turns: DataFrame, conversations: DataFrame, size: int = BLOCK) -> DataF
     root = convs.agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("least")).where("n_convs > 0")
     root = root.select(
         F.lit(ROOT).alias("id"),
-        F.lit(None).cast("string").alias("parent"),
+        F.lit(None).cast("binary").alias("parent"),
         F.lit(0).cast("long").alias("depth"),
         F.lit(0).cast("long").alias("n_bytes"),
         "n_convs",
