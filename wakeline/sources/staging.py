@@ -21,13 +21,19 @@ _CONF = "spark.checkpoint.dir"
 def staging_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's checkpoint folder, else one in its warehouse.
 
-    Both are settings of the session that all executors share, in every mode. What is
-    staged belongs to the application: whoever sets the folder clears it after the run.
+    What is staged belongs to the application: whoever sets the folder clears it after the
+    run. Only local mode goes without the setting, as a warehouse may be on one machine.
     """
     root = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not root and not _is_local(spark.sparkContext.master):
+        raise ValueError(f"set {_CONF} to a folder that the driver and all executors share")
     return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged").rstrip("/")
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def stage_together(**tables: DataFrame) -> list[DataFrame]:
     """``stage`` for tables that do not need each other, written at the same time.
 
