@@ -117,21 +117,18 @@ def test_prior_from_two_samples():
     assert prose(3, 1)
 
 
-def test_risk_is_as_low_as_a_plain_search_finds():
-    """The non-negative risk, written out and searched over a grid of all lines on one feature."""
+def test_risk_is_as_low_as_with_labels_on_both_sides():
+    """Without a bad label, nearly the risk of the best line that a plain search finds with them."""
     rng = np.random.default_rng(3)
+    design = lambda x: np.column_stack([np.ones_like(x), x])
     for prior in (0.3, 0.6):
-        good, bad = rng.normal(1.5, 1, 3_000), rng.normal(-1.0, 1, 3_000)
-        mixed = np.where(rng.random(3_000) < prior, rng.normal(1.5, 1, 3_000), bad)
-        design = lambda x: np.column_stack([np.ones_like(x), x])
+        good, bad = rng.normal(1.5, 1, 6_000), rng.normal(-1.0, 1, 6_000)
+        mixed = np.where(rng.random(6_000) < prior, rng.normal(1.5, 1, 6_000), rng.normal(-1.0, 1, 6_000))
 
         def risk(w):
-            loss = lambda x, y: np.mean([np.log1p(np.exp(-y * (w[0] + w[1] * v))) for v in x])  # noqa: E731, B023
-            return prior * loss(good[:400], 1) + max(0.0, loss(mixed[:400], -1) - prior * loss(good[:400], -1))
+            loss = lambda x, y: np.log1p(np.exp(-y * (w[0] + w[1] * x))).mean()  # noqa: E731, B023
+            return prior * loss(good, 1) + (1 - prior) * loss(bad, -1)
 
-        found = quality.minimise_risk(design(good[:400]), design(mixed[:400]), prior, rounds=200)
-        grid = [(a, b) for a in np.arange(-3, 3.1, 0.5) for b in np.arange(-1, 4.1, 0.5)]
+        grid = [(a, b) for a in np.arange(-3, 3.1, 0.25) for b in np.arange(-1, 4.1, 0.25)]
+        found = quality.minimise_risk(design(good), design(mixed), prior, rounds=60)
         assert risk(found) <= min(map(risk, grid)) + 0.02
-        # and it tells the classes apart, though it has seen no bad row by itself
-        right = np.mean(design(good[400:]) @ found > 0) * prior + np.mean(design(bad) @ found < 0) * (1 - prior)
-        assert right > 0.85
