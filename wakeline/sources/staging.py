@@ -39,10 +39,10 @@ def stage_together(**tables: DataFrame) -> list[DataFrame]:
 
     Each alone would leave cores idle at its last tasks and while it is planned.
     """
+    session = next(iter(tables.values())).sparkSession
+    write = inheritable_thread_target(session)(stage)  # threads take the caller's Spark properties along
     with ThreadPoolExecutor(len(tables)) as pool:
-        # threads take the caller's Spark properties along
-        jobs = [pool.submit(inheritable_thread_target(stage), df, name) for name, df in tables.items()]
-        return [job.result() for job in jobs]
+        return list(pool.map(write, tables.values(), tables))
 
 
 def stage(df: DataFrame, name: str = "table") -> DataFrame:
