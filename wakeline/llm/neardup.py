@@ -33,6 +33,8 @@ BANDS, BAND_VALUES = 12, 4
 #: Documents compared with each other in one task, and leaders of a larger group, about.
 CHUNK, LEADERS = 1024, 128
 _COLUMNS = 1 << 14
+#: Shingles up to which all multipliers are taken at once.
+_LONG = 1024
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -64,7 +66,11 @@ def band_multipliers(bands: int = BANDS, values: int = BAND_VALUES) -> np.ndarra
 def band_hashes(shingles: np.ndarray, multipliers: np.ndarray, values: int = BAND_VALUES) -> np.ndarray:
     """One hash per band, first collection first."""
     with np.errstate(over="ignore"):
-        least = np.array([_mixed(shingles * m, 1).min() for m in multipliers]).reshape(-1, values)
+        if len(shingles) > _LONG:  # one multiplier at a time, whose products stay in cache
+            least = np.array([_mixed(shingles * m, 1).min() for m in multipliers])
+        else:
+            least = _mixed(shingles * multipliers[:, None], 1).min(1)
+        least = least.reshape(-1, values)
         out = np.arange(len(least), dtype=np.uint64)
         for i in range(values):
             out = _mixed(out + least[:, i], i)
