@@ -59,14 +59,15 @@ def _across_cells(by: Sequence[str], reverse: bool = False):
 def summarise_cells(
     cells: DataFrame, points: DataFrame, aggs: Mapping[str, Column], cell: str = _CELL
 ) -> DataFrame:
-    """One row per cell of ``cells`` with aggregates over the ``points`` inside it.
+    """One row per cell of ``cells`` with aggregates over the ``points`` inside it, NULL without one.
 
     Aggregating structs makes Spark sort its input, so only the rows that carry a
-    value go through it; the mere presence of a cell is a hash aggregation.
+    value go through it; the mere presence of a cell is a hash aggregation. Both are
+    partitioned by cell when they are joined.
     """
     present = cells.select(cell).distinct()
-    rows = present.unionByName(points, allowMissingColumns=True)
-    return rows.groupBy(cell).agg(*[a.alias(n) for n, a in aggs.items()])
+    found = points.groupBy(F.col(cell).alias(_BACK)).agg(*[a.alias(n) for n, a in aggs.items()])
+    return present.join(found, F.col(cell) == F.col(_BACK), "left").drop(_BACK)
 
 
 def _known_points(rows: DataFrame, key: str, cols, ts: str, ties) -> DataFrame:
@@ -230,16 +231,18 @@ def thin_bins(
     ties: Sequence[str] = (),
     span_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
-    """First row of every ``seconds``-wide bin, bins counted from the key's first time."""
-    cells = df.where(F.col(ts).isNotNull()).withColumn(_CELL, _cell(by, ts, span_seconds))
-    summary = cells.groupBy(_CELL).agg(F.min(ts).alias("__m"))
-    keys = [F.col(f"{_CELL}.k{i}") for i in range(len(by))]
-    summary = summary.select(_CELL, F.min("__m").over(Window.partitionBy(*keys)).alias("__first"))
+    """First row of every ``seconds``-wide bin, bins counted from the key's first time.
+
+    Bins are the cells here: ``span_seconds`` is taken as elsewhere, and makes no difference.
+    """
+    rows = df.where(F.col(ts).isNotNull())
+    # one row per key, which goes back by an equi join; the bins spread a hot key
+    first = rows.groupBy(*by).agg(F.min(ts).alias("__first"))
     width = seconds * MICROS_PER_SECOND
-    binned = _with_inherited(cells, summary).withColumn(
+    binned = attach(rows, first, by).withColumn(
         "__bin", F.floor((micros(ts) - micros("__first")) / width)
     )
-    return dedupe_first(binned, [*by, "__bin"], [ts, *ties]).drop(_CELL, "__first", "__bin")
+    return dedupe_first(binned, [*by, "__bin"], [ts, *ties]).drop("__first", "__bin")
 
 
 def fill_from_first(
