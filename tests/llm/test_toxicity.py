@@ -1,36 +1,90 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from messy import ROWS, corpus, empty, messy
 from wakeline.llm import toxicity
 
 
-def random_index(rng, examples, terms):
-    vectors = []
-    for _ in range(examples):
-        own = rng.choice(terms, rng.integers(1, 6), replace=False)
-        weight = rng.integers(1, 4, len(own)).astype(float)
-        vectors.append((own, weight / np.sqrt(weight @ weight)))
-    return vectors, toxicity.BlockMaxIndex.build(list(range(examples)), rng.integers(0, 2, examples), vectors, terms)
+def random_vectors(rng, count, words, most):
+    """Sorted postings (vector, word, value) of unit vectors; word 0 is the commonest."""
+    share = 1 / np.arange(1, words + 1)
+    held = [np.sort(rng.choice(words, rng.integers(1, most), replace=False, p=share / share.sum())) for _ in range(count)]
+    value = [rng.integers(1, 4, len(x)).astype(float) for x in held]
+    value = [x / np.sqrt(x @ x) for x in value]
+    return np.repeat(np.arange(count), [len(x) for x in held]), np.concatenate(held), np.concatenate(value)
+
+
+def dense(vector, word, value, shape):
+    out = np.zeros(shape)
+    out[vector, word] = value
+    return out
 
 
 def test_blocks_find_the_exact_nearest():
     rng = np.random.default_rng(5)
-    vectors, index = random_index(rng, 700, 25)
-    dense = np.zeros((700, 25))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
-    dense = dense[index.ids]
-    for _ in range(100):
-        own = rng.choice(25, rng.integers(1, 7), replace=False)
-        weight = rng.random(len(own)) + 0.1
-        weight /= np.sqrt(weight @ weight)
-        cosine = dense[:, own] @ weight
-        best = [i for i in np.lexsort((np.arange(700), -np.round(cosine, 12)))[:15] if cosine[i] > 0]
-        rows, scores = index.nearest(own, weight, 15)
-        assert rows.tolist() == best and np.allclose(scores, cosine[best])
-        rows, _ = index.nearest(own, weight, 15, but=best[0])
-        assert best[0] not in rows
+    for examples, words, k in ((700, 60, 15), (20, 30, 15), (300, 25, 200)):
+        made = random_vectors(rng, examples, words, 9)
+        index = toxicity.BlockMaxIndex.build(list(range(examples)), rng.integers(0, 2, examples), *made, words)
+        assert (index.column >= 0).any() and (index.column < 0).any()
+        of = dense(*made, (examples, words))[index.ids]
+        asked = random_vectors(rng, 50, words, 9)
+        cosine = dense(*asked, (50, words)) @ of.T
+        who, rows, scores = index.nearest(*asked, 50, k)
+        for q in range(50):
+            order = np.lexsort((np.arange(examples), -np.round(cosine[q], 12)))[:k]
+            assert rows[who == q].tolist() == [i for i in order if cosine[q, i] > 1e-12]
+            assert np.allclose(scores[who == q], cosine[q, rows[who == q]])
+
+
+def test_blocks_that_cannot_reach_are_left_closed():
+    rng = np.random.default_rng(6)
+    vectors = [(i, w, v) for i in range(1280) for w, v in ((i % 10, 0.8), (10 + rng.integers(0, 20), 0.6))]
+    example, word, value = (np.array(x) for x in zip(*vectors))
+    index = toxicity.BlockMaxIndex.build(list(range(1280)), np.zeros(1280), example, word, value, 30)
+    who, rows, scores = index.nearest(example[:40], word[:40], value[:40], 20, 3)
+    assert len(who) == 60 and (scores > 0.99).all()
+    assert index.opened[0] < 0.5 * index.opened[1]
+
+
+def test_ties_do_not_depend_on_shares_of_the_sample():
+    clean, toxic = np.zeros(1000), np.zeros(1000)
+    toxic[:4], clean[:4] = (1, 9, 9, 900), (0, 0, 90, 9000)
+    made = toxicity.ties(clean, toxic, 10_000, 1_000)
+    assert made[0] == 0 and made[1] > 2 and made[2] == made[3] == 0
+
+
+def test_every_example_finds_itself(spark):
+    docs, labels = corpus(spark, 400)
+    model = toxicity.fit(docs, labels)
+    of = dict(zip(model.index.ids, model.index.toxic))
+    # also those of clean words only: no example is left out of the index
+    usable = {r.doc_id for r in labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(of) == len({(texts[i], i % 8 == 3) for i in usable}) and {0, 1} == set(of.values())
+    for r in toxicity.score(docs.where(docs.doc_id.isin(list(of))), model).collect():
+        assert abs(r.evidence[0].cosine - 1) < 1e-9 and r.evidence[0].toxic == of[r.doc_id]
+
+
+def test_examples_are_bounded_by_their_bytes(spark, monkeypatch):
+    docs, labels = corpus(spark, 400)
+    monkeypatch.setattr(toxicity, "EXAMPLE_BYTES", sum(len(r.text or "") for r in docs.collect()) // 4)
+    model = toxicity.fit(docs, labels)
+    assert 0 < len(model.index.ids) < 250
+    assert toxicity.score(docs, model).count() == docs.count()
+
+
+def test_neighbours_of_long_and_short_queries_together():
+    words = pa.array([f"w{i}" for i in range(500)])
+    rng = np.random.default_rng(7)
+    made = random_vectors(rng, 200, 500, 40)
+    index = toxicity.BlockMaxIndex.build(list(range(200)), np.zeros(200), *made, 500)
+    model = toxicity.ToxicityModel(words, np.ones(500), index)
+    texts = ["", "W3, (w3)", "unknown", " ".join(f"w{i}" for i in rng.integers(0, 500, 50_000)), *["w1 w2"] * 200]
+    near = list(model.answers(texts, toxicity.Numbers(model.numbers)))
+    assert len(near) == len(texts) and len(near[0][0]) == len(near[2][0]) == 0 and len(near[3][0]) == 15
+    alone = list(model.answers(["w3 w3"], toxicity.Numbers(model.numbers)))[0]
+    assert near[1][0].tolist() == alone[0].tolist() and all(x[0].tolist() == near[4][0].tolist() for x in near[4:])
 
 
 def test_labels_of_held_out_rows(spark):

@@ -1,19 +1,24 @@
 """Toxicity from the nearest labelled examples.
 
-Similarity is the cosine of TF-IDF vectors over terms (words and word beginnings) that the
-labelled rows tie to the toxic class; document frequencies come from all documents. The
-examples lie in an inverted index cut into blocks of examples, with the greatest weight of
-each term in each block. A block is looked into only while its bound, the sum of query
-weight times block maximum, can still reach the k-th best, so the k nearest are exact.
+Similarity is the cosine of TF-IDF vectors over all words of the texts; document frequencies
+come from all documents. A word that the labelled rows tie to the toxic class weighs more, none
+weighs nothing. The examples lie in an inverted index cut into blocks of examples. Lists of
+rare words are short and always read; lists of common words are read a block at a time, and
+only in blocks where the greatest weights can still reach the k-th best, so the k nearest are
+exact.
 """
 
 from __future__ import annotations
 
+import string
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,193 +27,210 @@ from pyspark.sql.pandas.types import to_arrow_type
 from wakeline.llm.common import fields, id_remainder, map_batches, sampled, whole_texts, with_text_columns
 from wakeline.sources.staging import stage
 
-#: Labelled examples of each class that the index holds at most, about.
+#: Labelled examples of each class that the index holds at most, about, and bytes of all their texts.
 EXAMPLES = 10_000
-MAX_TERMS = 2048
-#: A term needs so many examples, so strong a tie to the class (chi-square, 1 degree), and must
-#: be so many times as common in toxic examples as in others.
-MIN_EXAMPLES, MIN_CHI2, MIN_RATIO = 5, 20.0, 5.0
-#: … and, where there are many, such a share of the toxic ones: families of near copies hold fewer.
-MIN_SHARE = 0.005
+EXAMPLE_BYTES = 256 << 20
+#: Weight of a word without a tie to the toxic class, as a part of what a tie by a factor of e adds.
+FLOOR = 0.2
 NEIGHBOURS = 15
 BLOCK = 64
-#: Blocks looked into one by one, which sets the score that others must reach.
-FIRST_BLOCKS = 4
+#: Words in so large a share of the examples are common: their lists are dense rows by block.
+COMMON = 1 / 16
+#: Blocks of a query that are looked into first, which sets the score that others must reach.
+FIRST_BLOCKS = 2
+#: Queries, and distinct words of queries, that are answered together.
+QUERIES, QUERY_WORDS = 64, 20_000
 #: Rows whose id has this remainder are never learned from.
 FOLDS, HELD_OUT = 5, 0
 
-#: Words and queries that a task remembers.
+#: Spellings that a task remembers.
 REMEMBERED = 300_000
 
-_EDGES = ".,;:!?\"'()[]"
-_BEGINNINGS = (4, 5)
 
+class Numbers(dict):
+    """Numbers of words as written, punctuation at their ends left out; -1: unknown.
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """A word without punctuation at its ends, and its beginnings with a mark."""
-    word = word.strip(_EDGES)
-    return (word, *(word[:k] + "…" for k in _BEGINNINGS if len(word) >= k)) if word else ()
-
-
-class Terms(dict):
-    """Numbers of the known terms of each word; words already met are remembered, to a fixed number."""
+    Spellings already met are remembered, to a fixed number.
+    """
 
-    def __init__(self, known: dict[str, int] | None = None):
+    def __init__(self, known: dict[str, int]):
         super().__init__()
         self.known = known
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        terms = terms_of(word)
-        if self.known is not None:
-            terms = tuple(self.known[t] for t in terms if t in self.known)
-        self[word] = terms
-        return terms
+        self[word] = number = self.known.get(word.strip(string.punctuation), -1)
+        return number
+
+
+@dataclass
+class Bags:
+    """Words of some texts: text, number and times of each, in that order, and the number of texts."""
+
+    text: np.ndarray
+    word: np.ndarray
+    times: np.ndarray
+    count: int
 
+    @classmethod
+    def of(cls, counted: Sequence[Counter], numbers: Numbers, words: int) -> Bags:
+        sizes = [len(c) for c in counted]
+        text = np.repeat(np.arange(len(counted)), sizes)
+        word = np.fromiter((numbers[w] for c in counted for w in c), np.int64, len(text))
+        times = np.fromiter((n for c in counted for n in c.values()), float, len(text))
+        known = word >= 0
+        cell, at = np.unique(text[known] * words + word[known], return_inverse=True)  # spellings of one word meet
+        return cls(cell // max(words, 1), cell % max(words, 1), np.bincount(at, times[known], len(cell)), len(counted))
 
-def term_counts(text: str, terms: Terms) -> Counter:
-    """Times of each term of the text."""
-    times: Counter = Counter()
-    for word, n in Counter(text.lower().split()).items():
-        for term in terms[word]:
-            times[term] += n
-    return times
+    def unit_weights(self, weight: np.ndarray) -> np.ndarray:
+        values = (1 + np.log(self.times)) * weight[self.word]
+        length = np.sqrt(np.bincount(self.text, values**2, self.count))
+        return values / length[self.text]
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit vectors of examples by term, in blocks of `BLOCK` neighbouring examples."""
+    """Unit vectors of examples by word, in blocks of `BLOCK` neighbouring examples."""
 
     ids: list
     toxic: np.ndarray
-    starts: np.ndarray  # [term, block]: first posting of the term in the block; one more column ends the last
+    starts: np.ndarray  # first posting of each rare word; one more ends the last
     rows: np.ndarray
-    weights: np.ndarray
-    most: np.ndarray  # [term, block]: greatest weight
+    values: np.ndarray
+    column: np.ndarray  # number of a common word among these, or -1
+    dense: np.ndarray  # [block, common word, example of the block]
+    most: np.ndarray  # [common word, block]: greatest weight
+    opened: list[int] = field(default_factory=lambda: [0, 0])  # blocks looked into, and all there were
 
     @classmethod
-    def build(cls, ids: list, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> BlockMaxIndex:
-        if not ids or not terms:
-            none = np.empty(0, np.int64)
-            return cls([], np.empty(0), np.zeros((terms, 1), np.int64), none, np.empty(0), np.zeros((terms, 0)))
-        # examples with the same heaviest term stand together, which tightens the bounds
-        order = sorted(range(len(ids)), key=lambda i: (vectors[i][0][np.argmax(vectors[i][1])], len(vectors[i][0]), i))
-        blocks = -(-len(ids) // BLOCK)
-        term = np.concatenate([vectors[i][0] for i in order]).astype(np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order])
-        row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        sort = np.lexsort((row, term))
-        term, weight, row = term[sort], weight[sort], row[sort]
-        cell = term * blocks + row // BLOCK
-        starts = np.searchsorted(cell, np.arange(terms * blocks + 1))
-        most = np.zeros(terms * blocks)
-        np.maximum.at(most, cell, weight)
-        first = starts[:-1].reshape(terms, -1)
-        last = starts[1:].reshape(terms, -1)
+    def build(
+        cls, ids: list, toxic: np.ndarray, example: np.ndarray, word: np.ndarray, value: np.ndarray, words: int
+    ) -> BlockMaxIndex:
+        """Of postings (example, word, value), sorted by example."""
+        n = len(ids)
+        blocks = -(-n // BLOCK)
+        held = np.bincount(word, minlength=words)
+        common = np.flatnonzero(held >= max(COMMON * n, 1))
+        column = np.full(words, -1)
+        column[common] = np.arange(len(common))
+        # neighbours share their heaviest common word, and weigh it alike, which tightens the bounds
+        is_common = column[word] >= 0
+        e, w, v = example[is_common], word[is_common], value[is_common]
+        sort = np.lexsort((v, e))
+        last = np.flatnonzero(np.diff(e[sort], append=-1))
+        heavy, weight = np.full(n, -1), np.zeros(n)
+        heavy[e[sort][last]], weight[e[sort][last]] = w[sort][last], v[sort][last]
+        order = np.lexsort((np.arange(n), weight, heavy))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        dense = np.zeros((blocks, len(common), BLOCK))
+        dense[place[e] // BLOCK, column[w], place[e] % BLOCK] = v
+        e, w, v = place[example[~is_common]], word[~is_common], value[~is_common]
+        sort = np.lexsort((e, w))
         return cls(
             [ids[i] for i in order],
             np.asarray(toxic, float)[order],
-            np.column_stack([first, last[:, -1]]),
-            row,
-            weight,
-            most.reshape(terms, -1),
+            np.searchsorted(w[sort], np.arange(words + 1)),
+            e[sort].astype(np.int32),
+            v[sort],
+            column,
+            dense,
+            dense.max(2).T.copy() if n else np.zeros((len(common), 0)),
         )
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest with any shared term; ties by place. ``but``: a row left out."""
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        rows, scores = self._look_into(order[:FIRST_BLOCKS], terms, weights, but)
-        rows, scores = _best(rows, scores, k)
+    def nearest(
+        self, query: np.ndarray, word: np.ndarray, value: np.ndarray, count: int, k: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest with any shared word of each of ``count`` queries; ties by place.
+
+        Words (query, word, value) come in; query, place and cosine of the nearest go out,
+        sorted by query, the nearest first.
+        """
+        blocks = len(self.dense)
+        if not blocks or not len(query):
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        column = self.column[word]
+        rare = column < 0
+        start, length = self.starts[word[rare]], self.starts[word[rare] + 1] - self.starts[word[rare]]
+        at = np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
+        cell = np.repeat(query[rare] * (blocks * BLOCK), length) + self.rows[at]
+        cosine = np.bincount(cell, np.repeat(value[rare], length) * self.values[at], count * blocks * BLOCK)
+        cosine = cosine.reshape(count, blocks, BLOCK)
+        asked = np.zeros((count, self.dense.shape[1]))
+        asked[query[~rare], column[~rare]] = value[~rare]
+        bound = cosine.max(2) + asked @ self.most
+
+        found = np.full((count, blocks, BLOCK), -1.0)
+
+        def look_into(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(0)):
+                who = np.flatnonzero(wanted[:, block])
+                found[who, block] = cosine[who, block] + asked[who] @ self.dense[block]
+            self.opened[0] += int(wanted.sum())
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
+        look_into(first)
+        seen = found[first].reshape(count, -1)
+        enough = seen.shape[1] >= k
+        floor = np.maximum(np.partition(seen, -k, axis=1)[:, -k] if enough else np.zeros(count), 1e-12)
         # equal bounds are looked into as well: a tie may stand earlier
-        floor = scores[-1] - 1e-12 if len(scores) == k else 0.0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[bound[rest] >= floor]
-        if len(rest):
-            more = self._sweep(rest, terms, weights, but)
-            rows, scores = _best(np.concatenate([rows, more[0]]), np.concatenate([scores, more[1]]), k)
-        return rows, scores
-
-    def _look_into(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, but: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of a few blocks and their cosines, from those blocks' postings only."""
-        cosine = np.zeros((len(blocks), BLOCK))
-        for i, block in enumerate(blocks):
-            for term, weight in zip(terms, weights):
-                a, b = self.starts[term, block], self.starts[term, block + 1]
-                if b > a:
-                    cosine[i, self.rows[a:b] % BLOCK] += weight * self.weights[a:b]
-        i, j = np.nonzero(cosine)
-        found, here = blocks[i] * BLOCK + j, cosine[i, j]
-        return (found, here) if but is None else (found[found != but], here[found != but])
-
-    def _sweep(self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, but: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The same for many blocks at once, a term at a time over its whole list."""
-        cosine = np.zeros(self.most.shape[1] * BLOCK)
-        for term, weight in zip(terms, weights):
-            a, b = self.starts[term, 0], self.starts[term, -1]
-            cosine[self.rows[a:b]] += weight * self.weights[a:b]
-        wanted = np.zeros(self.most.shape[1], bool)
-        wanted[blocks] = True
-        found = np.flatnonzero((cosine > 0) & np.repeat(wanted, BLOCK))
-        found = found if but is None else found[found != but]
-        return found, cosine[found]
-
-
-def _best(rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    best = np.lexsort((rows, -np.round(scores, 12)))[:k]
-    return rows[best], scores[best]
+        look_into(~first & (bound >= floor[:, None] - 1e-9))
+        self.opened[1] += bound.size
+        flat = found.reshape(count, -1)
+        who, row = np.nonzero(flat >= np.maximum(floor[:, None] - 1e-9, 1e-12))
+        order = np.lexsort((row, -np.round(flat[who, row], 12), who))
+        who, row = who[order], row[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        who, row = who[rank < k], row[rank < k]
+        return who, row, flat[who, row]
 
 
 @dataclass
 class ToxicityModel:
-    known: dict[str, int]
-    idf: np.ndarray
+    words: pa.Array
+    weight: np.ndarray
     index: BlockMaxIndex
     neighbours: int = NEIGHBOURS
     curve: tuple[float, float] = (8.0, -4.0)
-    without_terms: float = 0.0
-
-    def vector(self, times: Counter) -> tuple[np.ndarray, np.ndarray]:
-        n = len(times)
-        return unit_vector(np.fromiter(times.keys(), np.int64, n), np.fromiter(times.values(), float, n), self.idf)
+    without_words: float = 0.0
+
+    @cached_property
+    def numbers(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
+    def answers(self, texts: list[str], numbers: Numbers, more: int = 0):
+        """For each text the places and cosines of its nearest ``neighbours`` + ``more`` examples."""
+        chunk, size = [], 0
+        for i, text in enumerate(texts):
+            chunk.append(Counter(text.lower().split()))
+            size += len(chunk[-1])
+            if len(chunk) == QUERIES or size > QUERY_WORDS or i + 1 == len(texts):
+                bags = Bags.of(chunk, numbers, len(self.words))
+                values = bags.unit_weights(self.weight)
+                who, row, cosine = self.index.nearest(bags.text, bags.word, values, len(chunk), self.neighbours + more)
+                ends = np.searchsorted(who, np.arange(len(chunk) + 1))
+                yield from ((row[a:b], cosine[a:b]) for a, b in zip(ends, ends[1:]))
+                chunk, size = [], 0
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """Toxic share of the neighbours, each weighing by the inverse of its distance."""
         weight = 1 / (1.05 - np.minimum(cosines, 1))
         return float(weight @ self.index.toxic[rows] / weight.sum())
 
-    def score(self, text: str, terms: Terms, answers: dict) -> tuple[float, list[dict]]:
-        """Probability of the toxic class, and the three nearest examples as evidence.
-
-        ``answers`` remembers queries: many texts hold one term or the same few.
-        """
-        times = term_counts(text, terms)
-        if not times or not self.index.ids:
-            return self.without_terms, []
-        # the length of a vector with one term does not matter
-        asked = tuple(times) if len(times) == 1 else tuple(sorted(times.items()))
-        if asked not in answers:
-            if len(answers) * 10 > REMEMBERED:
-                answers.clear()
-            answers[asked] = self.answer(times)
-        return answers[asked]
-
-    def answer(self, times: Counter) -> tuple[float, list[dict]]:
-        rows, cosines = self.index.nearest(*self.vector(times), self.neighbours)
+    def score(self, rows: np.ndarray, cosines: np.ndarray) -> float:
+        """Probability of the toxic class."""
         if not len(rows):
-            return self.without_terms, []
-        evidence = [
+            return self.without_words
+        return float(_sigmoid(self.curve[0] * self.vote(rows, cosines) + self.curve[1]))
+
+    def evidence(self, rows: np.ndarray, cosines: np.ndarray) -> list[dict]:
+        """The three nearest examples."""
+        return [
             {"doc_id": self.index.ids[r], "cosine": float(c), "toxic": int(self.index.toxic[r])}
             for r, c in zip(rows[:3], cosines[:3])
         ]
-        return float(_sigmoid(self.curve[0] * self.vote(rows, cosines) + self.curve[1])), evidence
-
-
-def unit_vector(terms: np.ndarray, times: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    weights = (1 + np.log(times)) * idf[terms]
-    return terms, weights / np.sqrt(weights @ weights)
 
 
 def _sigmoid(x):
@@ -227,68 +249,57 @@ def fit_curve(votes: np.ndarray, toxic: np.ndarray, weights: np.ndarray, rounds:
     return (float(theta[0]), float(theta[1])) if np.isfinite(theta).all() and theta[0] > 0 else tuple(start)
 
 
-def choose_terms(examples: DataFrame, toxic_rows: int, clean_rows: int, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms tied to the toxic class, strongest first; the counts are joined by Spark."""
+def ties(clean: np.ndarray, toxic: np.ndarray, clean_rows: int, toxic_rows: int) -> np.ndarray:
+    """Logarithm of how much commoner each word is in toxic examples; 0 if it is not, or by chance.
 
-    def make():
-        def work(batch):
-            held: dict[str, list[int]] = {}
-            own = Terms()
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-                for term in term_counts(text, own):
-                    held.setdefault(term, [0, 0])[toxic] += 1
-            clean, bad = zip(*held.values()) if held else ((), ())
-            return {
-                "term": pa.array(held.keys(), pa.string()),
-                "clean": pa.array(clean, pa.int64()),
-                "bad": pa.array(bad, pa.int64()),
-            }
+    Chance: a likelihood ratio that one in as many words as there are would reach by itself.
+    """
+    share, n = toxic_rows / (toxic_rows + clean_rows), toxic + clean
+    ratio = np.log((toxic + 0.5) / (toxic_rows + 1)) - np.log((clean + 0.5) / (clean_rows + 1))
+
+    def part(seen, expected):
+        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+
+    likelihood = 2 * (part(toxic, n * share) + part(clean, n * (1 - share)))
+    return np.where((ratio > 0) & (likelihood >= 2 * np.log(max(len(n), 2))), ratio, 0.0)
 
-        return work
 
-    counted = map_batches(examples, T.StructType.fromDDL("term string, clean long, bad long"), make)
-    n = toxic_rows + clean_rows
-    with_term = F.col("bad") + F.col("clean")
-    expected = with_term * toxic_rows / n
-    chi2 = (F.col("bad") - expected) ** 2 / (expected * (1 - F.lit(toxic_rows / n)) * (1 - with_term / n) + 1e-9)
-    chosen = (
-        counted.groupBy("term")
-        .agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-        .where(with_term >= max(MIN_EXAMPLES, MIN_SHARE * toxic_rows))
-        .where(F.col("bad") * clean_rows >= F.col("clean") * (toxic_rows * MIN_RATIO))
-        .withColumn("chi2", chi2)
-        .where(F.col("chi2") >= MIN_CHI2)
-        .orderBy(F.desc("chi2"), "term")
-        .limit(max_terms)
-    )
-    return [r["term"] for r in chosen.collect()]
-
-
-def document_frequencies(docs: DataFrame, known: dict[str, int]) -> np.ndarray:
-    """Documents with each known term, over all documents."""
+def document_frequencies(docs: DataFrame, words: pa.Array) -> tuple[np.ndarray, int]:
+    """Documents with each of the words, and the number of all documents."""
+    size = len(words)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def make():
-        own = Terms(known)
+        numbers = Numbers({w: i for i, w in enumerate(shared.value.to_pylist())})
 
         def work(batch):
-            held = Counter(t for text in batch["text"].to_pylist() for t in term_counts(text, own))
-            return {"number": pa.array(held.keys(), pa.int64()), "n": pa.array(held.values(), pa.int64())}
+            # a text's numbers, each once; the row with number -1 counts the texts
+            held = np.zeros(size + 1, np.int64)
+            for text in batch["text"].to_pylist():
+                own = {numbers[w] for w in set(text.lower().split())}
+                own.discard(-1)
+                held[list(own)] += 1
+            held[size] = batch.num_rows
+            number = np.flatnonzero(held)
+            return {"number": pa.array(number), "n": pa.array(held[number])}
 
         return work
 
     counted = map_batches(whole_texts(docs), T.StructType.fromDDL("number long, n long"), make)
-    out = np.zeros(len(known))
-    for r in counted.groupBy("number").agg(F.sum("n").alias("n")).collect():  # at most MAX_TERMS rows
-        out[r["number"]] = r["n"]
-    return out
+    found = counted.groupBy("number").agg(F.sum("n").alias("n")).toArrow()  # a row per word at most
+    out = np.zeros(size + 1)
+    out[found["number"].to_numpy()] = found["n"].to_numpy()
+    return out[:size], int(out[size])
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """Choose terms, weigh them over all documents, and index the examples.
+    """Index the labelled examples over all their words, weighed over all documents.
 
-    About ``examples`` labelled documents of each class outside the held-out fold, chosen
-    by a hash of the id, make the index. Null labels are not used; a document with both
-    labels counts as toxic. Without examples of both classes every score is the toxic share.
+    About ``examples`` labelled documents of each class outside the held-out fold, chosen by
+    a hash of the id, make the index; fewer, if their texts have more than `EXAMPLE_BYTES`
+    together. Null labels are not used; a document with both labels counts as toxic. Equal
+    texts of one label are one example. Without examples of both classes every score is the
+    toxic share.
     """
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(id_remainder(FOLDS) != HELD_OUT)
     known = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -296,74 +307,112 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     parts = [sampled(known.where(F.col("toxic") == t), examples, totals.get(t, 0)) for t in (0, 1)]
     # the sample has a fixed bound, so its ids are sent to every task
     chosen = whole_texts(docs).join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
-    # copies of one text would tie all of its words to its class
     once = chosen.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
     chosen = stage(once.select("doc_id", "text", "toxic"), "toxicity-examples")
-    n = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = totals.get(1, 0) / max(sum(totals.values()), 1)
-    if not n.get(0) or not n.get(1):
-        return ToxicityModel({}, np.empty(0), BlockMaxIndex.build([], np.empty(0), [], 0), neighbours, without_terms=share)
-    terms = {term: i for i, term in enumerate(choose_terms(chosen, n[1], n[0]))}
-    frequency, n_docs = document_frequencies(docs, terms), docs.count()
-    idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+    size = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if size["bytes"] > EXAMPLE_BYTES:
+        chosen = sampled(chosen, int(size["n"] * EXAMPLE_BYTES / size["bytes"]), size["n"], "doc_id", seed=18)
 
     def make():
-        own = Terms(terms)
-
         def work(batch):
-            held = [term_counts(x, own) for x in batch["text"].to_pylist()]
+            held: list[Counter] = []
+            for text in batch["text"].to_pylist():
+                times: Counter = Counter()
+                for word, n in Counter(text.lower().split()).items():
+                    times[word.strip(string.punctuation)] += n
+                times.pop("", None)
+                held.append(times)
             return {
                 "doc_id": batch["doc_id"],
                 "toxic": batch["toxic"],
-                "terms": pa.array([list(x.keys()) for x in held], pa.list_(pa.int64())),
-                "times": pa.array([list(map(float, x.values())) for x in held], pa.list_(pa.float64())),
+                "words": pa.array([list(x.keys()) for x in held], pa.list_(pa.string())),
+                "times": pa.array([list(x.values()) for x in held], pa.list_(pa.int32())),
             }
 
         return work
 
-    # bounded by the number of examples
-    rows = map_batches(chosen, fields(chosen, "toxic int, terms array<long>, times array<double>"), make).toArrow()
-    rows = sorted(zip(*(rows[c].to_pylist() for c in rows.column_names)), key=lambda r: (str(r[0]), r[1]))
-    with_terms = [r for r in rows if r[2]]
-    vectors = [unit_vector(np.array(r[2]), np.array(r[3]), idf) for r in with_terms]
-    index = BlockMaxIndex.build([r[0] for r in with_terms], np.array([r[1] for r in with_terms]), vectors, len(terms))
-    weight = {t: totals[t] / n[t] for t in (0, 1)}
-    bare = [sum(weight[t] for r in rows if not r[2] and r[1] == t) for t in (0, 1)]
-    model = ToxicityModel(terms, idf, index, neighbours, without_terms=(bare[1] + 0.5 * share) / (sum(bare) + 0.5))
-    place = {}
-    for i, example in enumerate(index.ids):
-        place.setdefault(example, []).append(i)
-    votes, truth = [], []
-    for r, vector in zip(with_terms, vectors):
-        at = place[r[0]].pop() if len(place[r[0]]) > 1 else place[r[0]][0]
-        near = index.nearest(*vector, neighbours, but=at)
-        if len(near[0]):
-            votes.append(model.vote(*near))
-            truth.append(r[1])
-    truth = np.array(truth, float)
-    model.curve = fit_curve(np.array(votes), truth, np.where(truth == 1, weight[1], weight[0]))
+    # bounded by the number of examples and the bytes of their texts
+    rows = map_batches(chosen, fields(chosen, "toxic int, words array<string>, times array<int>"), make).toArrow()
+    ids, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_numpy()
+    n = np.bincount(toxic, minlength=2) if len(ids) else np.zeros(2, int)
+    share = totals.get(1, 0) / max(sum(totals.values()), 1)
+    none = np.empty(0, np.int64)
+    if not n[0] or not n[1]:
+        index = BlockMaxIndex.build([], none, none, none, np.empty(0), 0)
+        return ToxicityModel(pa.array([], pa.string()), np.empty(0), index, neighbours, without_words=share)
+    # numbers by spelling and examples by id, so that neither depends on how tasks came back
+    lengths = pc.list_value_length(rows["words"]).to_numpy()
+    times = pc.list_flatten(rows["times"]).to_numpy().astype(float)
+    coded = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    by_name = pc.array_sort_indices(coded.dictionary).to_numpy()
+    words = coded.dictionary.take(pa.array(by_name))
+    renumbered = np.empty(len(words), np.int64)
+    renumbered[by_name] = np.arange(len(words))
+    word = renumbered[coded.indices.to_numpy()]
+    by_id = sorted(range(len(ids)), key=lambda i: (str(ids[i]), toxic[i], lengths[i]))
+    place = np.empty(len(ids), np.int64)
+    place[by_id] = np.arange(len(ids))
+    example = np.repeat(place, lengths)
+    ids, toxic = [ids[i] for i in by_id], toxic[by_id]
+    del rows, coded
+    frequency, n_docs = document_frequencies(docs, words)
+    with_word = [np.bincount(word[toxic[example] == t], minlength=len(words)) for t in (0, 1)]
+    weight = (np.log((1 + n_docs) / (1 + frequency)) + 1) * (FLOOR + ties(*with_word, *n))
+    sort = np.lexsort((word, example))
+    bags = Bags(example[sort], word[sort], times[sort], len(ids))
+    del example, word, times, sort
+    index = BlockMaxIndex.build(ids, toxic, bags.text, bags.word, bags.unit_weights(weight), len(words))
+    model = ToxicityModel(words, weight, index, neighbours, without_words=share)
+    model.curve = _curve(chosen, model, [totals[t] / n[t] for t in (0, 1)])
     return model
 
 
+def _curve(chosen: DataFrame, model: ToxicityModel, weight: list[float]) -> tuple[float, float]:
+    """The curve of the examples' votes, each without itself; the votes come from tasks."""
+    shared = chosen.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = shared.value
+        numbers = Numbers(model.numbers)
+
+        def work(batch):
+            votes = []
+            for own, (rows, cosines) in zip(batch["doc_id"].to_pylist(), model.answers(batch["text"].to_pylist(), numbers, 1)):
+                itself = [i for i, r in enumerate(rows) if model.index.ids[r] == own][:1]
+                rows, cosines = np.delete(rows, itself)[: model.neighbours], np.delete(cosines, itself)[: model.neighbours]
+                votes.append(model.vote(rows, cosines) if len(rows) else None)
+            return {"vote": pa.array(votes, pa.float64()), "toxic": batch["toxic"]}
+
+        return work
+
+    # one row per example; sums over votes in one order, whatever order tasks came back in
+    made = map_batches(chosen, T.StructType.fromDDL("vote double, toxic int"), make).where("vote IS NOT NULL").toArrow()
+    vote, toxic = made["vote"].to_numpy(), made["toxic"].to_numpy().astype(float)
+    sort = np.lexsort((vote, toxic))
+    return fit_curve(vote[sort], toxic[sort], np.where(toxic[sort] == 1, weight[1], weight[0]))
+
+
 def score(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """The ``carry`` columns, score (0 to 1), predicted (1 from ``threshold`` on) and evidence.
 
-    Only the text is read for the score. Null and empty texts, and texts without a known
-    term, get the toxic share of such examples and no evidence. Every row is scored by
+    Only the text is read for the score. Null and empty texts, and texts without any word of
+    an example, get the labelled rows' toxic share and no evidence. Every row is scored by
     itself, so repeated rows get equal scores and an empty table gives an empty one. A
     column of ``carry`` named like a result is left out.
     """
     id_type = docs.schema["doc_id"].dataType
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         kind = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-
-        own, answers = Terms(model.known), {}
+        model = shared.value
+        numbers = Numbers(model.numbers)
 
         def work(texts):
-            made = [model.score(x, own, answers) for x in texts]
-            scores = np.array([x[0] for x in made], float)
-            return [scores, (scores >= threshold).astype(np.int32), pa.array([x[1] for x in made], kind)]
+            near = list(model.answers(texts, numbers))
+            scores = np.array([model.score(*x) for x in near], float)
+            return [scores, (scores >= threshold).astype(np.int32), pa.array([model.evidence(*x) for x in near], kind)]
 
         return work
 
