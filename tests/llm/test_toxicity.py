@@ -57,7 +57,7 @@ def test_ties_do_not_depend_on_shares_of_the_sample():
 def test_every_example_finds_itself(spark):
     docs, labels = corpus(spark, 400)
     model = toxicity.fit(docs, labels)
-    of = dict(zip(model.index.ids, model.index.toxic))
+    of = dict(zip(model.examples.index.ids, model.examples.index.toxic))
     # also those of clean words only: no example is left out of the index
     usable = {r.doc_id for r in labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -70,7 +70,7 @@ def test_examples_are_bounded_by_their_bytes(spark, monkeypatch):
     docs, labels = corpus(spark, 400)
     monkeypatch.setattr(toxicity, "EXAMPLE_BYTES", sum(len(r.text or "") for r in docs.collect()) // 4)
     model = toxicity.fit(docs, labels)
-    assert 0 < len(model.index.ids) < 250
+    assert 0 < len(model.examples.index.ids) < 250
     assert toxicity.score(docs, model).count() == docs.count()
 
 
@@ -78,12 +78,14 @@ def test_neighbours_of_long_and_short_queries_together():
     words = pa.array([f"w{i}" for i in range(500)])
     rng = np.random.default_rng(7)
     made = random_vectors(rng, 200, 500, 40)
-    index = toxicity.BlockMaxIndex.build(list(range(200)), np.zeros(200), *made, 500)
-    model = toxicity.ToxicityModel(words, np.ones(500), index)
+    example, word, value = made
+    sizes = np.bincount(example, minlength=200)
+    examples = toxicity.Examples(words, np.ones(500), list(range(200)), np.zeros(200), sizes, word, np.ones(len(word)))
     texts = ["", "W3, (w3)", "unknown", " ".join(f"w{i}" for i in rng.integers(0, 500, 50_000)), *["w1 w2"] * 200]
-    near = list(model.answers(texts, toxicity.Numbers(model.numbers)))
+    numbers = toxicity.Numbers(examples.numbers)
+    near = list(examples.answers(texts, numbers, 15))
     assert len(near) == len(texts) and len(near[0][0]) == len(near[2][0]) == 0 and len(near[3][0]) == 15
-    alone = list(model.answers(["w3 w3"], toxicity.Numbers(model.numbers)))[0]
+    alone = list(examples.answers(["w3 w3"], numbers, 15))[0]
     assert near[1][0].tolist() == alone[0].tolist() and all(x[0].tolist() == near[4][0].tolist() for x in near[4:])
 
 
@@ -107,4 +109,4 @@ def test_one_class_or_none(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     clean = toxicity.fit(docs, labels.where("toxic = 0"))
     assert {r.predicted for r in toxicity.score(docs, clean).collect()} == {0}
-    assert toxicity.fit(empty(spark), labels).index.ids == []
+    assert toxicity.fit(empty(spark), labels).examples.ids == []

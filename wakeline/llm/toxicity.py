@@ -15,10 +15,12 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,7 @@ EXAMPLE_BYTES = 256 << 20
 #: Weight of a word without a tie to the toxic class, as a part of what a tie by a factor of e adds.
 FLOOR = 0.2
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 128
 #: Words in so large a share of the examples are common: their lists are dense rows by block.
 COMMON = 1 / 16
 #: Blocks of a query that are looked into first, which sets the score that others must reach.
@@ -77,14 +79,14 @@ class Bags:
     def of(cls, counted: Sequence[Counter], numbers: Numbers, words: int) -> Bags:
         sizes = [len(c) for c in counted]
         text = np.repeat(np.arange(len(counted)), sizes)
-        word = np.fromiter((numbers[w] for c in counted for w in c), np.int64, len(text))
-        times = np.fromiter((n for c in counted for n in c.values()), float, len(text))
+        word = np.fromiter(chain.from_iterable(map(numbers.__getitem__, c) for c in counted), np.int64, len(text))
+        times = np.fromiter(chain.from_iterable(c.values() for c in counted), float, len(text))
         known = word >= 0
         cell, at = np.unique(text[known] * words + word[known], return_inverse=True)  # spellings of one word meet
         return cls(cell // max(words, 1), cell % max(words, 1), np.bincount(at, times[known], len(cell)), len(counted))
 
     def unit_weights(self, weight: np.ndarray) -> np.ndarray:
-        values = (1 + np.log(self.times)) * weight[self.word]
+        values = (1 + np.log(self.times.astype(float))) * weight[self.word]
         length = np.sqrt(np.bincount(self.text, values**2, self.count))
         return values / length[self.text]
 
@@ -188,20 +190,33 @@ class BlockMaxIndex:
 
 
 @dataclass
-class ToxicityModel:
+class Examples:
+    """What is sent to tasks, in little space: words of the examples and their times. The index is built there."""
+
     words: pa.Array
     weight: np.ndarray
-    index: BlockMaxIndex
-    neighbours: int = NEIGHBOURS
-    curve: tuple[float, float] = (8.0, -4.0)
-    without_words: float = 0.0
+    ids: list
+    toxic: np.ndarray
+    sizes: np.ndarray  # words of each example
+    word: np.ndarray
+    times: np.ndarray
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "index")}
 
     @cached_property
     def numbers(self) -> dict[str, int]:
         return {w: i for i, w in enumerate(self.words.to_pylist())}
 
-    def answers(self, texts: list[str], numbers: Numbers, more: int = 0):
-        """For each text the places and cosines of its nearest ``neighbours`` + ``more`` examples."""
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        bags = Bags(np.repeat(np.arange(len(self.ids)), self.sizes), self.word, self.times, len(self.ids))
+        return BlockMaxIndex.build(
+            self.ids, self.toxic, bags.text, bags.word, bags.unit_weights(self.weight), len(self.words)
+        )
+
+    def answers(self, texts: list[str], numbers: Numbers, k: int):
+        """For each text the places and cosines of its k nearest examples."""
         chunk, size = [], 0
         for i, text in enumerate(texts):
             chunk.append(Counter(text.lower().split()))
@@ -209,7 +224,7 @@ class ToxicityModel:
             if len(chunk) == QUERIES or size > QUERY_WORDS or i + 1 == len(texts):
                 bags = Bags.of(chunk, numbers, len(self.words))
                 values = bags.unit_weights(self.weight)
-                who, row, cosine = self.index.nearest(bags.text, bags.word, values, len(chunk), self.neighbours + more)
+                who, row, cosine = self.index.nearest(bags.text, bags.word, values, len(chunk), k)
                 ends = np.searchsorted(who, np.arange(len(chunk) + 1))
                 yield from ((row[a:b], cosine[a:b]) for a, b in zip(ends, ends[1:]))
                 chunk, size = [], 0
@@ -219,20 +234,28 @@ class ToxicityModel:
         weight = 1 / (1.05 - np.minimum(cosines, 1))
         return float(weight @ self.index.toxic[rows] / weight.sum())
 
-    def score(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        """Probability of the toxic class."""
-        if not len(rows):
-            return self.without_words
-        return float(_sigmoid(self.curve[0] * self.vote(rows, cosines) + self.curve[1]))
-
     def evidence(self, rows: np.ndarray, cosines: np.ndarray) -> list[dict]:
         """The three nearest examples."""
+        index = self.index
         return [
-            {"doc_id": self.index.ids[r], "cosine": float(c), "toxic": int(self.index.toxic[r])}
-            for r, c in zip(rows[:3], cosines[:3])
+            {"doc_id": index.ids[r], "cosine": float(c), "toxic": int(index.toxic[r])} for r, c in zip(rows[:3], cosines[:3])
         ]
 
 
+@dataclass
+class ToxicityModel:
+    """``shared`` holds the examples, which are sent to the tasks of fitting and scoring once."""
+
+    shared: Broadcast
+    neighbours: int = NEIGHBOURS
+    curve: tuple[float, float] = (8.0, -4.0)
+    without_words: float = 0.0
+
+    @property
+    def examples(self) -> Examples:
+        return self.shared.value
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -264,19 +287,33 @@ def ties(clean: np.ndarray, toxic: np.ndarray, clean_rows: int, toxic_rows: int)
     return np.where((ratio > 0) & (likelihood >= 2 * np.log(max(len(n), 2))), ratio, 0.0)
 
 
-def document_frequencies(docs: DataFrame, words: pa.Array) -> tuple[np.ndarray, int]:
+def vocabulary(texts: DataFrame) -> pa.Array:
+    """Words of the texts, in order."""
+
+    def make():
+        def work(batch):
+            held = {w.strip(string.punctuation) for text in batch["text"].to_pylist() for w in set(text.lower().split())}
+            return {"word": pa.array(held - {""}, pa.string())}
+
+        return work
+
+    # bounded by the bytes of the examples' texts
+    found = map_batches(texts, T.StructType.fromDDL("word string"), make).distinct().toArrow()["word"].combine_chunks()
+    return found.take(pc.array_sort_indices(found)) if len(found) else pa.array([], pa.string())
+
+
+def document_frequencies(docs: DataFrame, words: Broadcast) -> tuple[np.ndarray, int]:
     """Documents with each of the words, and the number of all documents."""
-    size = len(words)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    size = len(words.value)
 
     def make():
-        numbers = Numbers({w: i for i, w in enumerate(shared.value.to_pylist())})
+        numbers = Numbers({w: i for i, w in enumerate(words.value.to_pylist())})
 
         def work(batch):
-            # a text's numbers, each once; the row with number -1 counts the texts
+            # a text's numbers, each once; the last number counts the texts
             held = np.zeros(size + 1, np.int64)
             for text in batch["text"].to_pylist():
-                own = {numbers[w] for w in set(text.lower().split())}
+                own = set(map(numbers.__getitem__, set(text.lower().split())))
                 own.discard(-1)
                 held[list(own)] += 1
             held[size] = batch.num_rows
@@ -313,75 +350,66 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     if size["bytes"] > EXAMPLE_BYTES:
         chosen = sampled(chosen, int(size["n"] * EXAMPLE_BYTES / size["bytes"]), size["n"], "doc_id", seed=18)
 
+    words = vocabulary(chosen)
+    spark = docs.sparkSession.sparkContext
+    shared = spark.broadcast(words)
+
     def make():
+        numbers = Numbers({w: i for i, w in enumerate(shared.value.to_pylist())})
+
         def work(batch):
-            held: list[Counter] = []
-            for text in batch["text"].to_pylist():
-                times: Counter = Counter()
-                for word, n in Counter(text.lower().split()).items():
-                    times[word.strip(string.punctuation)] += n
-                times.pop("", None)
-                held.append(times)
+            counted = [Counter(text.lower().split()) for text in batch["text"].to_pylist()]
+            bags = Bags.of(counted, numbers, len(shared.value))
+            starts = pa.array(np.searchsorted(bags.text, np.arange(len(counted) + 1)), pa.int32())
             return {
                 "doc_id": batch["doc_id"],
                 "toxic": batch["toxic"],
-                "words": pa.array([list(x.keys()) for x in held], pa.list_(pa.string())),
-                "times": pa.array([list(x.values()) for x in held], pa.list_(pa.int32())),
+                "words": pa.ListArray.from_arrays(starts, pa.array(bags.word, pa.int32())),
+                "times": pa.ListArray.from_arrays(starts, pa.array(bags.times.astype(np.int32))),
             }
 
         return work
 
     # bounded by the number of examples and the bytes of their texts
-    rows = map_batches(chosen, fields(chosen, "toxic int, words array<string>, times array<int>"), make).toArrow()
+    rows = map_batches(chosen, fields(chosen, "toxic int, words array<int>, times array<int>"), make).toArrow()
     ids, toxic = rows["doc_id"].to_pylist(), rows["toxic"].to_numpy()
     n = np.bincount(toxic, minlength=2) if len(ids) else np.zeros(2, int)
     share = totals.get(1, 0) / max(sum(totals.values()), 1)
-    none = np.empty(0, np.int64)
     if not n[0] or not n[1]:
-        index = BlockMaxIndex.build([], none, none, none, np.empty(0), 0)
-        return ToxicityModel(pa.array([], pa.string()), np.empty(0), index, neighbours, without_words=share)
-    # numbers by spelling and examples by id, so that neither depends on how tasks came back
-    lengths = pc.list_value_length(rows["words"]).to_numpy()
-    times = pc.list_flatten(rows["times"]).to_numpy().astype(float)
-    coded = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
-    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    by_name = pc.array_sort_indices(coded.dictionary).to_numpy()
-    words = coded.dictionary.take(pa.array(by_name))
-    renumbered = np.empty(len(words), np.int64)
-    renumbered[by_name] = np.arange(len(words))
-    word = renumbered[coded.indices.to_numpy()]
-    by_id = sorted(range(len(ids)), key=lambda i: (str(ids[i]), toxic[i], lengths[i]))
-    place = np.empty(len(ids), np.int64)
-    place[by_id] = np.arange(len(ids))
-    example = np.repeat(place, lengths)
-    ids, toxic = [ids[i] for i in by_id], toxic[by_id]
-    del rows, coded
-    frequency, n_docs = document_frequencies(docs, words)
-    with_word = [np.bincount(word[toxic[example] == t], minlength=len(words)) for t in (0, 1)]
+        none = np.empty(0, np.int64)
+        nobody = Examples(pa.array([], pa.string()), np.empty(0), [], none, none, none, none)
+        return ToxicityModel(spark.broadcast(nobody), neighbours, without_words=share)
+    # by id, so that places do not depend on how tasks came back
+    rows = rows.take(sorted(range(len(ids)), key=lambda i: (str(ids[i]), toxic[i]))).combine_chunks()
+    toxic, sizes = rows["toxic"].to_numpy(), pc.list_value_length(rows["words"]).to_numpy()
+    word, times = (pc.list_flatten(rows[c]).to_numpy() for c in ("words", "times"))
+    frequency, n_docs = document_frequencies(docs, shared)
+    shared.unpersist()
+    of_toxic = np.repeat(toxic == 1, sizes)
+    with_word = [np.bincount(word[of_toxic == t], minlength=len(words)) for t in (False, True)]
     weight = (np.log((1 + n_docs) / (1 + frequency)) + 1) * (FLOOR + ties(*with_word, *n))
-    sort = np.lexsort((word, example))
-    bags = Bags(example[sort], word[sort], times[sort], len(ids))
-    del example, word, times, sort
-    index = BlockMaxIndex.build(ids, toxic, bags.text, bags.word, bags.unit_weights(weight), len(words))
-    model = ToxicityModel(words, weight, index, neighbours, without_words=share)
+    times = times.astype(np.min_scalar_type(times.max(initial=0)))
+    held = Examples(words, weight, rows["doc_id"].to_pylist(), toxic, sizes, word, times)
+    model = ToxicityModel(spark.broadcast(held), neighbours, without_words=share)
     model.curve = _curve(chosen, model, [totals[t] / n[t] for t in (0, 1)])
     return model
 
 
 def _curve(chosen: DataFrame, model: ToxicityModel, weight: list[float]) -> tuple[float, float]:
     """The curve of the examples' votes, each without itself; the votes come from tasks."""
-    shared = chosen.sparkSession.sparkContext.broadcast(model)
+    shared, k = model.shared, model.neighbours
 
     def make():
-        model = shared.value
-        numbers = Numbers(model.numbers)
+        examples = shared.value
+        numbers = Numbers(examples.numbers)
 
         def work(batch):
             votes = []
-            for own, (rows, cosines) in zip(batch["doc_id"].to_pylist(), model.answers(batch["text"].to_pylist(), numbers, 1)):
-                itself = [i for i, r in enumerate(rows) if model.index.ids[r] == own][:1]
-                rows, cosines = np.delete(rows, itself)[: model.neighbours], np.delete(cosines, itself)[: model.neighbours]
-                votes.append(model.vote(rows, cosines) if len(rows) else None)
+            near = examples.answers(batch["text"].to_pylist(), numbers, k + 1)
+            for own, (rows, cosines) in zip(batch["doc_id"].to_pylist(), near):
+                itself = [i for i, r in enumerate(rows) if examples.index.ids[r] == own][:1]
+                rows, cosines = np.delete(rows, itself)[:k], np.delete(cosines, itself)[:k]
+                votes.append(examples.vote(rows, cosines) if len(rows) else None)
             return {"vote": pa.array(votes, pa.float64()), "toxic": batch["toxic"]}
 
         return work
@@ -402,17 +430,17 @@ def score(docs: DataFrame, model: ToxicityModel, carry: tuple[str, ...] = ("doc_
     column of ``carry`` named like a result is left out.
     """
     id_type = docs.schema["doc_id"].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, k, (steep, level), without = model.shared, model.neighbours, model.curve, model.without_words
 
     def make():
         kind = pa.list_(pa.struct([("doc_id", to_arrow_type(id_type)), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-        model = shared.value
-        numbers = Numbers(model.numbers)
+        examples = shared.value
+        numbers = Numbers(examples.numbers)
 
         def work(texts):
-            near = list(model.answers(texts, numbers))
-            scores = np.array([model.score(*x) for x in near], float)
-            return [scores, (scores >= threshold).astype(np.int32), pa.array([model.evidence(*x) for x in near], kind)]
+            near = list(examples.answers(texts, numbers, k))
+            scores = np.array([_sigmoid(steep * examples.vote(*x) + level) if len(x[0]) else without for x in near], float)
+            return [scores, (scores >= threshold).astype(np.int32), pa.array([examples.evidence(*x) for x in near], kind)]
 
         return work
 
