@@ -108,3 +108,31 @@ def test_trees_learn_a_rule():
     y = ((x[:, 1] > 0.3) & (x[:, 3] < 0.5)).astype(float)
     assert ((pii.boost(x, y).scores(x) > 0.5) == y).mean() > 0.97
     assert len(LONG) > 100_000
+
+
+def test_all_candidates_are_learned_from(spark, monkeypatch):
+    """Not a sample of 60: the counts are whole, and trees are those of all candidates, here or in tasks."""
+    docs = corpus(spark)
+    want = {}
+    rows = [(r.doc_id, r.text or "", *c) for r in docs.collect() for c in pii.candidates(r.text or "")]
+    for _, text, kind, a, b in rows:
+        key = pii.KINDS.index(kind), pii.confirmed(kind, text[a:b])
+        want[key] = want.get(key, 0) + 1
+    counted = pii.all_figures(docs).collect()
+    assert sum(r.n for r in counted) == len(rows) > 300
+    assert all(sum(r.n for r in counted if (r.kind, r.y) == k) == n for k, n in want.items())
+
+    learned = [r for r in counted if not r.rest]
+    x = np.array([np.frombuffer(r.figures, "<f4") for r in learned], float)
+    weights = np.array([min(1, 60 / 6 / want[r.kind, r.y]) * r.n for r in learned])
+    plain_trees = pii.boost(x, np.array([r.y for r in learned], float), weights=weights)
+    here = pii.fit(docs, fit_candidates=60)
+    assert np.allclose(here.trees.scores(x), plain_trees.scores(x), atol=1e-6)
+    assert here.thresholds["secret"] < 1 and sum(r.n for r in learned) > 4 * 60
+    monkeypatch.setattr(pii, "IN_PLACE", 0)
+    # trees summed in tasks, for a few rounds
+    monkeypatch.setattr(pii.grow, "__defaults__", (3, *pii.grow.__defaults__[1:]))
+    tasks = pii.fit(docs.repartition(5), fit_candidates=60).trees
+    for name in ("feature", "cut", "leaf"):
+        assert all(np.array_equal(a, b) for a, b in zip(getattr(tasks, name), getattr(here.trees, name)))
+    assert len(tasks.leaf) == 3
