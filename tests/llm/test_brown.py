@@ -158,3 +158,29 @@ def test_common_words_are_all_above_a_count(spark):
         got = {r.word: r.n for r in brown.common_words(words, most).collect()}
         assert len(got) <= most and got == {w: n for w, n in rows if got and n >= min(got.values())}
     assert len(got) == 300 and brown.common_words(words.limit(0), 5).count() == 0
+
+
+def test_no_common_word_and_no_ending_is_left_out(spark):
+    """Words as common as these all fall into one step of the histogram, which the head has no place for."""
+    rows = [(f"w{i}", 1_000 + i % 3) for i in range(40)] + [(f"{a}{b}{c}", 1) for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    words = spark.createDataFrame(rows, "word string, n long")
+    units, heads, total = brown.choose_units(words, 30, None, brown.UNIT_SHARE)
+    assert set(units.words) == {f"w{i}".encode() for i in range(40)} and total == sum(n for _, n in rows) and len(heads) <= 30
+    assert set(units.endings) == {w[-3:].encode() for w, _ in rows} and len(units.endings) > 512
+    text = [(i, " ".join([w, f"y{w}", f"z{w}"] * 2)) for i, (w, _) in enumerate(rows[40:])]
+    model = brown.fit(spark.createDataFrame(text, "doc_id long, text string"), classes=6, rounds=2)
+    assert len(model.label) == model.units.n and len({model.units.of([w.encode()])[1] for w, _ in rows[40:]}) == 512
+    assert model.label[0] == 0 and (model.label[1:] > 0).all()
+
+
+def test_gain_of_few_neighbours_against_all_cells():
+    rng = np.random.default_rng(4)
+    count = rng.poisson(20, (5, 5)).astype(float)
+    left, right, alone = np.array([0, 3.0, 0, 0, 2]), np.array([1, 0, 0, 4.0, 2]), 2.0
+    f = lambda x: x * np.log(x)
+    out, into, made = count.sum(1), count.sum(0), []
+    for c in range(1, 5):
+        cells = sum(f(count[a, c] + left[a]) - f(count[a, c]) + f(count[c, a] + right[a]) - f(count[c, a]) for a in range(5) if a != c)
+        cells += f(count[c, c] + left[c] + right[c] + alone) - f(count[c, c])
+        made.append(cells - f(out[c] + right.sum() + alone) + f(out[c]) - f(into[c] + left.sum() + alone) + f(into[c]))
+    assert np.allclose(brown._gain(count, left, right, alone)[1:], made)

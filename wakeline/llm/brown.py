@@ -3,7 +3,8 @@
 P(word | previous word) = P(class | previous class) * P(word | class). Exchange clustering
 gives the classes: each unit moves to the class that most raises the likelihood of the
 class bigrams, until none moves. Units are all words that are common enough to have contexts of
-their own, and for all other words, seen or not, their endings; so a task knows every word's class.
+their own, and for all other words, seen or not, their endings, each of them; so a task knows every word's
+class.
 
 1. Words are counted once, exactly, and their table is written.
 2. The commonest units are exchanged one by one, on a matrix of bounded size, for a start.
@@ -34,20 +35,20 @@ from wakeline.sources.staging import stage
 #: Rows whose id has this remainder are scored but not learned from.
 FOLDS, HELD_OUT = 5, 1
 ADD = 0.5
-#: Words at most whose counts are held in place; no more words than these are units.
+#: Words at most whose counts are held in place.
 HEAD = 65_536
-#: A word is a unit if it is one in so many words, and seen at least so often.
+#: A word is a unit if it is one in so many words, which no more than so many are, and seen at least so often.
 UNIT_SHARE, UNIT_SEEN = 65_536, 10
-#: Units that are an ending of so many bytes.
-ENDING_UNITS, ENDING = 254, 3
-#: Words that are exchanged one by one for a start, and bounds of the number of classes.
-START_WORDS, LEAST_CLASSES, MOST_CLASSES = 512, 16, 256
+#: Bytes of an ending.
+ENDING = 3
+#: Words and endings that are exchanged one by one for a start, and bounds of the number of classes.
+START_WORDS, START_ENDINGS, LEAST_CLASSES, MOST_CLASSES = 512, 254, 16, 256
 #: Steps of a doubling in the histogram of counts.
 STEPS = 64
 #: Weight of the class unigram in a transition.
 BACK_OFF = 5.0
-#: Rounds over one matrix; rounds over all units, and the groups in which units are moved.
-EXCHANGE_ROUNDS, ROUNDS, GROUPS = 12, 6, 64
+#: Rounds over one matrix; rounds over all units, the groups in which units are moved, and units of a group at most, about.
+EXCHANGE_ROUNDS, ROUNDS, GROUPS, GROUP_UNITS = 12, 6, 64, 2_048
 WORD_ENDS = r"[\x20\x09-\x0D]+"
 
 
@@ -65,7 +66,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Units:
-    """Unit 0 is the end token, then words, then endings; the last unit has all other endings."""
+    """Unit 0 is the end token, then words, then endings; the last unit has endings that are not among these."""
 
     words: dict[bytes, int]
     endings: dict[bytes, int]
@@ -81,8 +82,8 @@ class Units:
         return np.array([0, *found, 0], np.int64)
 
 
-def make_units(head: list[bytes], endings: list[bytes], word_units: int) -> Units:
-    words = {w: i + 1 for i, w in enumerate(head[:word_units])}
+def make_units(head: list[bytes], endings: list[bytes], common: list[bytes]) -> Units:
+    words = {w: i + 1 for i, w in enumerate(common)}
     ends = {e: len(words) + 1 + i for i, e in enumerate(endings)}
     return Units(words, ends, {w: i for i, w in enumerate(head)})
 
@@ -103,14 +104,20 @@ def common_words(words: DataFrame, most: int) -> DataFrame:
     return words.where(step >= lowest) if lowest is not None else words.limit(0)
 
 
-def choose_units(words: DataFrame, head: int, endings: int, most: int) -> tuple[Units, np.ndarray, int]:
-    """Units, the head words' counts, and the number of words; what comes here has the parameters' sizes."""
+def choose_units(words: DataFrame, head: int, endings: int | None, most: int) -> tuple[Units, np.ndarray, int]:
+    """Units, the head words' counts, and the number of words.
+
+    All words common enough are units, ``most`` at most; `UNIT_SHARE` bounds them, as each has its share.
+    Without ``endings`` all endings are units: their number is that of the language's, not of its words.
+    """
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = sorted(common_words(words, head).collect(), key=lambda r: (-r.n, r.word))
+    ordered = lambda rows: sorted(rows.collect(), key=lambda r: (-r.n, r.word))
+    top = ordered(common_words(words, head))
+    common = ordered(words.where((F.col("n") >= UNIT_SEEN) & (F.col("n") * UNIT_SHARE >= total)))[:most]
     ending = F.substring(F.col("word").cast("binary"), -ENDING, ENDING)
-    tails = words.groupBy(ending.alias("e")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "e").limit(endings).collect()
-    common = sum(r.n >= UNIT_SEEN and r.n * UNIT_SHARE >= total for r in top)
-    units = make_units([r.word.encode() for r in top], [bytes(r.e) for r in tails], min(common, most))
+    tails = words.groupBy(ending.alias("e")).agg(F.sum("n").alias("n")).collect()
+    tails = sorted(tails, key=lambda r: (-r.n, bytes(r.e)))[:endings]
+    units = make_units([r.word.encode() for r in top], [bytes(r.e) for r in tails], [r.word.encode() for r in common])
     return units, np.array([r.n for r in top], np.int64), total
 
 
@@ -142,16 +149,19 @@ def _gain(count: np.ndarray, left: np.ndarray, right: np.ndarray, alone: float)
 
     ``count`` is without the unit, ``left`` and ``right`` its neighbours without itself.
     """
-    base = _xlogx(count)
-    by_left = _xlogx(count + left[:, None]) - base
-    by_right = _xlogx(count + right[None, :]) - base
+    # classes without a neighbour of the unit add nothing
+    l, r = np.flatnonzero(left), np.flatnonzero(right)
+    by_left = _xlogx(count[l] + left[l, None]) - _xlogx(count[l])
+    by_right = _xlogx(count[:, r] + right[None, r]) - _xlogx(count[:, r])
     diagonal = np.diag(count)
     out, into = count.sum(1), count.sum(0)
     gain = (
-        by_left.sum(0) - np.diag(by_left) + by_right.sum(1) - np.diag(by_right)
+        by_left.sum(0) + by_right.sum(1)
         + _xlogx(diagonal + left + right + alone) - _xlogx(diagonal)
         - _xlogx(out + right.sum() + alone) + _xlogx(out) - _xlogx(into + left.sum() + alone) + _xlogx(into)
     )
+    gain[l] -= by_left[np.arange(len(l)), l]
+    gain[r] -= by_right[r, np.arange(len(r))]
     gain[0] = -np.inf
     return gain
 
@@ -209,13 +219,20 @@ def likelihood(count: np.ndarray) -> float:
 
 
 def start_labels(bigrams: DataFrame, units: Units, classes: int, start_words: int) -> np.ndarray:
-    """The end, the commonest words and the endings exchanged on one matrix; other words as their ending."""
+    """The end, the commonest words and endings exchanged on one matrix.
+
+    Other words start as their ending, and other endings all together.
+    """
     first = min(len(units.words), start_words) + 1
     shift = len(units.words) + 1 - first
+    last = first + min(len(units.endings), START_ENDINGS)
     kept = lambda c: (F.col(c) < first) | (F.col(c) > len(units.words))
-    at = lambda c: F.when(F.col(c) < first, F.col(c)).otherwise(F.col(c) - shift).alias(c)
-    small = exchange(_matrix(bigrams.where(kept("a") & kept("b")).select(at("a"), at("b"), "n"), units.n - shift), classes)
-    label = np.concatenate([small[:first], np.zeros(shift, np.int64), small[first:]])
+    at = lambda c: F.when(F.col(c) < first, F.col(c)).otherwise(F.least(F.col(c) - shift, F.lit(last))).alias(c)
+    summed = bigrams.where(kept("a") & kept("b")).groupBy(at("a"), at("b")).agg(F.sum("n").alias("n"))
+    small = exchange(_matrix(summed, last + 1), classes)
+    label = np.full(units.n, small[last])
+    label[:first] = small[:first]
+    label[first + shift : last + shift] = small[first:last]
     for word, unit in units.words.items():
         if unit >= first:
             label[unit] = label[units.endings.get(word[-ENDING:], units.n - 1)]
@@ -227,7 +244,7 @@ def _neighbours(bigrams: DataFrame, label: np.ndarray) -> DataFrame:
     known = bigrams.sparkSession.createDataFrame(pa.table({"unit": pa.array(np.arange(len(label)), pa.int32()), "class": pa.array(label, pa.int32())}))
 
     def side(number: int, unit: str, other: str) -> DataFrame:
-        # at most HEAD + ENDING_UNITS + 2 rows
+        # a row for each unit, which are bounded
         joined = bigrams.join(F.broadcast(known.withColumnRenamed("unit", other)), other)
         return joined.groupBy(F.col(unit).alias("unit"), F.lit(number).alias("side"), "class").agg(F.sum("n").alias("n"))
 
@@ -291,7 +308,7 @@ def exchange_all(bigrams: DataFrame, label: np.ndarray, classes: int, rounds: in
             return pa.table({"unit": pa.array(at, pa.int32()), "class": pa.array(moved, pa.int32())})
 
         chosen = kept.where((F.col("unit") != 0) & (F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(one_in)) == 0))
-        group = F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(GROUPS))
+        group = F.pmod(F.xxhash64("unit", F.lit(1)), F.lit(max(GROUPS, len(label) // GROUP_UNITS)))
         moved = chosen.groupBy(group).applyInArrow(move, "unit int, class int").toArrow()
         label = best.copy()
         label[moved["unit"].to_numpy()] = moved["class"].to_numpy()
@@ -338,23 +355,23 @@ def _types(words: DataFrame, units: Units, label: np.ndarray, classes: int) -> n
 def fit(
     docs: DataFrame,
     head: int = HEAD,
-    word_units: int = HEAD,
-    endings: int = ENDING_UNITS,
+    word_units: int = UNIT_SHARE,
+    endings: int | None = None,
     classes: int | None = None,
     start_words: int = START_WORDS,
     rounds: int = ROUNDS,
 ) -> ClassModel:
     """Classes and transitions from all texts of ``docs``; null texts are empty ones.
 
-    ``word_units`` bounds the words that are units; without ``classes`` there are about as many as
-    the root of twice the units.
+    ``word_units`` and ``endings`` bound the words and endings that are units, for a smaller model;
+    without ``classes`` there are about as many as the root of twice the units.
     """
     words = count_words(docs)
     units, heads, _ = choose_units(words, head, endings, word_units)
     classes = classes or min(MOST_CLASSES, max(LEAST_CLASSES, isqrt(2 * units.n)))
     bigrams = count_bigrams(docs, units)
     label = start_labels(bigrams, units, classes, start_words)
-    if len(units.words) > start_words:
+    if len(units.words) > start_words or len(units.endings) > START_ENDINGS:
         label = exchange_all(bigrams, label, classes, rounds)
     spark = docs.sparkSession
     of = lambda c, k: spark.createDataFrame(pa.table({c: pa.array(np.arange(len(label)), pa.int32()), k: pa.array(label, pa.int32())}))
