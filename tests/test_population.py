@@ -247,3 +247,16 @@ def test_regions(table):
     assert rows_of(got, "region", "survey_days", "encounter_days", "sightings") == [("middle", 2, 0, 0), ("northern", 1, 1, 2), ("southern", 2, 0, 0)]
     fixed = reports.regional_report(seen, track, 2023, southern="south")
     assert ("southern", 2) in rows_of(fixed, "region", "survey_days")
+
+
+def test_photo_metadata_is_made_once(spark, tmp_path):
+    """The query's sheets, times and paths read written rows; the line items are not read for each of them."""
+    from wakeline.queries import QUERIES, load_all
+
+    load_all()
+    rows = [(1, 5, 7, 1, "A", dt.datetime(2024, 1, 2)), (1, 5, 7, 1, "A", dt.datetime(2024, 1, 2)), (2, 40, 7, 3, "R", dt.datetime(2024, 1, 3))]
+    items = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long, l_returnflag string, l_shipdate timestamp_ntz")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["photo_table"](spark, str(tmp_path))
+    assert not [f for f in got.inputFiles() if "lineitem" in f]
+    assert rows_of(got, "id_name", "filename", "ts") == [("ID5 ", "ID5 and KO7 l IMG_0001", dt.datetime(2024, 1, 2))]

@@ -229,7 +229,8 @@ def _(t):
       WHERE s.id_name <> 'CULL')""",
 )
 def _(t):
-    meta = b.photo_metadata(t).distinct()
+    # sheets, times and paths all come of these rows: filters pushed below the distinct would make it anew for each
+    meta = stage(b.photo_metadata(t).distinct(), "photo-metadata")
     name = F.col("file_name")
     sheets = meta.select(
         F.left(name, F.length(name) - 4).alias("filename"),
