@@ -47,6 +47,35 @@ def test_blocks_that_cannot_reach_are_left_closed():
     assert index.opened[0] < 0.5 * index.opened[1]
 
 
+def test_lists_of_common_words_are_read_in_single_precision_and_ranked_in_double():
+    # the weights of the last word differ by less than single precision holds
+    n, step = 400, 1e-10
+    last = 0.6 + step * np.random.default_rng(8).permutation(n)
+    value = np.column_stack([np.sqrt(1 - last**2), last]).ravel()
+    made = (np.repeat(np.arange(n), 2), np.tile([0, 1], n), value)
+    index = toxicity.BlockMaxIndex.build(list(range(n)), np.zeros(n), *made, 2)
+    assert index.dense.dtype == np.float32 and index.column.tolist() == [0, 1]
+    who, rows, scores = index.nearest(np.zeros(1, int), np.ones(1, int), np.ones(1), 1, 20)
+    assert [index.ids[r] for r in rows] == np.argsort(-last)[:20].tolist()
+    assert (np.abs(scores - np.sort(last)[::-1][:20]) < 1e-14).all()
+
+
+def test_every_spelling_of_a_piece_is_looked_up_once(monkeypatch):
+    known = pa.array(["a", "b", "\u03c3"])
+    asked = []
+    look_up = toxicity.pc.index_in
+    monkeypatch.setattr(toxicity.pc, "index_in", lambda x, **of: asked.append(len(x)) or look_up(x, **of))
+    texts = ["A (a) b", "", "b\u2003\u03a3 c\x1ca", "...", *["a b"] * 50]
+    bags = list(toxicity.Numbers(known).bags(texts))
+    assert asked == [6] and [x.count for x in bags] == [len(texts)]
+    got = list(zip(bags[0].text.tolist(), bags[0].word.tolist(), bags[0].times.tolist()))
+    assert got[:5] == [(0, 0, 2), (0, 1, 1), (2, 0, 1), (2, 1, 1), (2, 2, 1)] and len(got) == 105
+    monkeypatch.setattr(toxicity, "CHARACTERS", 5)
+    pieces = list(toxicity.Numbers(known).bags(texts))
+    assert len(pieces) > 2 and sum(x.count for x in pieces) == len(texts)
+    assert np.concatenate([x.word for x in pieces]).tolist() == bags[0].word.tolist()
+
+
 def test_ties_do_not_depend_on_shares_of_the_sample():
     clean, toxic = np.zeros(1000), np.zeros(1000)
     toxic[:4], clean[:4] = (1, 9, 9, 900), (0, 0, 90, 9000)

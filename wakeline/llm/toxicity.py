@@ -4,15 +4,15 @@ Similarity is the cosine of TF-IDF vectors over all words of the texts; document
 come from all documents. A word that the labelled rows tie to the toxic class weighs more, none
 weighs nothing. The examples lie in an inverted index cut into blocks of examples. Lists of
 rare words are short and always read; lists of common words are read a block at a time, and
-only in blocks where the greatest weights can still reach the k-th best, so the k nearest are
-exact.
+only in blocks where the greatest weights can still reach the k-th best. Blocks are read in
+single precision, with an allowance for its error; what may be among the k nearest is summed
+once more in double precision, so the k nearest are exact.
 """
 
 from __future__ import annotations
 
 import string
-from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 from itertools import chain
@@ -40,32 +40,14 @@ BLOCK = 128
 COMMON = 1 / 16
 #: Blocks of a query that are looked into first, which sets the score that others must reach.
 FIRST_BLOCKS = 2
-#: Queries, and distinct words of queries, that are answered together.
-QUERIES, QUERY_WORDS = 64, 20_000
+#: Queries that are answered together, and texts and characters that are read together (one text at least).
+QUERIES = 256
+TEXTS, CHARACTERS = 1 << 12, 6 << 20
+#: Queries whose lists of rare words are read together, and words of neighbours that are summed together.
+READ, SUMMED = 4, 1 << 20
 #: Rows whose id has this remainder are never learned from.
 FOLDS, HELD_OUT = 5, 0
 
-#: Spellings that a task remembers.
-REMEMBERED = 300_000
-
-
-class Numbers(dict):
-    """Numbers of words as written, punctuation at their ends left out; -1: unknown.
-
-    Spellings already met are remembered, to a fixed number.
-    """
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        self[word] = number = self.known.get(word.strip(string.punctuation), -1)
-        return number
-
-
 @dataclass
 class Bags:
     """Words of some texts: text, number and times of each, in that order, and the number of texts."""
@@ -75,20 +57,52 @@ class Bags:
     times: np.ndarray
     count: int
 
-    @classmethod
-    def of(cls, counted: Sequence[Counter], numbers: Numbers, words: int) -> Bags:
-        sizes = [len(c) for c in counted]
-        text = np.repeat(np.arange(len(counted)), sizes)
-        word = np.fromiter(chain.from_iterable(map(numbers.__getitem__, c) for c in counted), np.int64, len(text))
-        times = np.fromiter(chain.from_iterable(c.values() for c in counted), float, len(text))
-        known = word >= 0
-        cell, at = np.unique(text[known] * words + word[known], return_inverse=True)  # spellings of one word meet
-        return cls(cell // max(words, 1), cell % max(words, 1), np.bincount(at, times[known], len(cell)), len(counted))
-
     def unit_weights(self, weight: np.ndarray) -> np.ndarray:
-        values = (1 + np.log(self.times.astype(float))) * weight[self.word]
+        # in place, as all examples' words are many
+        values = np.log(self.times.astype(float))
+        values += 1
+        values *= weight[self.word]
         length = np.sqrt(np.bincount(self.text, values**2, self.count))
-        return values / length[self.text]
+        values /= length[self.text]
+        return values
+
+
+class Numbers:
+    """Places of words, as written, among the known ones; punctuation at their ends is left out."""
+
+    def __init__(self, known: pa.Array):
+        self.known = known
+
+    def bags(self, texts: Sequence[str]) -> Iterator[Bags]:
+        """Known words of the texts, in pieces of some texts.
+
+        The known words are hashed once a piece, and every spelling of a piece is looked up once.
+        """
+        piece, size = [], 0
+        for i, text in enumerate(texts):
+            piece.append(text)
+            size += len(text)
+            if len(piece) == TEXTS or size > CHARACTERS or i + 1 == len(texts):
+                yield self._bag(piece)
+                piece, size = [], 0
+
+    def _bag(self, texts: list[str]) -> Bags:
+        sizes, parts = [], []
+        for start in range(0, len(texts), QUERIES):  # few words are Python strings at a time
+            split = [text.lower().split() for text in texts[start : start + QUERIES]]
+            sizes += map(len, split)
+            parts.append(pa.array(list(chain.from_iterable(split)), pa.string()))
+        held = pa.chunked_array(parts, pa.string()).dictionary_encode().combine_chunks()
+        spelt = pc.ascii_trim(held.dictionary, string.punctuation)
+        number = pc.fill_null(pc.index_in(spelt, value_set=self.known), -1).to_numpy().astype(np.int64)
+        word = number[held.indices.to_numpy()]
+        known = word >= 0
+        words = max(len(self.known), 1)
+        cell = np.repeat(np.arange(len(texts)) * words, sizes)[known] + word[known]
+        cell.sort()
+        first = np.flatnonzero(np.diff(cell, prepend=-1))  # spellings of one word meet
+        text, word = np.divmod(cell[first], words)
+        return Bags(text, word, np.diff(first, append=len(cell)), len(texts))
 
 
 @dataclass
@@ -101,8 +115,11 @@ class BlockMaxIndex:
     rows: np.ndarray
     values: np.ndarray
     column: np.ndarray  # number of a common word among these, or -1
-    dense: np.ndarray  # [block, common word, example of the block]
-    most: np.ndarray  # [common word, block]: greatest weight
+    dense: np.ndarray  # [block, common word, example of the block], single precision
+    most: np.ndarray  # [common word, block]: greatest weight, rounded up
+    first: np.ndarray  # first common word of each example; one more ends the last
+    columns: np.ndarray
+    weights: np.ndarray
     opened: list[int] = field(default_factory=lambda: [0, 0])  # blocks looked into, and all there were
 
     @classmethod
@@ -124,69 +141,118 @@ class BlockMaxIndex:
         heavy, weight = np.full(n, -1), np.zeros(n)
         heavy[e[sort][last]], weight[e[sort][last]] = w[sort][last], v[sort][last]
         order = np.lexsort((np.arange(n), weight, heavy))
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[order] = np.arange(n)
-        dense = np.zeros((blocks, len(common), BLOCK))
+        dense = np.zeros((blocks, len(common), BLOCK), np.float32)
         dense[place[e] // BLOCK, column[w], place[e] % BLOCK] = v
+        most = np.nextafter(dense.max(2), np.float32(np.inf)) if n else np.zeros((0, len(common)))
+        sort = np.argsort(place[e], kind="stable")
+        first = np.searchsorted(place[e[sort]], np.arange(n + 1))
+        columns, weights = column[w[sort]].astype(np.int32), v[sort]
         e, w, v = place[example[~is_common]], word[~is_common], value[~is_common]
         sort = np.lexsort((e, w))
         return cls(
             [ids[i] for i in order],
             np.asarray(toxic, float)[order],
             np.searchsorted(w[sort], np.arange(words + 1)),
-            e[sort].astype(np.int32),
+            e[sort],
             v[sort],
             column,
             dense,
-            dense.max(2).T.copy() if n else np.zeros((len(common), 0)),
+            most.T.astype(float),
+            first,
+            columns,
+            weights,
         )
 
+    def _read_rare(self, query: np.ndarray, word: np.ndarray, value: np.ndarray, count: int) -> np.ndarray:
+        """The part of rare words in every cosine, [query, place]."""
+        size = len(self.dense) * BLOCK
+        out = np.empty((count, size))
+        start, length = self.starts[word], self.starts[word + 1] - self.starts[word]
+        of = np.searchsorted(query, np.arange(0, count + READ, READ))
+        for i, a, b in zip(range(0, count, READ), of, of[1:]):
+            many, own = min(READ, count - i), length[a:b]
+            at = np.repeat(start[a:b] - (np.cumsum(own) - own), own)
+            at += np.arange(len(at))
+            cell = np.repeat((query[a:b] - i) * size, own)
+            cell += self.rows.take(at)
+            values = np.repeat(value[a:b], own)
+            values *= self.values.take(at)
+            out[i : i + many] = np.bincount(cell, values, many * size).reshape(many, size)
+        return out
+
+    def _read_common(self, asked: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The part of common words in the cosine of each pair, in double precision."""
+        start, length = self.first[row], self.first[row + 1] - self.first[row]
+        total, out = np.cumsum(length), np.zeros(len(row))
+        ends = np.searchsorted(total, np.arange(SUMMED, total[-1] if len(row) else 0, SUMMED), "right")
+        for part in np.split(np.arange(len(row)), ends):
+            own = length[part]
+            at = np.arange(own.sum()) + np.repeat(start[part] - (np.cumsum(own) - own), own)
+            values = asked[np.repeat(query[part], own), self.columns[at]] * self.weights[at]
+            out[part] = np.bincount(np.repeat(np.arange(len(part)), own), values, len(part))
+        return out
+
     def nearest(
         self, query: np.ndarray, word: np.ndarray, value: np.ndarray, count: int, k: int
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The k nearest with any shared word of each of ``count`` queries; ties by place.
 
-        Words (query, word, value) come in; query, place and cosine of the nearest go out,
-        sorted by query, the nearest first.
+        Words (query, word, value) come in, sorted by query; query, place and cosine of the
+        nearest go out, sorted by query, the nearest first.
         """
         blocks = len(self.dense)
         if not blocks or not len(query):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         column = self.column[word]
         rare = column < 0
-        start, length = self.starts[word[rare]], self.starts[word[rare] + 1] - self.starts[word[rare]]
-        at = np.arange(length.sum()) + np.repeat(start - (np.cumsum(length) - length), length)
-        cell = np.repeat(query[rare] * (blocks * BLOCK), length) + self.rows[at]
-        cosine = np.bincount(cell, np.repeat(value[rare], length) * self.values[at], count * blocks * BLOCK)
-        cosine = cosine.reshape(count, blocks, BLOCK)
+        cosine = self._read_rare(query[rare], word[rare], value[rare], count).reshape(count, blocks, BLOCK)
         asked = np.zeros((count, self.dense.shape[1]))
         asked[query[~rare], column[~rare]] = value[~rare]
         bound = cosine.max(2) + asked @ self.most
-
-        found = np.full((count, blocks, BLOCK), -1.0)
-
-        def look_into(wanted: np.ndarray) -> None:
-            for block in np.flatnonzero(wanted.any(0)):
-                who = np.flatnonzero(wanted[:, block])
-                found[who, block] = cosine[who, block] + asked[who] @ self.dense[block]
-            self.opened[0] += int(wanted.sum())
-
-        first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
-        look_into(first)
-        seen = found[first].reshape(count, -1)
-        enough = seen.shape[1] >= k
-        floor = np.maximum(np.partition(seen, -k, axis=1)[:, -k] if enough else np.zeros(count), 1e-12)
+        single = asked.astype(np.float32)
+        # a sum of n products in single precision is off by n / 2**24 at most, as no cosine is above 1
+        slack = (asked.shape[1] + 8) / 2**23
+
+        opening = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        seen = np.empty((*opening.shape, BLOCK))
+        for block in np.unique(opening):
+            who, slot = np.nonzero(opening == block)
+            seen[who, slot] = cosine[who, block] + single[who] @ self.dense[block]
+        flat = seen.reshape(count, -1)
+        enough = flat.shape[1] >= k
+        floor = np.partition(flat, -k, axis=1)[:, -k] if enough else np.zeros(count)
         # equal bounds are looked into as well: a tie may stand earlier
-        look_into(~first & (bound >= floor[:, None] - 1e-9))
+        least = np.maximum(floor - 2 * slack - 1e-9, 1e-13)
+        wanted = bound >= np.maximum(floor - slack - 1e-9, 1e-13)[:, None]
+        np.put_along_axis(wanted, opening, False, 1)
+        self.opened[0] += int(wanted.sum()) + opening.size
         self.opened[1] += bound.size
-        flat = found.reshape(count, -1)
-        who, row = np.nonzero(flat >= np.maximum(floor[:, None] - 1e-9, 1e-12))
-        order = np.lexsort((row, -np.round(flat[who, row], 12), who))
-        who, row = who[order], row[order]
-        rank = np.arange(len(who)) - np.searchsorted(who, who)
-        who, row = who[rank < k], row[rank < k]
-        return who, row, flat[who, row]
+
+        who, slot, at = np.nonzero(seen >= least[:, None, None])
+        found = [(who, opening[who, slot] * BLOCK + at, seen[who, slot, at])]
+        for block in np.flatnonzero(wanted.any(0)):
+            asking = np.flatnonzero(wanted[:, block])
+            near = cosine[asking, block] + single[asking] @ self.dense[block]
+            who, at = np.nonzero(near >= least[asking, None])
+            found.append((asking[who], block * BLOCK + at, near[who, at]))
+        who, row, near = (np.concatenate(x) for x in zip(*found))
+
+        # the k-th best of each query that has as many; of the others all are kept
+        sort, ends = np.sort(2.0 * who - near), np.cumsum(np.bincount(who, minlength=count))
+        last = np.append(0, ends[:-1]) + k - 1
+        full = last < ends
+        least = np.full(count, -1.0)
+        least[full] = 2.0 * np.flatnonzero(full) - sort[last[full]] - 2 * slack - 1e-9
+        kept = near >= least[who]
+        who, row = who[kept], row[kept]
+        near = cosine.reshape(count, -1)[who, row] + self._read_common(asked, who, row)
+        who, row, near = (x[near >= 1e-12] for x in (who, row, near))
+        order = np.lexsort((row, -np.round(near, 12), who))
+        who, row, near = who[order], row[order], near[order]
+        kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return who[kept], row[kept], near[kept]
 
 
 @dataclass
@@ -202,11 +268,12 @@ class Examples:
     times: np.ndarray
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("numbers", "index")}
+        return {k: v for k, v in self.__dict__.items() if k != "index"}
 
-    @cached_property
-    def numbers(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self.words.to_pylist())}
+    @property
+    def numbers(self) -> pa.Array:
+        """Words in the order of their numbers."""
+        return self.words
 
     @cached_property
     def index(self) -> BlockMaxIndex:
@@ -217,17 +284,14 @@ class Examples:
 
     def answers(self, texts: list[str], numbers: Numbers, k: int):
         """For each text the places and cosines of its k nearest examples."""
-        chunk, size = [], 0
-        for i, text in enumerate(texts):
-            chunk.append(Counter(text.lower().split()))
-            size += len(chunk[-1])
-            if len(chunk) == QUERIES or size > QUERY_WORDS or i + 1 == len(texts):
-                bags = Bags.of(chunk, numbers, len(self.words))
-                values = bags.unit_weights(self.weight)
-                who, row, cosine = self.index.nearest(bags.text, bags.word, values, len(chunk), k)
-                ends = np.searchsorted(who, np.arange(len(chunk) + 1))
+        for bags in numbers.bags(texts):
+            values = bags.unit_weights(self.weight)
+            for start in range(0, bags.count, QUERIES):
+                count = min(QUERIES, bags.count - start)
+                own = slice(*np.searchsorted(bags.text, [start, start + count]))
+                who, row, cosine = self.index.nearest(bags.text[own] - start, bags.word[own], values[own], count, k)
+                ends = np.searchsorted(who, np.arange(count + 1))
                 yield from ((row[a:b], cosine[a:b]) for a, b in zip(ends, ends[1:]))
-                chunk, size = [], 0
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """Toxic share of the neighbours, each weighing by the inverse of its distance."""
@@ -307,15 +371,13 @@ def document_frequencies(docs: DataFrame, words: Broadcast) -> tuple[np.ndarray,
     size = len(words.value)
 
     def make():
-        numbers = Numbers({w: i for i, w in enumerate(words.value.to_pylist())})
+        numbers = Numbers(words.value)
 
         def work(batch):
-            # a text's numbers, each once; the last number counts the texts
+            # texts with each word; the last number counts all texts
             held = np.zeros(size + 1, np.int64)
-            for text in batch["text"].to_pylist():
-                own = set(map(numbers.__getitem__, set(text.lower().split())))
-                own.discard(-1)
-                held[list(own)] += 1
+            for bags in numbers.bags(batch["text"].to_pylist()):
+                held[:size] += np.bincount(bags.word, minlength=size)
             held[size] = batch.num_rows
             number = np.flatnonzero(held)
             return {"number": pa.array(number), "n": pa.array(held[number])}
@@ -355,17 +417,18 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     shared = spark.broadcast(words)
 
     def make():
-        numbers = Numbers({w: i for i, w in enumerate(shared.value.to_pylist())})
+        numbers = Numbers(shared.value)
 
         def work(batch):
-            counted = [Counter(text.lower().split()) for text in batch["text"].to_pylist()]
-            bags = Bags.of(counted, numbers, len(shared.value))
-            starts = pa.array(np.searchsorted(bags.text, np.arange(len(counted) + 1)), pa.int32())
+            bags = list(numbers.bags(batch["text"].to_pylist()))
+            sizes = np.concatenate([np.empty(0, int), *(np.bincount(x.text, minlength=x.count) for x in bags)])
+            starts = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            word, times = (np.concatenate([np.empty(0, int), *(getattr(x, c) for x in bags)]) for c in ("word", "times"))
             return {
                 "doc_id": batch["doc_id"],
                 "toxic": batch["toxic"],
-                "words": pa.ListArray.from_arrays(starts, pa.array(bags.word, pa.int32())),
-                "times": pa.ListArray.from_arrays(starts, pa.array(bags.times.astype(np.int32))),
+                "words": pa.ListArray.from_arrays(starts, pa.array(word, pa.int32())),
+                "times": pa.ListArray.from_arrays(starts, pa.array(times, pa.int32())),
             }
 
         return work
